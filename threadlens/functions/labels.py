@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.lookup import literal_strings
+from threadlens.functions.lookup import bind, literal_strings
 
 
 def _col(col: str | Column) -> Column:
@@ -56,8 +56,9 @@ def argmax(array_col: str | Column) -> Column:
 def unit_vector(array_col: str | Column) -> Column:
     """The vector divided by its Euclidean length; a zero vector stays as it is."""
     values = F.transform(_col(array_col), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm == 0, values).otherwise(F.transform(values, lambda x: x / norm))
+    length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x))
+    return bind(F.struct(values.alias("v"), length.alias("n")), lambda e: F.when(e["n"] == 0, e["v"]).otherwise(
+        F.transform(e["v"], lambda x: x / e["n"])))
 
 
 def zero_to_null(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -40,6 +40,15 @@ def inline_lookup(
     return lambda word: F.get(maps, F.pmod(F.hash(word), F.lit(_SLOTS)))[word]
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression that is merely named in a lambda is computed again for every element the lambda sees,
+    which makes work on an array quadratic. As the single element of an array it becomes a variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literal_strings(values: list[str]) -> Column:
     """A constant array of strings, built from one literal whatever its length."""
     return F.from_json(F.lit(json.dumps(list(values))), "array<string>")

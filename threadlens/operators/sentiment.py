@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens import constants as K
-from threadlens.functions.lookup import INLINE_LIMIT, inline_lookup, unique_keys
+from threadlens.functions.lookup import INLINE_LIMIT, bind, inline_lookup, unique_keys
 
 WORDS = r"[\p{L}\p{N}']+"
 
@@ -65,23 +65,24 @@ def _compound(total: Column, text: Column, rules: ValenceRules) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(score, 4))).cast("float")
 
 
-def _word_struct(words: Column, rules: ValenceRules) -> Column:
-    """Every word with the three before it, a capitals step and a contrast factor."""
-    low = F.transform(words, F.lower)
-    turn = F.array_position(low, F.lit(rules.contrast))  # 1-based; 0 without contrast
-    shouted = F.size(F.filter(words, _is_upper))
-    mixed = (shouted > 0) & (shouted < F.size(words))
+def _text_facts(text: Column) -> Column:
+    """The words of a text as written and in lower case, and whether only some are in capitals."""
+    words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+    return bind(words, lambda ws: bind(F.size(F.filter(ws, _is_upper)), lambda shouted: F.struct(
+        ws.alias("words"), F.transform(ws, F.lower).alias("low"),
+        ((shouted > 0) & (shouted < F.size(ws))).alias("mixed"))))
 
-    def describe(word: Column, i: Column) -> Column:
-        place = i + 1
-        return F.struct(
-            F.lower(word).alias("w"),
-            *[F.get(low, i - d).alias(f"b{d}") for d in (1, 2, 3)],
-            (F.when(mixed & _is_upper(word), K.CAPITALS_STEP).otherwise(0.0) if rules.emphasis else F.lit(0.0)).alias("caps"),
-            F.when((turn == 0) | (place == turn), 1.0).when(place < turn, 0.5).otherwise(1.5).alias("side"),
-        )
 
-    return F.transform(words, describe)
+def _context(facts: Column, turn: Column, i: Column, rules: ValenceRules) -> list[Column]:
+    """For the word at place ``i``: the three words before it, its capitals step, its contrast factor."""
+    caps = F.when(facts["mixed"] & _is_upper(F.get(facts["words"], i)), K.CAPITALS_STEP).otherwise(0.0)
+    place = i + 1  # counted like ``turn``, which is 0 without a contrast word
+    side = F.when((turn == 0) | (place == turn), 1.0).when(place < turn, 0.5).otherwise(1.5)
+    return [
+        *[F.get(facts["low"], i - d).alias(f"b{d}") for d in (1, 2, 3)],
+        (caps if rules.emphasis else F.lit(0.0)).alias("caps"),
+        side.alias("side"),
+    ]
 
 
 def _valence_of(item: Column, valence: Column, rules: ValenceRules) -> Column:
@@ -89,42 +90,53 @@ def _valence_of(item: Column, valence: Column, rules: ValenceRules) -> Column:
     return _with_context(raised, [item["b1"], item["b2"], item["b3"]], rules) * item["side"]
 
 
-def _modifiers(rules: ValenceRules) -> list[str]:
-    return [*rules.strengtheners, *rules.weakeners]
+def _is_modifier(word: Column, rules: ValenceRules) -> Column:
+    return word.isin(*rules.strengtheners, *rules.weakeners)
 
 
 def _score_inline(df: DataFrame, text_col: str, lookup: Callable, method: str, out: str, rules: ValenceRules) -> DataFrame:
     text = F.col(text_col)
     words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
     if method == "polarity":
-        hits = F.filter(F.transform(words, lambda w: lookup(F.lower(w))), lambda v: v.isNotNull())
-        total = F.aggregate(hits, F.lit(0.0), lambda acc, v: acc + v)
-        score = F.when(F.size(hits) > 0, total / F.size(hits)).otherwise(0.0).cast("float")
-    else:
-        # Only words of the lexicon (but no boosters) reach the costlier context rules.
-        items = F.filter(_word_struct(words, rules), lambda s: lookup(s["w"]).isNotNull() & ~s["w"].isin(*_modifiers(rules)))
-        total = F.aggregate(items, F.lit(0.0), lambda acc, s: acc + _valence_of(s, lookup(s["w"]), rules))
-        score = _compound(total, text, rules)
+        found = F.filter(F.transform(words, lambda w: lookup(F.lower(w))), lambda v: v.isNotNull())
+        score = bind(found, lambda vs: F.when(F.size(vs) == 0, 0.0).otherwise(
+            F.aggregate(vs, F.lit(0.0), lambda acc, v: acc + v) / F.size(vs))).cast("float")
+        return df.withColumn(out, F.when(text.isNotNull(), score))
+
+    def total(facts: Column) -> Column:
+        # One lookup per word; only the words found go on to the costlier context rules.
+        placed = F.transform(facts["low"], lambda w, i: F.struct(
+            i.alias("i"), F.when(~_is_modifier(w, rules), lookup(w)).alias("v")))
+        found = F.filter(placed, lambda p: p["v"].isNotNull())
+        return bind(F.array_position(facts["low"], F.lit(rules.contrast)).cast("int"), lambda turn: F.aggregate(
+            found, F.lit(0.0), lambda acc, p: acc + bind(
+                F.struct(*_context(facts, turn, p["i"], rules)), lambda item: _valence_of(item, p["v"], rules))))
+
+    score = bind(bind(_text_facts(text), total), lambda t: _compound(t, text, rules))
     return df.withColumn(out, F.when(text.isNotNull(), score))
 
 
 def _score_joined(df: DataFrame, text_col: str, lexicon: DataFrame, method: str, out: str, rules: ValenceRules, id_col: str) -> DataFrame:
     text = F.col(text_col)
-    words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
     table = unique_keys(lexicon, "word", "valence").select(F.col("word").alias("_w"), F.col("valence").alias("_v"))
-    items = df.select(id_col, F.explode(_word_struct(words, rules)).alias("_s")).withColumn("_w", F.col("_s.w"))
+
+    def describe(facts: Column) -> Column:
+        return bind(F.array_position(facts["low"], F.lit(rules.contrast)).cast("int"), lambda turn: F.transform(
+            facts["low"], lambda w, i: F.struct(w.alias("w"), *_context(facts, turn, i, rules))))
+
+    items = (df.select(id_col, F.explode(bind(_text_facts(text), describe)).alias("_s"))
+             .select(id_col, "_s", F.col("_s.w").alias("_w")))
     if method == "polarity":
         value = F.col("_v")
     else:
-        items = items.filter(~F.col("_w").isin(*_modifiers(rules)))
+        items = items.filter(~_is_modifier(F.col("_w"), rules))
         value = _valence_of(F.col("_s"), F.col("_v"), rules)
     sums = (items.join(table, "_w")
             .groupBy(id_col).agg(F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_hits")))
-    total = F.coalesce("_total", F.lit(0.0))
     if method == "polarity":
         score = F.coalesce(F.try_divide("_total", "_hits"), F.lit(0.0)).cast("float")
     else:
-        score = _compound(total, text, rules)
+        score = _compound(F.coalesce("_total", F.lit(0.0)), text, rules)
     return df.join(sums, id_col, "left").withColumn(out, F.when(text.isNotNull(), score)).drop("_total", "_hits")
 
 
