@@ -119,7 +119,7 @@ def lda_topic_counts(spark, sf):
 
 
 def enriched(spark, sf):
-    return N.enriched_comments(V.posts_with_topic(spark, sf), V.comments(spark, sf), V.lexicon(spark, sf), V.PHRASES, rules=V.RULES)
+    return N.enriched_comments(V.posts_with_topic(spark, sf), V.spread_comments(spark, sf), V.lexicon(spark, sf), V.PHRASES, rules=V.RULES)
 
 
 @query("negative_share_by_topic", _SHARE.format(t="-0.5", n="count_below", p="percentage_below"), "scored_facts")

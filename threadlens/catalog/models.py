@@ -48,7 +48,7 @@ def l3(spark, sf):
 def l4(spark, sf):
     from threadlens.operators.sentiment import score_sentiment
 
-    rows = score_sentiment(V.comments(spark, sf), "body", V.lexicon(spark, sf), "valence", rules=V.RULES)
+    rows = score_sentiment(V.spread_comments(spark, sf), "body", V.lexicon(spark, sf), "valence", rules=V.RULES)
     return rows.select("id", F.round(F.col("vader_score").cast("double"), 4).alias("vader_score"))
 
 
@@ -56,12 +56,12 @@ def l4(spark, sf):
 def l5(spark, sf):
     from threadlens.operators.sentiment import score_sentiment
 
-    rows = score_sentiment(V.comments(spark, sf), "body", V.lexicon(spark, sf), "polarity")
+    rows = score_sentiment(V.spread_comments(spark, sf), "body", V.lexicon(spark, sf), "polarity")
     return rows.select("id", F.round(F.col("textblob_score").cast("double"), 5).alias("textblob_score"))
 
 
 def scored_comments(spark, sf):
-    return V.scored(spark, sf, V.comments(spark, sf))
+    return V.scored(spark, sf, V.spread_comments(spark, sf))
 
 
 @query("l6_describe_scores", " UNION ALL ".join(f"""

@@ -17,6 +17,7 @@ from threadlens.operators.classify import label_articles
 from threadlens.operators.filters import (
     drop_missing_source, exclude_containing, flagged, keep, negative_flagged, table_shape)
 from threadlens.operators.ranking import add_rank_max, skip_top, top_k, top_n_per_group
+from threadlens.sources.sinks import store
 
 _PHRASE_RE = "|".join(V.PHRASES)
 
@@ -317,7 +318,7 @@ BIN_SQL = """
 
 @query("a14_binned_histogram", BIN_SQL.format(view="scores"), "scores")
 def a14(spark, sf):
-    exact_scores = A.score_histogram(V.scored(spark, sf, V.comments(spark, sf)))
+    exact_scores = A.score_histogram(V.scored(spark, sf, V.spread_comments(spark, sf)))
     return A.binned_histogram(exact_scores, "vader_score", "count", BIN_EDGES)
 
 
@@ -345,7 +346,7 @@ def a16(spark, sf):
            round(n / sum(n) OVER () * 100, 6) AS share
     FROM (SELECT topic, misinfo_class, count(*) AS n FROM facts GROUP BY 1, 2)""", "facts")
 def a17(spark, sf):
-    counts = A.count_by(V.facts(spark, sf), "topic", "misinfo_class")
+    counts = store(A.count_by(V.facts(spark, sf), "topic", "misinfo_class"), "topic-flags")
     shares = A.share_of_total(A.share_of_total(counts, "count"), "count", "topic", "share_of_topic")
     return shares.withColumns({c: F.round(c, 6) for c in ("share", "share_of_topic")})
 

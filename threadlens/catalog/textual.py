@@ -244,6 +244,6 @@ def m12(spark, sf):
           FROM (SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(body), '[^\p{L}+\s]', '', 'g'), '\s+'), lambda x: x <> '') AS ts FROM comments))
     LEFT JOIN lemmas ON w = form GROUP BY id""", ("comments", "lemmas"))
 def m13(spark, sf):
-    rows = X.normalize_tokens(V.comments(spark, sf), "body")
+    rows = X.normalize_tokens(V.spread_comments(spark, sf), "body")
     found = X.lemmatize(rows, "tokens", V.lemmas(spark, sf), "id").select("id", "lemmas")
     return found.filter(F.size("lemmas") > 0)

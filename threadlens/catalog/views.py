@@ -13,6 +13,7 @@ from threadlens.functions.labels import map_labels
 from threadlens.functions.text import flag_phrases
 from threadlens.operators.joins import join_posts_comments
 from threadlens.operators.sentiment import WORDS, ValenceRules, score_sentiment
+from threadlens.session import spread
 
 # The invented prose holds no real phrases, so the checks use words that do occur in it.
 PHRASES = ("idiot", "stupid", "worthless", "license")
@@ -83,6 +84,11 @@ def flagged_comments(spark: SparkSession, sf: str) -> DataFrame:
     return flag_phrases(comments(spark, sf), "body", PHRASES)
 
 
+def spread_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """Comments on all cores, for steps that work through every word of a text."""
+    return spread(comments(spark, sf), "id")
+
+
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """One row per comment with its post's id, time, title and topic."""
     mini = posts_with_topic(spark, sf).select("id", "created_utc", "title", "topic")
@@ -110,7 +116,10 @@ def scored(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
 
 
 def scored_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf, facts(spark, sf))
+    """:func:`facts` with both scores, made on the scan before the join."""
+    mini = posts_with_topic(spark, sf).select("id", "created_utc", "title", "topic")
+    rows = scored(spark, sf, flag_phrases(spread_comments(spark, sf), "body", PHRASES))
+    return join_posts_comments(mini, rows, "misinfo_class", "vader_score", "textblob_score")
 
 
 def exact(col: str) -> Column:

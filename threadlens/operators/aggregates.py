@@ -146,7 +146,8 @@ def share_of_total(df: DataFrame, count_col: str, group: str | None = None, out:
     """Each row's percentage of the sum of ``count_col``, over the table or over its ``group``.
 
     The sum is a partial aggregate used as a scalar, or joined back per group: no window pulls the
-    rows of a table or of a large group into one task.
+    rows of a table or of a large group into one task. ``df`` is read twice, so a result that is costly
+    to compute should be stored first.
     """
     if group is None:
         total = df.agg(F.sum(count_col).alias("t")).scalar()

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.operators.skew import join_unique
+from threadlens.sources.sinks import store
 
 _SALTS = 256
 _MAX_RANGES = 2000
@@ -74,14 +75,16 @@ def rank_max(col: str | Column, descending: bool = True) -> Column:
 def running_totals(df: DataFrame, order_col: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
     """For every value of a numeric column the sums over all rows up to and including that value.
 
-    Rows are first merged per value, so repeats cost nothing later. The distinct values are then split
+    Rows are first merged per value, so repeats cost nothing later, and the merged values are stored: the
+    input is read once, when this function is called. The distinct values are then split
     at approximate quantiles (as many as the session has shuffle partitions; these numbers are all that
     reaches the driver), summed up inside each range, and shifted by the total of the ranges before.
     The result is exact wherever the cuts fall. NULL and NaN values take no part.
     """
     ranges = min(_MAX_RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    merged = (df.filter(F.col(order_col).isNotNull() & ~F.isnan(F.col(order_col).cast("double")))
-              .groupBy(order_col).agg(*[expr.cast("bigint").alias(name) for name, expr in sums.items()]))
+    merged = store(
+        df.filter(F.col(order_col).isNotNull() & ~F.isnan(F.col(order_col).cast("double")))
+        .groupBy(order_col).agg(*[expr.cast("bigint").alias(name) for name, expr in sums.items()]), "merged-values")
     cuts = merged.select(F.col(order_col).cast("double").alias("v")).approxQuantile(
         "v", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
     edges = [float("-inf"), *sorted(set(cuts) - {float("-inf"), float("inf")}), float("inf")]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import matches_any
+from threadlens.sources.sinks import store
 
 
 def describe_scores(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -56,7 +57,8 @@ def simple_regression(df: DataFrame, target: str, feature: str) -> DataFrame:
 
 def fit_series_regression(df: DataFrame, target: str, features: list[str]) -> tuple[LinearRegressionModel, DataFrame]:
     """Least-squares model of ``target`` on the features and its predictions; rows with a NULL are left out."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in [target, *features]]).na.drop()
+    # A series has one row per period, while computing it reads the whole discussion: it is stored once.
+    rows = store(df.select(*[F.col(c).cast("double").alias(c) for c in [target, *features]]).na.drop(), "series")
     data = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
     model = LinearRegression(featuresCol="features", labelCol=target, solver="normal").fit(data)
     return model, model.transform(data)

@@ -13,6 +13,7 @@ from threadlens.operators.classify import fit_classifier
 from threadlens.operators.cluster import cluster_titles
 from threadlens.operators.joins import comment_counts_by_post
 from threadlens.operators.reshape import hash_split, undersample, unpivot_measures
+from threadlens.sources.sinks import store
 
 WRONG = ["incorrectly labeled as misinfo", "incorrectly labeled as no misinfo"]
 
@@ -39,8 +40,12 @@ def balanced_sample(articles: DataFrame, fraction: float = 0.25) -> DataFrame:
 
 
 def classified_articles(sample: DataFrame, terms=TITLE_TERMS, max_iter: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Training, test and validation part with the predictions of a classifier fitted on the first."""
-    features = term_dummies(sample, "title", terms)
+    """Training, test and validation part with the predictions of a classifier fitted on the first.
+
+    The sample has one row per article. It is stored before the fit, so that the passes of the fit and the
+    three parts read that table and not the comments behind it.
+    """
+    features = store(term_dummies(sample, "title", terms), "article-features")
     parts = hash_split(features, "id", [0.8, 0.18, 0.02])
     model = fit_classifier(parts[0], "label", list(dict.fromkeys(terms)), max_iter=max_iter)
     return tuple(model.transform(p) for p in parts)
@@ -53,7 +58,7 @@ def classifier_report(predicted: DataFrame) -> DataFrame:
 
 def wrong_predictions(report: DataFrame) -> DataFrame:
     """The two kinds of wrong predictions per topic with their share of the topic's wrong ones."""
-    return A.share_of_total(unpivot_measures(report, "topic", WRONG), "value", "topic")
+    return A.share_of_total(store(unpivot_measures(report, "topic", WRONG), "wrong-predictions"), "value", "topic")
 
 
 def title_clusters(articles: DataFrame, k: int = 5, seed: int = 13) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes the reduce side, splits skewed join partitions (also when that costs one more
 # shuffle) and turns a join to broadcast only once the measured size allows it.
@@ -40,3 +40,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not shared:
         shared = tempfile.mkdtemp(prefix="run-")
     return f"{shared.rstrip('/')}/threadlens/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a scan out to all cores if it has fewer pieces than there are cores.
+
+    For a step that is bound by the processor, over a table kept in a few small files. A table of ordinary
+    size has more pieces than that and comes back as it is, without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.session import scratch_path
+
 
 def write_table(df: DataFrame, path: str) -> None:
     """Replace the Parquet table at ``path``."""
@@ -43,3 +45,14 @@ def write_csv(
     if order_by:
         df = df.sortWithinPartitions(*order_by)
     df.write.mode("overwrite").csv(path, header=header)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Compute ``df`` once into a table of the shared scratch folder and return that table.
+
+    For results far smaller than their input that several passes read: the input is not scanned again, and
+    a lost executor costs a re-read instead of a re-run of everything before.
+    """
+    path = scratch_path(df.sparkSession, name)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
