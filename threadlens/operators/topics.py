@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizerModel, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,12 +71,14 @@ class TopicModel:
 
 def fit_topics(
     df: DataFrame, text_col: str = "title", k: int = 8, max_iter: int = 20, seed: int = 13, vocab_size: int = 5000,
-    min_df: float = 25, stop_words: list[str] | None = None, id_col: str = "id", partitions: int | None = None,
+    min_df: int = 25, stop_words: list[str] | None = None, id_col: str = "id", partitions: int | None = None,
 ) -> TopicModel:
     """Fit count vectors, IDF and LDA on the texts.
 
-    LDA depends on how rows are spread, not only on its seed, so the tokens are placed by id and ordered
-    inside each partition. They are kept (memory, then disk) while the stages pass over them.
+    LDA depends on how rows are spread and on the order of the vocabulary, not only on its seed. So the
+    tokens are placed by id and ordered inside each partition, and terms of equal frequency are ordered by
+    name. The tokens are kept (memory, then disk) while the stages pass over them; the vocabulary, at most
+    ``vocab_size`` terms, is what a count vectorizer too brings to the driver.
     """
     words = english_stop_words() if stop_words is None else list(stop_words)
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -84,8 +86,11 @@ def fit_topics(
               .select(id_col, "tokens").repartition(partitions, id_col).sortWithinPartitions(id_col)
               .persist(StorageLevel.MEMORY_AND_DISK))
     try:
+        terms = [r["term"] for r in vocabulary(tokens, "tokens", vocab_size, min_df).collect()]
+        if not terms:
+            raise ValueError(f"no term occurs in {min_df} texts")
         model = Pipeline(stages=[
-            CountVectorizer(inputCol="tokens", outputCol="raw_features", vocabSize=vocab_size, minDF=min_df),
+            CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="raw_features"),
             IDF(inputCol="raw_features", outputCol="features"),
             LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features"),
         ]).fit(tokens)
