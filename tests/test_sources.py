@@ -57,7 +57,7 @@ def test_views(spark):
     assert spark.sql("SELECT count(*) FROM tl_numbers").first()[0] == 4
 
 
-def test_filter_job_counts_while_writing(spark, tmp_path):
+def test_filter_job(spark, tmp_path):
     source, target = str(tmp_path / "s"), str(tmp_path / "t")
     O.write_table(spark.createDataFrame([("news",), ("News",), ("x",)], "subreddit string"), source)
     assert job.filter_table(spark, source, target, "subreddit", "worldnews, news") == 1

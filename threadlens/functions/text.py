@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.lookup import inline_lookup, unique_keys
+from threadlens.functions.lookup import bind, inline_lookup, unique_keys
 
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*:"
 _PLAIN = re.compile(r"[\w\s@&:;,!'\"/%#=<>~`-]*", re.UNICODE)
@@ -49,27 +49,29 @@ def news_source(url: str | Column, strip_nested_scheme: bool = True) -> Column:
     the source ``https:``, so the scheme is removed; ``strip_nested_scheme=False`` keeps the old result.
     """
     url = F.col(url) if isinstance(url, str) else url
-    authority = url_authority(url)
     nested = F.when(F.contains(url, F.lit("amp/s/")), _after_first(url, "amp/s/")).when(
         F.contains(url, F.lit("url=")), _after_first(url, "url="))
     if strip_nested_scheme:
         nested = F.regexp_replace(nested, rf"^{_SCHEME}//", "")
-    domain = F.when(
-        F.contains(authority, F.lit("www.google.com")), F.regexp_extract(nested, r"^([^/?#]*)", 1)
-    ).otherwise(authority)
-
-    first = F.substring_index(domain, ".", 1)
-    label = F.when(
-        first.isin("www", "amp"), F.try_element_at(F.split(domain, r"\."), F.lit(2))
-    ).otherwise(first)
-    has_path = url.rlike(rf"^(?:{_SCHEME})?//[^/?#]*/")
-    account = F.regexp_extract(url, rf"^(?:{_SCHEME})?//[^/?#]*/([^/?#]*)", 1)
-    open_bracket, close_bracket = F.contains(authority, F.lit("[")), F.contains(authority, F.lit("]"))
-    return (
-        F.when(label.isNull() | (open_bracket != close_bracket), F.lit(None).cast("string"))
-        .when(F.contains(domain, F.lit("twitter.com")), F.when(has_path, account).otherwise(label))
-        .otherwise(F.lower(label))
-    )
+
+    def domain_of(authority: Column) -> Column:
+        closed = F.contains(authority, F.lit("[")) == F.contains(authority, F.lit("]"))
+        return F.when(~closed, None).when(
+            F.contains(authority, F.lit("www.google.com")), F.regexp_extract(nested, r"^([^/?#]*)", 1)
+        ).otherwise(authority)
+
+    def label_of(domain: Column) -> Column:
+        return bind(F.split(domain, r"\.", 3), lambda parts: F.when(
+            F.get(parts, F.lit(0)).isin("www", "amp"), F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))))
+
+    def account_or(label: Column) -> Column:
+        path = rf"^(?:{_SCHEME})?//[^/?#]*/"
+        return F.when(url.rlike(path), F.regexp_extract(url, path + "([^/?#]*)", 1)).otherwise(label)
+
+    # Each step is bound, so that a filter on the source, which Spark copies below the projection, parses
+    # a URL once and not once per mention.
+    return bind(bind(url_authority(url), domain_of), lambda domain: bind(label_of(domain), lambda label: F.when(
+        label.isNotNull() & F.contains(domain, F.lit("twitter.com")), account_or(label)).otherwise(F.lower(label))))
 
 
 def matches_any(col: str | Column, phrases: tuple[str, ...] | list[str]) -> Column:

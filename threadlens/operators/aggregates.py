@@ -109,11 +109,13 @@ def binned_histogram(df: DataFrame, score_col: str, count_col: str, edges: list[
     bin_no = F.when(score < cuts[0], None)
     for i, edge in enumerate(cuts[1:]):
         bin_no = bin_no.when(score <= edge, i)
-    sums = df.groupBy(bin_no.alias("bin")).agg(F.sum(count_col).alias("_n"))
-    labels = [(i, f"[{lo:.1f}~{hi:.1f}]") for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
-    bins = df.sparkSession.createDataFrame(labels, "bin int, binned string").coalesce(1)
-    return (bins.join(sums, "bin", "left")
-            .select("bin", "binned", F.coalesce("_n", F.lit(0)).alias("count")))
+    # The bins are few and known: one counter each, no join to a table of bins.
+    spans = list(enumerate(zip(cuts, cuts[1:])))
+    sums = df.select(bin_no.alias("_bin"), F.col(count_col).alias("_n")).agg(*[
+        F.coalesce(F.sum(F.when(F.col("_bin") == i, F.col("_n"))), F.lit(0)).alias(f"_{i}") for i, _ in spans])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("bin"), F.lit(f"[{low:.1f}~{high:.1f}]").alias("binned"), F.col(f"_{i}").alias("count"))
+        for i, (low, high) in spans])))
 
 
 def prediction_analysis(

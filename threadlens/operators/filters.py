@@ -32,9 +32,8 @@ def drop_missing_source(
     df: DataFrame, url_col: str = "url", source_col: str = "source", excluded=EXCLUDED_SOURCES
 ) -> DataFrame:
     """Rows with a URL and with a source that is neither empty nor in ``excluded``; NULLs go too."""
-    return df.filter(
-        (F.col(url_col) != "") & (F.col(source_col) != "") & ~F.col(source_col).isin(list(excluded))
-    )
+    source = F.coalesce(F.col(source_col), F.lit(""))  # named once: the source may be a costly expression
+    return df.filter((F.col(url_col) != "") & ~source.isin("", *excluded))
 
 
 def exclude_containing(df: DataFrame, col: str, substrings) -> DataFrame:
