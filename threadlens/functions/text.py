@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.lookup import bind, inline_lookup, unique_keys
+from threadlens.operators.skew import join_unique
 
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*:"
 _PLAIN = re.compile(r"[\w\s@&:;,!'\"/%#=<>~`-]*", re.UNICODE)
@@ -139,7 +140,7 @@ def lemmatize(df: DataFrame, tokens_col: str, lemma_df: DataFrame, id_col: str,
         return df.withColumn(out, F.transform(tokens_col, lambda w: F.coalesce(lookup(w), w)))
     lemmas = unique_keys(lemma_df, "form", "lemma")
     placed = df.select(id_col, F.posexplode(tokens_col).alias("_pos", "form"))
-    words = (placed.join(lemmas, "form", "left")
+    words = (join_unique(placed, lemmas, "form", "left")
              .groupBy(id_col)
              .agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("w")))).alias("_w"))
              .select(id_col, F.transform("_w", lambda p: p["w"]).alias(out)))

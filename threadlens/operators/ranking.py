@@ -11,6 +11,7 @@ from threadlens.sources.sinks import store
 
 _SALTS = 256
 _MAX_RANGES = 2000
+_BROADCAST_ROWS = 10_000
 
 
 def _descending(order_cols: list[str]) -> list[Column]:
@@ -57,7 +58,9 @@ def skip_top(df: DataFrame, order_cols: list[str], key: str, n: int = 1) -> Data
     neither sorted nor numbered.
     """
     first = top_k(df, order_cols, n, key).select(F.col(key).alias("_first"))
-    return df.join(F.broadcast(first), F.col(key).eqNullSafe(F.col("_first")), "left_anti")
+    if n <= _BROADCAST_ROWS:
+        first = F.broadcast(first)
+    return df.join(first, F.col(key).eqNullSafe(F.col("_first")), "left_anti")
 
 
 def rank_max(col: str | Column, descending: bool = True) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadlens import constants as K
 from threadlens.functions.lookup import INLINE_LIMIT, bind, inline_lookup, unique_keys
+from threadlens.operators.skew import join_unique
 
 WORDS = r"[\p{L}\p{N}']+"
 
@@ -131,7 +132,7 @@ def _score_joined(df: DataFrame, text_col: str, lexicon: DataFrame, method: str,
     else:
         items = items.filter(~_is_modifier(F.col("_w"), rules))
         value = _valence_of(F.col("_s"), F.col("_v"), rules)
-    sums = (items.join(table, "_w")
+    sums = (join_unique(items, table, "_w")
             .groupBy(id_col).agg(F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_hits")))
     if method == "polarity":
         score = F.coalesce(F.try_divide("_total", "_hits"), F.lit(0.0)).cast("float")

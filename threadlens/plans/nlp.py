@@ -36,12 +36,13 @@ def enriched_comments(
     return join_posts_comments(mini, rows, "misinfo_class", "vader_score", "textblob_score")
 
 
-def save_enriched(enriched: DataFrame, path: str) -> DataFrame:
+def save_enriched(enriched: DataFrame, path: str, rebalance: bool = False) -> DataFrame:
     """Write the enriched comments by year of the comment and return the table read back.
 
-    Reports that follow read columns from here and never repeat the join or the scoring.
+    Reports that follow read columns from here and never repeat the join or the scoring. The tasks of the
+    join write their rows as they are; ``rebalance`` trades a further exchange of all texts for fewer files.
     """
-    write_by_year(enriched, "comment_created", path, rebalance=True)
+    write_by_year(enriched, "comment_created", path, rebalance)
     return read_table(enriched.sparkSession, path)
 
 
