@@ -53,3 +53,15 @@ def test_comments_are_counted_before_the_join(spark):
     posts, comments = V.posts_with_topic(spark, SMALL), V.flagged_comments(spark, SMALL)
     text = plan(N.topic_misinfo_total(posts, comments))
     assert text.index("Join") < text.index("partial_count")
+
+
+def test_negative_filter_scores_once_and_after_the_flag(spark):
+    text = plan(QUERIES["p10_negative_flagged"](spark, SMALL))
+    condition = next(line for line in text.splitlines() if "Filter" in line and "regexp_extract_all" in line)
+    assert condition.count("regexp_extract_all") == 1
+    assert condition.index("Contains(") < condition.index("regexp_extract_all")
+
+
+def test_bins_do_not_repeat_the_score(spark):
+    text = plan(QUERIES["a14_binned_histogram"](spark, SMALL))
+    assert text.count("regexp_extract_all") == 1 and "Join" not in text

@@ -12,7 +12,7 @@ from threadlens.constants import TOPIC_NAMES
 from threadlens.functions.labels import map_labels
 from threadlens.functions.text import flag_phrases
 from threadlens.operators.joins import join_posts_comments
-from threadlens.operators.sentiment import WORDS, ValenceRules, score_sentiment
+from threadlens.operators.sentiment import WORDS, Lexicon, ValenceRules, score_sentiment
 from threadlens.session import spread
 
 # The invented prose holds no real phrases, so the checks use words that do occur in it.
@@ -111,7 +111,7 @@ def lemmas(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
     """``df`` with both sentiment scores of its ``body``."""
-    words = lexicon(spark, sf)
+    words = Lexicon.of(lexicon(spark, sf))
     return score_sentiment(score_sentiment(df, "body", words, "valence", rules=RULES), "body", words, "polarity")
 
 

@@ -42,8 +42,12 @@ def exclude_containing(df: DataFrame, col: str, substrings) -> DataFrame:
 
 
 def negative_flagged(df: DataFrame, score_col: str = "vader_score", flag_col: str = "misinfo_class") -> DataFrame:
-    """Flagged rows with a negative score."""
-    return df.filter((F.col(score_col) < 0) & F.col(flag_col))
+    """Flagged rows with a negative score.
+
+    The flag is tested first, and the score in a form to which Spark adds no test for NULL in front: where
+    the score is still an expression, it is computed for flagged rows only and once.
+    """
+    return df.filter(F.col(flag_col) & F.coalesce(F.col(score_col) < 0, F.lit(False)))
 
 
 def flagged(df: DataFrame, flag_col: str = "misinfo_class") -> DataFrame:

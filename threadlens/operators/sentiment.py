@@ -26,6 +26,20 @@ class ValenceRules:
     emphasis: bool = True  # capitals, '!' and '?'; cleaned text has none of them
 
 
+@dataclass(frozen=True)
+class Lexicon:
+    """A word table ready for scoring: fetched once if it may travel inside the plan, else kept as a table."""
+
+    table: DataFrame
+    lookup: Callable[[Column], Column] | None
+
+    @classmethod
+    def of(cls, lexicon_df: DataFrame, inline_limit: int = INLINE_LIMIT) -> Lexicon:
+        """Prepare ``lexicon_df(word, valence)``; several scores over it then share one fetch."""
+        table = lexicon_df.select("word", F.col("valence").cast("double").alias("valence"))
+        return cls(table, inline_lookup(table, "word", "valence", inline_limit))
+
+
 def _boost(word: Column, rules: ValenceRules) -> Column:
     return (F.when(word.isin(*rules.strengtheners), K.BOOSTER_STEP)
             .when(word.isin(*rules.weakeners), -K.BOOSTER_STEP).otherwise(0.0))
@@ -144,7 +158,7 @@ def _score_joined(df: DataFrame, text_col: str, lexicon: DataFrame, method: str,
 def score_sentiment(
     df: DataFrame,
     text_col: str,
-    lexicon_df: DataFrame,
+    lexicon_df: DataFrame | Lexicon,
     method: str = "valence",
     out: str | None = None,
     rules: ValenceRules = ValenceRules(),
@@ -162,9 +176,9 @@ def score_sentiment(
     size of ``df``. A larger lexicon is joined word by word, for which ``id_col`` must name a unique column.
     """
     out = out or {"valence": "vader_score", "polarity": "textblob_score"}[method]
-    lookup = inline_lookup(lexicon_df.withColumn("valence", F.col("valence").cast("double")), "word", "valence", inline_limit)
-    if lookup is not None:
-        return _score_inline(df, text_col, lookup, method, out, rules)
+    lexicon = lexicon_df if isinstance(lexicon_df, Lexicon) else Lexicon.of(lexicon_df, inline_limit)
+    if lexicon.lookup is not None:
+        return _score_inline(df, text_col, lexicon.lookup, method, out, rules)
     if id_col is None:
         raise ValueError("a lexicon beyond the inline limit needs id_col, a unique column of df")
-    return _score_joined(df, text_col, lexicon_df, method, out, rules, id_col)
+    return _score_joined(df, text_col, lexicon.table, method, out, rules, id_col)
