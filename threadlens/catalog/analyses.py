@@ -32,12 +32,11 @@ def top_sources_per_community(spark, sf):
 
 
 @query("source_rankings", f"""
-    SELECT source, format('{{:,}}', frequency) AS frequency, format('{{:,}}', total_score) AS karma_score, CAST(r AS INTEGER) AS "score rank"
-    FROM (SELECT *, count(*) OVER (ORDER BY total_score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
+    SELECT source, format('{{:,}}', f) AS frequency, format('{{:,}}', s) AS karma_score, CAST(r AS INTEGER) AS "score rank"
+    FROM (SELECT *, count(*) OVER (ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
           FROM (SELECT CASE lower(source) WHEN 'ththed' THEN 'thther' ELSE lower(source) END AS source,
-                       CAST(sum(frequency) AS BIGINT) AS frequency, CAST(sum(total_score) AS BIGINT) AS total_score
-                FROM ({_TOP}) GROUP BY 1))
-    ORDER BY frequency::VARCHAR IS NULL, CAST(replace(format('{{:,}}', frequency), ',', '') AS BIGINT) DESC, source LIMIT 10""", "sourced")
+                       CAST(sum(frequency) AS BIGINT) AS f, CAST(sum(total_score) AS BIGINT) AS s FROM ({_TOP}) GROUP BY 1))
+    ORDER BY f DESC, source LIMIT 10""", "sourced")
 def source_rankings(spark, sf):
     return E.source_rankings(V.posts(spark, sf), aliases={"ththed": "thther"})
 
