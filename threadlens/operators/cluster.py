@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from threadlens.constants import UNCLUSTERED_TOPICS
 from threadlens.functions.text import tokenize
 from threadlens.operators.filters import exclude_containing
+from threadlens.session import partitions_for
 
 
 def title_features(topic_col: str = "topic", buckets: int = 1000, normalize: bool = False) -> list:
@@ -38,9 +39,9 @@ def cluster_titles(
     are kept while the models pass over them. The result is computed from the models, row by row.
     """
     rows = exclude_containing(df.select(id_col, text_col, topic_col), topic_col, excluded_topics)
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = (tokenize(rows.filter(F.col(text_col).isNotNull()), text_col, "words").select(id_col, topic_col, "words")
-             .repartition(partitions, id_col).sortWithinPartitions(id_col).persist(StorageLevel.MEMORY_AND_DISK))
+    rows = rows.filter(F.col(text_col).isNotNull())
+    words = (tokenize(rows, text_col, "words").select(id_col, topic_col, "words")
+             .repartition(partitions_for(rows), id_col).sortWithinPartitions(id_col).persist(StorageLevel.MEMORY_AND_DISK))
     try:
         model = Pipeline(stages=[
             *title_features(topic_col, buckets, normalize),

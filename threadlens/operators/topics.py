@@ -16,6 +16,7 @@ from threadlens.constants import TITLE_STOP_WORDS, TOPIC_NAMES
 from threadlens.functions.labels import argmax, indices_to_terms, map_labels
 from threadlens.functions.text import normalize_tokens, remove_stop_words
 from threadlens.operators.ranking import top_k
+from threadlens.session import partitions_for
 
 
 def english_stop_words(extra=TITLE_STOP_WORDS) -> list[str]:
@@ -81,8 +82,9 @@ def fit_topics(
     ``vocab_size`` terms, is what a count vectorizer too brings to the driver.
     """
     words = english_stop_words() if stop_words is None else list(stop_words)
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = (title_tokens(df.select(id_col, text_col).filter(F.col(text_col).isNotNull()), text_col, words)
+    texts = df.select(id_col, text_col).filter(F.col(text_col).isNotNull())
+    partitions = partitions or partitions_for(texts)
+    tokens = (title_tokens(texts, text_col, words)
               .select(id_col, "tokens").repartition(partitions, id_col).sortWithinPartitions(id_col)
               .persist(StorageLevel.MEMORY_AND_DISK))
     try:

@@ -50,3 +50,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def partitions_for(df: DataFrame, rows: int = 20_000) -> int:
+    """How many partitions of about ``rows`` rows ``df`` fills: a number that depends on the data alone.
+
+    A model whose result depends on partitioning then repeats on any cluster.
+    """
+    return max(1, -(-df.count() // rows))
