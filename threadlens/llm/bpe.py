@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from threadlens.llm.common import ship
+
 #: White space of the vocabulary's splitting rule (fixed values: Unicode White_Space).
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT = re.compile(f"[{_SPACES}]+")
@@ -177,6 +179,7 @@ def _encoder(content) -> Encoder:
 
 
 def _map_texts(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, row) -> DataFrame:
+    ship(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # of fixed size: a vocabulary
     picked = docs.select(id_col, text_col)

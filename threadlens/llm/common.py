@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,3 +49,17 @@ def ordinals(df: DataFrame, keys: Sequence[Column], name: str) -> DataFrame:
     return (numbered.join(F.broadcast(starts), "__range")
             .withColumn(name, F.col("__first") + F.col("__inside"))
             .drop("__range", "__inside", "__first"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of this session the package, as ``--py-files`` would; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_package_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._package_shipped = True

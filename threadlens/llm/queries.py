@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from threadlens.llm.bpe import digest_documents
 from threadlens.llm.common import table
+from threadlens.llm.fingerprints import edit_study
 from threadlens.llm.mixing import mixing_plan
+from threadlens.llm.simhash import fingerprint_hex, near_duplicate_groups
 from threadlens.llm.url_filter import filter_urls
 
 QUERIES: dict = {}
@@ -57,6 +59,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 @query("op10_mixing", r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ('0x' || substr(md5('mix:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw FROM documents),
@@ -75,3 +84,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     plan = mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and their likeness."""
+    study = edit_study(table(spark, sf_dir, "documents"))
+    return study.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")

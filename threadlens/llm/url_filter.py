@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.llm.common import ship
+
 #: More rules than this are not broadcast but joined; both ways give the same rows.
 MAX_TRIE_RULES = 500_000
 
@@ -80,6 +82,7 @@ class RuleTrie:
 
 
 def _judge_by_trie(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    ship(urls.sparkSession)
     shared = urls.sparkSession.sparkContext.broadcast(RuleTrie(rules))
 
     def judge(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
