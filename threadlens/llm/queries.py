@@ -11,6 +11,7 @@ from threadlens.llm.common import table
 from threadlens.llm.fingerprints import edit_study
 from threadlens.llm.mixing import mixing_plan
 from threadlens.llm.simhash import fingerprint_hex, near_duplicate_groups
+from threadlens.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from threadlens.llm.url_filter import filter_urls
 
 QUERIES: dict = {}
@@ -92,3 +93,13 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     study = edit_study(table(spark, sf_dir, "documents"))
     return study.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
                         "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
+    return score_toxicity(docs, model).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
