@@ -10,6 +10,7 @@ from threadlens.llm.bpe import digest_documents
 from threadlens.llm.common import table
 from threadlens.llm.fingerprints import edit_study
 from threadlens.llm.mixing import mixing_plan
+from threadlens.llm.quality_rules import judge_quality
 from threadlens.llm.simhash import fingerprint_hex, near_duplicate_groups
 from threadlens.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from threadlens.llm.url_filter import filter_urls
@@ -103,3 +104,46 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select(
         F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+_FENCES = """
+marked AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    CASE WHEN n_words = 0 THEN 0 ELSE word_chars * 100 // n_words END AS word_length,
+    CASE WHEN word_chars = 0 THEN 0 ELSE n_symbols * 10000 // word_chars END AS symbol_share,
+    CASE WHEN n_lines = 0 THEN 0 ELSE n_dup_lines * 10000 // n_lines END AS dup_line_share,
+    CASE WHEN n_words = 0 THEN 0 ELSE n_repeat_words * 10000 // n_words END AS repeat_share FROM counted),
+vals AS (SELECT lang, source, m, v FROM (SELECT lang, source, word_length, symbol_share, dup_line_share, repeat_share FROM marked WHERE NOT base_failed)
+    UNPIVOT (v FOR m IN (word_length, symbol_share, dup_line_share, repeat_share))),
+floors AS (SELECT lang, source, m, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS v FROM vals),
+own AS (SELECT lang, source, m, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM floors GROUP BY ALL),
+by_lang AS (SELECT lang, m, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM floors GROUP BY ALL),
+by_all AS (SELECT m, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM floors GROUP BY ALL),
+picked AS (SELECT o.lang, o.source, o.m,
+    CASE WHEN o.n >= 200 THEN o.q1 WHEN l.n >= 200 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE a.q3 END AS q3
+    FROM own o JOIN by_lang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.m = o.m JOIN by_all a ON a.m = o.m),
+fences AS (SELECT lang, source,
+    max(q1 - greatest(150, 3 * (q3 - q1))) FILTER (m = 'word_length') AS wl, max(q3 + greatest(500, 3 * (q3 - q1))) FILTER (m = 'word_length') AS wh,
+    max(q3 + greatest(1000, 3 * (q3 - q1))) FILTER (m = 'symbol_share') AS sh, max(q3 + greatest(3000, 3 * (q3 - q1))) FILTER (m = 'dup_line_share') AS dh,
+    max(q3 + greatest(1000, 3 * (q3 - q1))) FILTER (m = 'repeat_share') AS rh FROM picked GROUP BY ALL)
+SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND coalesce(word_length >= wl, true) AND coalesce(word_length <= wh, true) AND coalesce(symbol_share <= sh, true)
+    AND coalesce(dup_line_share <= dh, true) AND coalesce(repeat_share <= rh, true) AS kept
+FROM marked d LEFT JOIN fences f ON f.lang IS NOT DISTINCT FROM d.lang AND f.source IS NOT DISTINCT FROM d.source"""
+
+
+@query("op7_quality_rules", r"""
+WITH split AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) >= 5)),
+reps AS (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM reps, range(0, 5) t(k) GROUP BY doc_id),
+counted AS (SELECT s.doc_id, lang, source, len(w)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
+    (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words FROM split s LEFT JOIN cover c USING (doc_id)),""" + _FENCES)
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document under thresholds of its language and source."""
+    judged = judge_quality(table(spark, sf_dir, "documents"))
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
