@@ -11,6 +11,7 @@ from threadlens.llm.common import table
 from threadlens.llm.fingerprints import edit_study
 from threadlens.llm.mixing import mixing_plan
 from threadlens.llm.quality_rules import judge_quality
+from threadlens.llm.secrets import find_secrets, joined_spans
 from threadlens.llm.simhash import fingerprint_hex, near_duplicate_groups
 from threadlens.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from threadlens.llm.url_filter import filter_urls
@@ -147,3 +148,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document under thresholds of its language and source."""
     judged = judge_quality(table(spark, sf_dir, "documents"))
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = ["assign", "access", "hex"]
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS LONG)").alias(f"n_{k}") for k in base]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined_spans(F.col("spans"), base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
