@@ -137,7 +137,7 @@ def fingerprint_hex(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays (NULL last).
 
     Of rows that repeat an id and a text one stays. The choice is a minimum per group, built before the exchange.

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -275,8 +276,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
 
 def toxicity_score(spark, model: ToxicityModel):
     """The score as a column function."""
-    import pandas as pd
-
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
