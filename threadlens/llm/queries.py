@@ -13,6 +13,7 @@ from threadlens.llm.mixing import mixing_plan
 from threadlens.llm.quality_rules import judge_quality
 from threadlens.llm.secrets import find_secrets, joined_spans
 from threadlens.llm.simhash import fingerprint_hex, near_duplicate_groups
+from threadlens.llm.token_output import write_shards
 from threadlens.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from threadlens.llm.url_filter import filter_urls
 
@@ -157,3 +158,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ["assign", "access", "hex"]
     counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS LONG)").alias(f"n_{k}") for k in base]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined_spans(F.col("spans"), base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
+
+
+@query("op9_token_output")
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every training sequence with its slot, its place in the shards and the documents in it."""
+    return write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
