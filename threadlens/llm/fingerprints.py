@@ -14,9 +14,11 @@ table gives no rows; only id and text are read. Words are split at ASCII white s
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -103,7 +105,7 @@ def merge_fingerprints(prints: DataFrame, by: list[str], k: int = K) -> DataFram
     The hashes are made distinct per group, then the k smallest are kept by a ranked limit. Spark applies both before
     the exchange too, so a group that holds a third of all rows sends at most k rows per task to the last step.
     """
-    one = F.transform(F.sequence(F.lit(0), F.length("fingerprint") / 8 - 1), lambda i: F.substr(F.col("fingerprint"), i.cast("int") * 8 + 1, F.lit(8)))
+    one = F.regexp_extract_all("fingerprint", F.lit(".{8}"), 0)
     hashes = prints.select(*by, F.explode(F.when(F.col("fingerprint") != "", one).otherwise(F.array(F.lit("")))).alias("hash")).distinct()
     order = F.hex(F.unbase64("hash"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy((F.col("hash") == "").cast("int"), order))
@@ -113,8 +115,6 @@ def merge_fingerprints(prints: DataFrame, by: list[str], k: int = K) -> DataFram
 
 def compare_fingerprints(a: Column, b: Column, k: int = K) -> Column:
     """Struct of resemblance, containment (of ``a`` in ``b``) of two fingerprint columns."""
-    import pandas as pd
-
     @F.pandas_udf("resemblance double, containment double")
     def compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         pairs = [(from_text(x), from_text(y)) for x, y in zip(left, right)]
@@ -123,6 +123,22 @@ def compare_fingerprints(a: Column, b: Column, k: int = K) -> Column:
     return compare(a, b)
 
 
+def _constants(values: list, kind: str) -> Column:
+    """A constant array."""
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+
+def _range_of(value: Column, cuts: list) -> Column:
+    """How many of the sorted cut points are not above the value: first by every k-th of them, then inside the block."""
+    if not cuts:
+        return F.lit(0)
+    size = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[at : at + size] for at in range(0, len(cuts), size)]
+    block = F.size(F.filter(F.array(*[F.lit(b[0]) for b in blocks]), lambda c: c <= value))
+    inside = F.size(F.filter(F.get(F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks]), block - 1), lambda c: c <= value))
+    return F.when(block == 0, 0).otherwise((block - 1) * size + inside)
+
+
 def edit_study(docs: DataFrame, words: int = WORDS, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """How the fingerprint of every text stands to that of an edited text and to that of the next document.
 
@@ -136,17 +152,19 @@ def edit_study(docs: DataFrame, words: int = WORDS, k: int = K, id_col: str = "d
     ship(spark)
     parts = 4 * partitions_of(spark)
     ids = docs.select(F.col(id_col).alias("id"))
+    kind = ids.schema["id"].dataType.simpleString()
     fractions = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = sorted(set(ids.agg(F.percentile_approx("id", fractions, F.lit(100 * parts))).first()[0] or []))
-    cut_list = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast(f"array<{ids.schema['id'].dataType.simpleString()}>")
-    part = F.coalesce(F.size(F.filter(cut_list, lambda c: c <= F.col("id"))), F.lit(0))
-    part = F.when(F.col("id").isNull(), 0).otherwise(part)
+    part = F.when(F.col("id").isNull(), 0).otherwise(_range_of(F.col("id"), cuts))
     firsts = ids.withColumn("part", part).groupBy("part").agg(F.min("id").alias("first"), F.count_if(F.col("id").isNull()).alias("nulls")).orderBy("part").collect()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("part", part)
-    before = F.lit(None).cast("int")
-    for k_, row in enumerate(firsts):
-        begins = F.col("id").isNull() if row["nulls"] else F.col("id") == F.lit(row["first"])
-        before = F.when((F.col("part") == row["part"]) & begins, F.lit(firsts[k_ - 1]["part"])).otherwise(before)
+    earlier, begin = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
+    for place, row in enumerate(firsts):
+        earlier[row["part"]], begin[row["part"]] = firsts[place - 1]["part"], row["first"]
+    nulls = bool(firsts) and firsts[0]["nulls"] > 0
+    begins = F.when(F.col("part") == 0, F.col("id").isNull()).otherwise(F.lit(False)) if nulls else F.lit(False)
+    begins |= (F.col("id") == F.get(_constants(begin, kind), F.col("part"))) & ~((F.col("part") == 0) & F.lit(nulls))
+    before = F.when(F.coalesce(begins, F.lit(False)), F.get(_constants(earlier, "int"), F.col("part")))
     places = F.array(F.struct(F.col("part").alias("at"), F.lit(0).alias("ahead")), F.struct(before.alias("at"), F.lit(1).alias("ahead")))
     dealt = (rows.select("id", "text", F.explode(F.filter(places, lambda p: p["at"].isNotNull())).alias("place"))
              .select("id", F.coalesce("text", F.lit("")).alias("text"), "place.*")
@@ -167,7 +185,6 @@ def edit_study(docs: DataFrame, words: int = WORDS, k: int = K, id_col: str = "d
             columns = list(zip(*out)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    kind = ids.schema["id"].dataType.simpleString()
     return dealt.mapInArrow(run, f"id {kind}, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
