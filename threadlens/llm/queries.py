@@ -13,6 +13,7 @@ from threadlens.llm.mixing import mixing_plan
 from threadlens.llm.quality_rules import judge_quality
 from threadlens.llm.secrets import find_secrets, joined_spans
 from threadlens.llm.simhash import fingerprint_hex, near_duplicate_groups
+from threadlens.llm.substring_dedup import repeated_passages
 from threadlens.llm.token_output import write_shards
 from threadlens.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from threadlens.llm.url_filter import filter_urls
@@ -164,3 +165,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every training sequence with its slot, its place in the shards and the documents in it."""
     return write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that stand in several documents, and which of them go."""
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "words", "removed", "components")
