@@ -1,12 +1,13 @@
 """Passages that repeat across documents: paragraph MinHash banding.
 
-Paragraphs are cut by content: after every word whose hash is the least among ``RADIUS`` words on both sides (about 13
+Paragraphs are cut by content: after every word whose hash is the least among ``RADIUS`` words on both sides (about 11
 words each). A passage that is copied into another text is therefore cut at the same places there, wherever it stands,
 and only the paragraphs at its ends differ. A paragraph is the set of its shingles of five words; its MinHash values
 make ``bands`` keys of ``rows`` values each, tuned so that a pair at the threshold shares a key with the wanted
 probability. Colliding paragraphs are joined by key, verified by their exact Jaccard similarity, and verified links
-make components. The first occurrence of a component stays, the others are removals. Neighbouring paragraphs that repeat
-make one passage; passages of fewer than ``min_words`` words are left alone.
+make components. The first occurrence of a component stays, the others are removals. Paragraphs that repeat
+make one passage with the next one, at most ``GAP`` changed ones between; passages of fewer than ``min_words`` repeated
+words are left alone.
 
 Equal paragraphs are one node, and are collected once per batch before the exchange. Keys with up to ``FEW`` different
 paragraphs give their pairs. Those of more go another way: their paragraphs are dealt out in tiles, every two tiles
@@ -35,8 +36,10 @@ from threadlens.llm.common import ship
 from threadlens.llm.components import connected_components
 from threadlens.sources.sinks import store
 
-RADIUS = 6
+RADIUS = 5
 WORDS = 5
+#: Changed paragraphs inside a passage that are passed over.
+GAP = 2
 #: Different paragraphs of a key up to which their pairs are written.
 FEW = 16
 #: Members of a tile of a key with more.
@@ -243,8 +246,8 @@ def verified_links(found: DataFrame, sets: DataFrame, threshold: float, tile: in
     return near.unionByName(groups.mapInArrow(run, "a long, b long"))
 
 
-def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0.98, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, start, end (bytes of UTF-8, end exclusive), words, removed, components: the passages of every document that
+def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0.98, min_words: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, start, end (bytes of UTF-8, end exclusive), words (that repeat), removed, components: the passages of every document that
     also stand in another one. Of each component the first paragraph stays (``removed`` is false there)."""
     ship(docs.sparkSession)
     rows = 2
@@ -258,7 +261,8 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0
     order = F.struct(F.col("id").isNull().alias("late"), "id", "text_key", "number")
     shared = named.groupBy("component").agg(F.min(order).alias("first"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls")).where("low < high OR (low IS NOT NULL AND nulls > 0) OR nulls > 1")
     marked = named.join(shared, "component").withColumn("removed", order != F.col("first")).dropDuplicates(["id", "text_key", "number"])
-    number = F.col("number") - F.row_number().over(Window.partitionBy("id", "text_key", "removed").orderBy("number"))
-    runs = marked.withColumn("run", number).groupBy("id", "text_key", "removed", "run").agg(
+    inside = Window.partitionBy("id", "text_key", "removed").orderBy("number")
+    apart = F.coalesce(F.col("number") - F.lag("number").over(inside) > GAP + 1, F.lit(False)).cast("int")
+    runs = marked.withColumn("apart", apart).withColumn("run", F.sum("apart").over(inside)).groupBy("id", "text_key", "removed", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.array_sort(F.collect_set("component")).alias("components"))
     return runs.where(F.col("words") >= min_words).select("id", "start", "end", "words", "removed", "components")
