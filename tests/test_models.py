@@ -44,8 +44,15 @@ def test_topics_repeat_with_seed(model, posts):
 def test_assigned_topics_keep_the_post_columns(model, posts):
     topics = assign_topic(model, posts)
     assert topics.columns == [*posts.columns, "topic_num", "topic"]
-    assert {r["topic"] for r in topics.select("topic").distinct().collect()} <= set(TOPIC_NAMES.values())
-    assert {r[0] for r in rows(topics.select("topic_num").distinct())} <= set(range(8))
+    assert {r["topic"] for r in topics.select("topic").distinct().collect()} <= {None, *TOPIC_NAMES.values()}
+    assert {r[0] for r in rows(topics.select("topic_num").distinct())} <= {None, *range(8)}
+    assert topics.count() == posts.count()
+
+
+def test_posts_without_title_or_known_word_stay_without_topic(model, posts):
+    odd = posts.limit(2).withColumn("title", F.lit(None).cast("string")).unionByName(posts.limit(1).withColumn("title", F.lit("zzzz qqqq")))
+    got = assign_topic(model, odd).collect()
+    assert [(r["topic_num"], r["topic"]) for r in got] == [(None, None)] * 3 and [r["title"] for r in got] == [None, None, "zzzz qqqq"]
 
 
 def test_vocabulary_and_idf(spark):

@@ -65,3 +65,14 @@ def test_negative_filter_scores_once_and_after_the_flag(spark):
 def test_bins_do_not_repeat_the_score(spark):
     text = plan(QUERIES["a14_binned_histogram"](spark, SMALL))
     assert text.count("regexp_extract_all") == 1 and "Join" not in text
+
+
+@pytest.mark.parametrize("name", ["period_summary_week", "period_summary_month_flagged", "a8_period_summary", "a9_flagged_summary"])
+def test_summaries_repeat_no_row_for_a_second_distinct_count(spark, name):
+    assert "Expand" not in plan(QUERIES[name](spark, SMALL))
+
+
+def test_comments_are_counted_before_they_meet_their_posts(spark):
+    lines = plan(QUERIES["period_counts_week"](spark, SMALL)).splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert any("HashAggregate" in line for line in lines[join:])

@@ -29,6 +29,31 @@ def test_rank_of_one_value_and_of_none(spark):
     assert R.add_rank_max(df.filter("v > 100"), "v").count() == 0
 
 
+def test_null_and_nan_have_no_rank(spark):
+    df = spark.createDataFrame([("a", 5.0), ("b", float("nan")), ("c", None), ("d", 1.0)], "k string, v double")
+    want = {"a": 1, "b": None, "c": None, "d": 2}
+    assert dict(rows(df.select("k", R.rank_max("v")))) == want
+    assert {r["k"]: r["rank"] for r in R.add_rank_max(df, "v").collect()} == want
+
+
+def test_sums_keep_their_fractions(spark):
+    df = spark.createDataFrame([(1, 0.25), (1, 0.25), (2, 0.75)], "v long, x double")
+    assert dict(rows(R.running_totals(df, "v", {"t": F.sum("x")}))) == {1: 0.5, 2: 1.25}
+
+
+def test_more_ranges_give_the_same_totals(spark, monkeypatch):
+    monkeypatch.setattr(R, "_PER_RANGE", 20)
+    data, df = skewed(spark)
+    got = dict(rows(R.running_totals(df, "v", {"n": F.count("*")})))
+    assert got == {v: sum(w <= v for _, w, _ in data) for _, v, _ in data}
+
+
+def test_join_unique_takes_equal_rows_and_maps_apart(spark):
+    same = spark.range(1000).select(F.lit(1).alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    one = spark.createDataFrame([(1, "x")], "k int, n string")
+    assert join_unique(same, one, "k").count() == 1000
+
+
 @pytest.mark.parametrize("descending", [True, False])
 def test_ranks_match_brute_force(spark, descending):
     data, df = skewed(spark)

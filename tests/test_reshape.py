@@ -14,6 +14,12 @@ def test_sample_keeps_minority_and_fraction_of_majority(spark):
     assert abs(sample["many"] / 16000 - 0.25) < 0.02
 
 
+def test_small_fractions_and_rows_without_label(spark):
+    df = spark.range(100_000).select(F.col("id").cast("string"), F.when(F.col("id") % 100 != 0, "many").alias("label"))
+    sample = dict(rows(U.undersample(df, "label", "many", 0.0004, "id").groupBy("label").count()))
+    assert sample[None] == 1000 and 15 < sample["many"] < 75
+
+
 def test_sample_and_split_do_not_depend_on_partitions(spark):
     a = labelled(spark, 2000)
     b = a.repartition(7).sortWithinPartitions(F.desc("id"))

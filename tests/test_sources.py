@@ -2,8 +2,9 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from threadlens import schemas
+from threadlens import schemas, session
 from threadlens.jobs import filter_table as job
+from threadlens.session import drop_scratch, scratch_path
 from threadlens.sources import readers as I
 from threadlens.sources import sinks as O
 
@@ -15,10 +16,45 @@ def dated(spark, *stamps):
 def test_year_sink_replaces_only_years_it_writes(spark, tmp_path):
     path = str(tmp_path / "t")
     O.write_by_year(dated(spark, "2021-05-01", "2022-05-01"), "ts", path)
-    O.write_by_year(dated(spark, "2022-06-01", "2022-07-01"), "ts", path, rebalance=True)
+    O.write_by_year(dated(spark, "2022-06-01", "2022-07-01"), "ts", path, rebalance=True, only_years=True)
     assert dict(rows(I.read_table(spark, path).groupBy("year").count())) == {2021: 1, 2022: 2}
 
 
+def test_year_sink_replaces_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    O.write_by_year(dated(spark, "2021-05-01", "2022-05-01"), "ts", path)
+    O.write_by_year(dated(spark, "2022-06-01"), "ts", path)
+    assert dict(rows(I.read_table(spark, path).groupBy("year").count())) == {2022: 1}
+
+
+class Bare:
+    """What ``scratch_path`` asks of a session."""
+
+    def __init__(self, master, setting=None, given=None):
+        self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+        self.sparkContext = self
+        self.master, self.getCheckpointDir = master, lambda: given
+
+
+def test_scratch_folder_is_the_shared_one(monkeypatch):
+    monkeypatch.setattr(session, "_MADE", [])
+    assert scratch_path(Bare("yarn", "hdfs:///a/"), "x").startswith("hdfs:///a/threadlens/x-")
+    assert scratch_path(Bare("yarn", None, "hdfs:///b"), "x").startswith("hdfs:///b/threadlens/x-")
+    assert "/run-" in scratch_path(Bare("local[2]"), "x")
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scratch_path(Bare(master), "x")
+
+
+def test_scratch_tables_can_be_deleted(spark, monkeypatch):
+    monkeypatch.setattr(session, "_MADE", [])
+    kept = O.store(spark.range(3), "numbers")
+    assert kept.count() == 3
+    assert drop_scratch(spark) > 0
+    with pytest.raises(Exception):
+        kept.count()
+
+
 def test_partition_filter_prunes_folders(spark, tmp_path):
     path = str(tmp_path / "t")
     O.write_by_year(dated(spark, "2021-05-01", "2022-05-01"), "ts", path)

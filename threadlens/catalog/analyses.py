@@ -138,22 +138,22 @@ def _period_sql(view: str, where: str = "") -> str:
 
 @query("period_counts_week", _period_sql("facts"), "facts")
 def period_counts_week(spark, sf):
-    return S.period_counts(V.facts(spark, sf), "week")
+    return S.commented_period_counts(V.posts(spark, sf), V.flagged_comments(spark, sf), "week")
 
 
 @query("period_counts_month", "SELECT strftime(created_utc, '%Y/%m') AS year_month, count(*) AS count FROM facts GROUP BY 1", "facts")
 def period_counts_month(spark, sf):
-    return S.period_counts(V.facts(spark, sf), "month")
+    return S.commented_period_counts(V.posts(spark, sf), V.flagged_comments(spark, sf), "month")
 
 
 @query("period_misinfo_counts_week", _period_sql("facts", "WHERE misinfo_class"), "facts")
 def period_misinfo_counts_week(spark, sf):
-    return S.period_misinfo_counts(V.facts(spark, sf), "week")
+    return S.commented_period_counts(V.posts(spark, sf), V.flagged_comments(spark, sf), "week", flagged_only=True)
 
 
 @query("period_misinfo_counts_month", "SELECT strftime(created_utc, '%Y/%m') AS year_month, count(*) AS count FROM facts WHERE misinfo_class GROUP BY 1", "facts")
 def period_misinfo_counts_month(spark, sf):
-    return S.period_misinfo_counts(V.facts(spark, sf), "month")
+    return S.commented_period_counts(V.posts(spark, sf), V.flagged_comments(spark, sf), "month", flagged_only=True)
 
 
 @query("period_post_counts_week", _period_sql("posts"), "posts")
@@ -284,7 +284,7 @@ def label_counts(spark, sf):
     return R.label_counts(articles(spark, sf))
 
 
-@query("balanced_sample", f"SELECT label, count(*) AS count FROM ({_LABELS}) WHERE label <> 'no perceived misinfo' OR {_bucket('id', 'undersample')} < 250 GROUP BY label", "facts")
+@query("balanced_sample", f"SELECT label, count(*) AS count FROM ({_LABELS}) WHERE label <> 'no perceived misinfo' OR {_bucket('id', 'undersample')} < 0.25e0 * 4294967296 GROUP BY label", "facts")
 def balanced_sample(spark, sf):
     return R.label_counts(R.balanced_sample(articles(spark, sf)))
 

@@ -52,6 +52,22 @@ def l4(spark, sf):
     return rows.select("id", F.round(F.col("vader_score").cast("double"), 4).alias("vader_score"))
 
 
+@query("l4_valence_joined", "SELECT id, round(CAST(vader_score AS DOUBLE), 4) AS vader_score FROM scores", "scores")
+def l4_joined(spark, sf):
+    from threadlens.operators.sentiment import score_sentiment
+
+    rows = score_sentiment(V.comments(spark, sf), "body", V.lexicon(spark, sf), "valence", rules=V.RULES, inline_limit=0)
+    return rows.select("id", F.round(F.col("vader_score").cast("double"), 4).alias("vader_score"))
+
+
+@query("l5_polarity_joined", "SELECT id, round(CAST(textblob_score AS DOUBLE), 5) AS textblob_score FROM scores", "scores")
+def l5_joined(spark, sf):
+    from threadlens.operators.sentiment import score_sentiment
+
+    rows = score_sentiment(V.comments(spark, sf), "body", V.lexicon(spark, sf), "polarity", inline_limit=0)
+    return rows.select("id", F.round(F.col("textblob_score").cast("double"), 5).alias("textblob_score"))
+
+
 @query("l5_polarity_sentiment", "SELECT id, round(CAST(textblob_score AS DOUBLE), 5) AS textblob_score FROM scores", "scores")
 def l5(spark, sf):
     from threadlens.operators.sentiment import score_sentiment

@@ -39,7 +39,7 @@ _LABELS = """
 
 
 def _bucket(col: str, salt: str) -> str:
-    return f"(CAST('0x' || substr(md5('{salt}:' || CAST({col} AS VARCHAR)), 1, 8) AS BIGINT) % 1000)"
+    return f"(CAST('0x' || substr(md5('{salt}:' || CAST({col} AS VARCHAR)), 1, 8) AS BIGINT))"
 
 
 # Projections and predicates ---------------------------------------------------------------------
@@ -454,13 +454,13 @@ def u3(spark, sf):
     return U.unpivot_measures(wide, "topic", ["raised", "missed"])
 
 
-@query("u4_undersample", f"SELECT id, label FROM predictions WHERE label <> 1 OR {_bucket('id', 'undersample')} < 250", "predictions")
+@query("u4_undersample", f"SELECT id, label FROM predictions WHERE label <> 1 OR {_bucket('id', 'undersample')} < 0.25e0 * 4294967296", "predictions")
 def u4(spark, sf):
     return U.undersample(V.predictions(spark, sf), "label", 1, 0.25, "id").select("id", "label")
 
 
 @query("u5_hash_split", f"""
-    SELECT id, CAST(CASE WHEN {_bucket('id', 'split')} < 800 THEN 0 WHEN {_bucket('id', 'split')} < 980 THEN 1 ELSE 2 END AS INTEGER) AS part
+    SELECT id, CAST(CASE WHEN {_bucket('id', 'split')} < 0.8e0 * 4294967296 THEN 0 WHEN {_bucket('id', 'split')} < 0.98e0 * 4294967296 THEN 1 ELSE 2 END AS INTEGER) AS part
     FROM comments""", "comments")
 def u5(spark, sf):
     parts = U.hash_split(V.comments(spark, sf).select("id"), "id", [0.8, 0.18, 0.02])

@@ -82,7 +82,7 @@ def s8(spark, sf):
 def s9(spark, sf):
     path = scratch_path(spark, "sources")
     posts = drop_missing_source(V.posts(spark, sf).withColumn("source", news_source("url")))
-    write_csv(source_totals(posts), path, files=1)
+    write_csv(source_totals(posts), path)
     return read_csv_table(spark, path, schemas.TOP_SOURCES).filter(F.col("frequency") > 2)
 
 

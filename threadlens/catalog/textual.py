@@ -142,7 +142,7 @@ def m1(spark, sf):
     return X.tokenize(V.comments(spark, sf), "body").select("id", "words")
 
 
-@query("m2_normalize_tokens", r"""SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(body), '[^\p{L}+\s]', '', 'g'), '\s+'),
+@query("m2_normalize_tokens", r"""SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(body), '[^\p{L}\s]', '', 'g'), '\s+'),
     lambda x: x <> '') AS tokens FROM comments""", "comments")
 def m2(spark, sf):
     return X.normalize_tokens(V.comments(spark, sf), "body").select("id", "tokens")
@@ -165,16 +165,17 @@ def m4(spark, sf):
 
 
 @query("m4_count_vectors", """
+    SELECT id, CAST(coalesce(words, 0) AS BIGINT) AS words, coalesce(terms, 0) AS terms FROM title_words LEFT JOIN (
     SELECT id, CAST(sum(n) AS BIGINT) AS words, count(*) AS terms
     FROM (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(tokens) AS term FROM title_words) GROUP BY 1, 2)
     WHERE term IN (SELECT term FROM (SELECT id, unnest(tokens) AS term FROM title_words) GROUP BY term HAVING count(DISTINCT id) >= 2)
-    GROUP BY id""", "title_words")
+    GROUP BY id) USING (id)""", "title_words")
 def m4_vectors(spark, sf):
     rows = tokens(spark, sf)
     counted = CountVectorizer(inputCol="tokens", outputCol="v", vocabSize=5000, minDF=2).fit(rows).transform(rows)
     total = F.aggregate(vector_to_array("v"), F.lit(0.0), lambda a, x: a + x).cast("bigint")
     present = F.size(F.filter(vector_to_array("v"), lambda x: x > 0)).cast("bigint")
-    return counted.select("id", total.alias("words"), present.alias("terms")).filter(F.col("terms") > 0)
+    return counted.select("id", total.alias("words"), present.alias("terms"))
 
 
 @query("m5_idf_table", """
@@ -238,12 +239,21 @@ def m12(spark, sf):
     return rows.withColumn("unit", F.transform("unit", lambda x: F.round(x, 6)))
 
 
-@query("m13_lemmatize", r"""
+_LEMMA_SQL = r"""WITH words AS (SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(body), '[^\p{L}\s]', '', 'g'), '\s+'),
+    lambda x: x <> '') AS tokens FROM comments)
+    SELECT id, CASE WHEN tokens IS NULL THEN NULL ELSE coalesce(lemmas, []) END AS lemmas FROM words LEFT JOIN (
     SELECT id, list(coalesce(lemma, w) ORDER BY pos) AS lemmas
-    FROM (SELECT id, unnest(ts) AS w, generate_subscripts(ts, 1) AS pos
-          FROM (SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(body), '[^\p{L}+\s]', '', 'g'), '\s+'), lambda x: x <> '') AS ts FROM comments))
-    LEFT JOIN lemmas ON w = form GROUP BY id""", ("comments", "lemmas"))
+    FROM (SELECT id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS pos FROM words)
+    LEFT JOIN lemmas ON w = form GROUP BY id) USING (id)"""
+
+
+@query("m13_lemmatize", f"SELECT * FROM ({_LEMMA_SQL})", ("comments", "lemmas"))
 def m13(spark, sf):
     rows = X.normalize_tokens(V.spread_comments(spark, sf), "body")
-    found = X.lemmatize(rows, "tokens", V.lemmas(spark, sf), "id").select("id", "lemmas")
-    return found.filter(F.size("lemmas") > 0)
+    return X.lemmatize(rows, "tokens", V.lemmas(spark, sf)).select("id", "lemmas")
+
+
+@query("m13_lemmatize_joined", f"SELECT * FROM ({_LEMMA_SQL})", ("comments", "lemmas"))
+def m13_joined(spark, sf):
+    rows = X.normalize_tokens(V.comments(spark, sf), "body")
+    return X.lemmatize(rows, "tokens", V.lemmas(spark, sf), inline_limit=0).select("id", "lemmas")

@@ -222,7 +222,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT doc_id AS id, {_TOPIC_CASE.format(n='(doc_id % 8)')} AS topic, quality AS label, toxic AS prediction
         FROM labels"""),
     "title_words": (("posts",), f"""
-        SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^\\p{{L}}+\\s]', '', 'g'), '\\s+'),
+        SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^\\p{{L}}\\s]', '', 'g'), '\\s+'),
                                lambda x: x <> '' AND x NOT IN ({_sql_words(STOP_WORDS)})) AS tokens
         FROM posts"""),
     "sourced": (("posts",), """

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.functions.lookup import bind, inline_lookup, unique_keys
+from threadlens.functions.lookup import INLINE_LIMIT, bind, inline_lookup, unique_keys
 from threadlens.operators.skew import join_unique
 
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*:"
@@ -114,7 +114,7 @@ def tokenize(df: DataFrame, col: str, out: str = "words") -> DataFrame:
     return df.withColumn(out, F.when(only_space, F.array().cast("array<string>")).otherwise(words))
 
 
-def normalize_tokens(df: DataFrame, col: str, out: str = "tokens", keep: str = r"\p{L}+") -> DataFrame:
+def normalize_tokens(df: DataFrame, col: str, out: str = "tokens", keep: str = r"\p{L}") -> DataFrame:
     """Lower-case words in which only the characters of the class ``keep`` are left; empty words go.
 
     The class is applied to the whole text before it is split: one regex pass per text, not one per word.
@@ -129,20 +129,22 @@ def remove_stop_words(df: DataFrame, col: str, words, out: str | None = None) ->
     return df.withColumn(out or col, F.filter(F.col(col), lambda w: ~F.lower(w).isin(banned)))
 
 
-def lemmatize(df: DataFrame, tokens_col: str, lemma_df: DataFrame, id_col: str, out: str = "lemmas") -> DataFrame:
-    """Replace every word by its lemma from ``lemma_df(form, lemma)``; unknown words stay.
+def lemmatize(df: DataFrame, tokens_col: str, lemma_df: DataFrame, out: str = "lemmas", inline_limit: int = INLINE_LIMIT) -> DataFrame:
+    """Replace every word by its lemma from ``lemma_df(form, lemma)``; unknown words stay, a NULL array too.
 
     A table within the inline bound is looked up inside each row. A larger one is joined on the word
-    (Catalyst and AQE choose how), and the words return to their text by ``id_col`` and position.
+    (Catalyst and AQE choose how); the words return to their text by a digest of the words, so that equal
+    texts are looked up once and no id is needed. Both ways give the same rows.
     """
-    lookup = inline_lookup(lemma_df, "form", "lemma")
+    lookup = inline_lookup(lemma_df, "form", "lemma", inline_limit)
     if lookup is not None:
         return df.withColumn(out, F.transform(tokens_col, lambda w: F.coalesce(lookup(w), w)))
     lemmas = unique_keys(lemma_df, "form", "lemma")
-    placed = df.select(id_col, F.posexplode(tokens_col).alias("_pos", "form"))
+    keyed = df.withColumn("_key", F.md5(F.to_json(tokens_col)))
+    placed = keyed.select("_key", F.col(tokens_col).alias("_t")).dropDuplicates(["_key"]).select("_key", F.posexplode("_t").alias("_pos", "form"))
     words = (join_unique(placed, lemmas, "form", "left")
-             .groupBy(id_col)
+             .groupBy("_key")
              .agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form").alias("w")))).alias("_w"))
-             .select(id_col, F.transform("_w", lambda p: p["w"]).alias(out)))
+             .select("_key", F.transform("_w", lambda p: p["w"]).alias("_found")))
     empty = F.when(F.col(tokens_col).isNotNull(), F.array().cast("array<string>"))
-    return df.join(words, id_col, "left").withColumn(out, F.coalesce(F.col(out), empty))
+    return keyed.join(words, "_key", "left").withColumn(out, F.coalesce("_found", empty)).drop("_key", "_found")

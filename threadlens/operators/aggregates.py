@@ -58,17 +58,25 @@ def period_summary(df: DataFrame, grain: str | list[str], flagged_only: bool = F
 
     ``grain`` names the period columns: ``year_week``, or ``["year", "month"]``. With ``flagged_only``
     just the flagged rows count and ``misinfo_count`` is left out.
+
+    Rows are summed per period and post first, so each step has at most one distinct count and no row is
+    repeated for it. A comment id belongs to one post.
     """
     keys = [grain] if isinstance(grain, str) else list(grain)
+    if flagged_only:
+        df = df.filter(F.col("misinfo_class"))
+    per_post = df.groupBy(*keys, "id").agg(
+        F.sum("vader_score").alias("_v"), F.sum("textblob_score").alias("_t"),
+        F.count_distinct("comment_id").alias("_c"), count_if(F.col("misinfo_class")).alias("_m"))
     measures = [
-        F.sum("vader_score").alias("sum_vader_score"),
-        F.sum("textblob_score").alias("sum_textblob_score"),
-        F.count_distinct("id").alias("posts_count"),
-        F.count_distinct("comment_id").alias("comments_count"),
+        F.sum("_v").alias("sum_vader_score"),
+        F.sum("_t").alias("sum_textblob_score"),
+        F.count("id").alias("posts_count"),
+        F.sum("_c").alias("comments_count"),
     ]
     if flagged_only:
-        return df.filter(F.col("misinfo_class")).groupBy(*keys).agg(*measures)
-    return df.groupBy(*keys).agg(*measures, count_if(F.col("misinfo_class")).alias("misinfo_count"))
+        return per_post.groupBy(*keys).agg(*measures)
+    return per_post.groupBy(*keys).agg(*measures, F.sum("_m").alias("misinfo_count"))
 
 
 def period_counts(

@@ -21,10 +21,10 @@ def comment_columns(comments: DataFrame, *extra: str) -> DataFrame:
 def join_posts_comments(posts: DataFrame, comments: DataFrame, *extra: str) -> DataFrame:
     """One row per comment with its post's columns; comments without a known post drop out.
 
-    ``extra`` names further comment columns to keep. A post with very many comments makes one large
+    Comments whose link names no post (an empty id) go before the exchange. ``extra`` names further comment columns to keep. A post with very many comments makes one large
     partition on the comment side only; AQE splits it and repeats the few post rows per piece.
     """
-    return posts.join(comment_columns(comments, *extra), "id")
+    return posts.join(comment_columns(comments, *extra).filter(F.col("id") != ""), "id")
 
 
 def comment_counts_by_post(comments: DataFrame, flag_col: str = "misinfo_class") -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.operators.skew import join_unique
 from threadlens.sources.sinks import store
 
 _SALTS = 256
-_MAX_RANGES = 2000
+#: Distinct values of one range of running totals.
+_PER_RANGE = 50_000
 _BROADCAST_ROWS = 10_000
 
 
@@ -67,12 +67,13 @@ def rank_max(col: str | Column, descending: bool = True) -> Column:
     """Window expression: the number of rows whose value is at least (ascending: at most) this one.
 
     It looks at the whole table in one task. Use it on result tables of known size, such as a top-100
-    list, and :func:`add_rank_max` on anything else.
+    list, and :func:`add_rank_max` on anything else. NULL and NaN have no rank and are not counted.
     """
     col = F.col(col) if isinstance(col, str) else col
     order = col.desc() if descending else col.asc()
     whole = Window.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.count(F.lit(1)).over(whole).cast("int")
+    known = col.isNotNull() & ~F.isnan(col.cast("double"))
+    return F.when(known, F.count(F.when(known, 1)).over(whole)).cast("int")
 
 
 def running_totals(df: DataFrame, order_col: str, sums: dict[str, Column], descending: bool = False) -> DataFrame:
@@ -80,14 +81,14 @@ def running_totals(df: DataFrame, order_col: str, sums: dict[str, Column], desce
 
     Rows are first merged per value, so repeats cost nothing later, and the merged values are stored: the
     input is read once, when this function is called. The distinct values are then split
-    at approximate quantiles (as many as the session has shuffle partitions; these numbers are all that
+    at approximate quantiles (one for every 50,000 distinct values; these numbers are all that
     reaches the driver), summed up inside each range, and shifted by the total of the ranges before.
     The result is exact wherever the cuts fall. NULL and NaN values take no part.
     """
-    ranges = min(_MAX_RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     merged = store(
         df.filter(F.col(order_col).isNotNull() & ~F.isnan(F.col(order_col).cast("double")))
-        .groupBy(order_col).agg(*[expr.cast("bigint").alias(name) for name, expr in sums.items()]), "merged-values")
+        .groupBy(order_col).agg(*[expr.alias(name) for name, expr in sums.items()]), "merged-values")
+    ranges = max(2, -(-merged.count() // _PER_RANGE))
     cuts = merged.select(F.col(order_col).cast("double").alias("v")).approxQuantile(
         "v", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
     edges = [float("-inf"), *sorted(set(cuts) - {float("-inf"), float("inf")}), float("inf")]
@@ -113,4 +114,4 @@ def running_totals(df: DataFrame, order_col: str, sums: dict[str, Column], desce
 def add_rank_max(df: DataFrame, col: str, out: str = "rank", descending: bool = True) -> DataFrame:
     """:func:`rank_max` for tables of any size: ranks of the distinct values joined back to the rows."""
     ranks = running_totals(df, col, {out: F.count(F.lit(1))}, descending)
-    return join_unique(df, ranks, col, "left")
+    return df.join(ranks, col, "left")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BUCKETS = 1000
+#: Values of :func:`hash_bucket`.
+BUCKETS = 2**32
 
 
 def union_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -19,18 +20,18 @@ def unpivot_measures(df: DataFrame, id_col: str, value_cols: list[str]) -> DataF
 
 
 def hash_bucket(id_col: str | Column, salt: str) -> Column:
-    """A number in 0..999 that depends on the id and the salt alone."""
+    """A 32-bit number that depends on the id and the salt alone."""
     id_col = F.col(id_col) if isinstance(id_col, str) else id_col
     digest = F.md5(F.concat(F.lit(f"{salt}:"), id_col.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % _BUCKETS
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
 def undersample(
     df: DataFrame, label_col: str, label, fraction: float, id_col: str, salt: str = "undersample"
 ) -> DataFrame:
-    """Keep all other rows and the given fraction of the rows labelled ``label``, chosen by id."""
-    kept = hash_bucket(id_col, salt) < round(fraction * _BUCKETS)
-    return df.filter((F.col(label_col) != F.lit(label)) | kept)
+    """Keep all other rows (also those without a label) and the given fraction of the rows labelled ``label``, chosen by id."""
+    kept = hash_bucket(id_col, salt) < F.lit(fraction * BUCKETS)
+    return df.filter(~F.col(label_col).eqNullSafe(F.lit(label)) | kept)
 
 
 def split_column(id_col: str | Column, weights: list[float], salt: str = "split") -> Column:
@@ -39,7 +40,7 @@ def split_column(id_col: str | Column, weights: list[float], salt: str = "split"
     part = F.when(F.lit(False), F.lit(0))
     for i, weight in enumerate(weights[:-1]):
         upper += weight
-        part = part.when(bucket < round(upper / total * _BUCKETS), F.lit(i))
+        part = part.when(bucket < F.lit(upper / total * BUCKETS), F.lit(i))
     return part.otherwise(F.lit(len(weights) - 1))
 
 

@@ -131,28 +131,34 @@ def _score_inline(df: DataFrame, text_col: str, lookup: Callable, method: str, o
     return df.withColumn(out, F.when(text.isNotNull(), score))
 
 
-def _score_joined(df: DataFrame, text_col: str, lexicon: DataFrame, method: str, out: str, rules: ValenceRules, id_col: str) -> DataFrame:
-    text = F.col(text_col)
+def _score_joined(df: DataFrame, text_col: str, lexicon: DataFrame, method: str, out: str, rules: ValenceRules) -> DataFrame:
+    """The same scores by joining words with the lexicon: equal texts, told by a digest, are scored once, and the
+    values of a text are added in the order of its words."""
+    keyed = df.withColumn("_key", F.md5(text_col))
+    text = F.col("_text")
     table = unique_keys(lexicon, "word", "valence").select(F.col("word").alias("_w"), F.col("valence").alias("_v"))
 
     def describe(facts: Column) -> Column:
         return bind(F.array_position(facts["low"], F.lit(rules.contrast)).cast("int"), lambda turn: F.transform(
-            facts["low"], lambda w, i: F.struct(w.alias("w"), *_context(facts, turn, i, rules))))
+            facts["low"], lambda w, i: F.struct(w.alias("w"), i.alias("i"), *_context(facts, turn, i, rules))))
 
-    items = (df.select(id_col, F.explode(bind(_text_facts(text), describe)).alias("_s"))
-             .select(id_col, "_s", F.col("_s.w").alias("_w")))
+    items = (keyed.filter(F.col("_key").isNotNull()).select("_key", F.col(text_col).alias("_text")).dropDuplicates(["_key"])
+             .select("_key", F.explode(bind(_text_facts(text), describe)).alias("_s"))
+             .select("_key", "_s", F.col("_s.w").alias("_w")))
     if method == "polarity":
         value = F.col("_v")
     else:
         items = items.filter(~_is_modifier(F.col("_w"), rules))
         value = _valence_of(F.col("_s"), F.col("_v"), rules)
-    sums = (join_unique(items, table, "_w")
-            .groupBy(id_col).agg(F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_hits")))
+    placed = F.sort_array(F.collect_list(F.struct(F.col("_s.i").alias("i"), value.alias("v"))))
+    sums = (join_unique(items, table, "_w").groupBy("_key")
+            .agg(placed.alias("_p"))
+            .select("_key", F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + p["v"]).alias("_total"), F.size("_p").alias("_hits")))
     if method == "polarity":
         score = F.coalesce(F.try_divide("_total", "_hits"), F.lit(0.0)).cast("float")
     else:
-        score = _compound(F.coalesce("_total", F.lit(0.0)), text, rules)
-    return df.join(sums, id_col, "left").withColumn(out, F.when(text.isNotNull(), score)).drop("_total", "_hits")
+        score = _compound(F.coalesce("_total", F.lit(0.0)), F.col(text_col), rules)
+    return keyed.join(sums, "_key", "left").withColumn(out, F.when(F.col(text_col).isNotNull(), score)).drop("_key", "_total", "_hits")
 
 
 def score_sentiment(
@@ -162,7 +168,6 @@ def score_sentiment(
     method: str = "valence",
     out: str | None = None,
     rules: ValenceRules = ValenceRules(),
-    id_col: str | None = None,
     inline_limit: int = INLINE_LIMIT,
 ) -> DataFrame:
     """Add a sentiment score of ``text_col`` from ``lexicon_df(word, valence)``; NULL text gives NULL.
@@ -173,12 +178,10 @@ def score_sentiment(
     ``polarity``: the mean valence of the words found, 0 if there are none.
 
     Up to ``inline_limit`` lexicon rows the words are looked up inside the row: a narrow step, whatever the
-    size of ``df``. A larger lexicon is joined word by word, for which ``id_col`` must name a unique column.
+    size of ``df``. A larger lexicon is joined word by word. Both ways give the same scores.
     """
     out = out or {"valence": "vader_score", "polarity": "textblob_score"}[method]
     lexicon = lexicon_df if isinstance(lexicon_df, Lexicon) else Lexicon.of(lexicon_df, inline_limit)
     if lexicon.lookup is not None:
         return _score_inline(df, text_col, lexicon.lookup, method, out, rules)
-    if id_col is None:
-        raise ValueError("a lexicon beyond the inline limit needs id_col, a unique column of df")
-    return _score_joined(df, text_col, lexicon.table, method, out, rules, id_col)
+    return _score_joined(df, text_col, lexicon.table, method, out, rules)

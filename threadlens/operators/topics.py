@@ -72,10 +72,12 @@ class TopicModel:
 
 def fit_topics(
     df: DataFrame, text_col: str = "title", k: int = 8, max_iter: int = 20, seed: int = 13, vocab_size: int = 5000,
-    min_df: int = 25, stop_words: list[str] | None = None, id_col: str = "id", partitions: int | None = None,
+    min_df: int = 25, stop_words: list[str] | None = None, id_col: str = "id", partitions: int | None = None, batch_share: float = 1.0,
 ) -> TopicModel:
     """Fit count vectors, IDF and LDA on the texts.
 
+    Every step of LDA sees ``batch_share`` of the texts; with 1.0 all of them count in each step.
+
     LDA depends on how rows are spread and on the order of the vocabulary, not only on its seed. So the
     tokens are placed by id and ordered inside each partition, and terms of equal frequency are ordered by
     name. The tokens are kept (memory, then disk) while the stages pass over them; the vocabulary, at most
@@ -94,7 +96,7 @@ def fit_topics(
         model = Pipeline(stages=[
             CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="raw_features"),
             IDF(inputCol="raw_features", outputCol="features"),
-            LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features"),
+            LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features", subsamplingRate=batch_share),
         ]).fit(tokens)
     finally:
         tokens.unpersist()
@@ -109,10 +111,12 @@ def describe_topics(model: TopicModel, max_terms: int = 10) -> DataFrame:
 
 
 def assign_topic(model: TopicModel, df: DataFrame, names: dict[int, str] = TOPIC_NAMES) -> DataFrame:
-    """``df`` with ``topic_num`` and ``topic`` of every text.
+    """``df`` with ``topic_num`` and ``topic`` of every text; NULL where there is no text or no known word in it.
 
     The columns of ``df`` stay, so the posts need no join back to themselves; the vectors do not.
     """
-    scored = model.transform(df.filter(F.col(model.text_col).isNotNull()))
-    number = argmax(vector_to_array("topicDistribution"))
+    texts = df.withColumn("_given", F.col(model.text_col)).withColumn(model.text_col, F.coalesce(model.text_col, F.lit("")))
+    scored = model.transform(texts).withColumn(model.text_col, F.col("_given"))
+    share = vector_to_array("topicDistribution")
+    number = F.when(F.array_max(share) > 0, argmax(share))
     return scored.select(*df.columns, number.alias("topic_num")).withColumn("topic", map_labels("topic_num", names))

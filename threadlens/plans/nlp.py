@@ -31,8 +31,8 @@ def enriched_comments(
         rules = ValenceRules(rules.negators, rules.strengtheners, rules.weakeners, rules.contrast, emphasis=False)
     rows = flag_phrases(rows, "body", phrases)
     lexicon = Lexicon.of(lexicon)
-    rows = score_sentiment(rows, "body", lexicon, "valence", rules=rules, id_col="id")
-    rows = score_sentiment(rows, "body", lexicon, "polarity", id_col="id")
+    rows = score_sentiment(rows, "body", lexicon, "valence", rules=rules)
+    rows = score_sentiment(rows, "body", lexicon, "polarity")
     mini = topic_posts.select("id", "created_utc", "title", "topic")
     return join_posts_comments(mini, rows, "misinfo_class", "vader_score", "textblob_score")
 

@@ -9,7 +9,7 @@ from threadlens.constants import EPIDEMIOLOGY_MEASURES, VACCINATION_MEASURES
 from threadlens.functions.calendar import add_period_labels, add_time_columns, period_label, period_to_date
 from threadlens.functions.labels import strip_prefix, zero_to_null
 from threadlens.operators import aggregates as A
-from threadlens.operators.joins import join_series, outer_join_series
+from threadlens.operators.joins import comment_counts_by_post, join_series, outer_join_series
 from threadlens.operators.stats import correlation_matrix, series_regression
 
 DISCUSSION_MEASURES = ("comments_count", "misinfo_count")
@@ -30,6 +30,16 @@ def period_misinfo_counts(facts: DataFrame, grain: str, ts_col: str = "created_u
     return A.period_counts(with_periods(facts, ts_col), f"year_{grain}", flagged_only=True)
 
 
+def commented_period_counts(posts: DataFrame, comments: DataFrame, grain: str, flagged_only: bool = False) -> DataFrame:
+    """Comments, or flagged comments, per period of their post, from both tables.
+
+    Comments are counted per post before the join, so neither the exchange nor the join sees a busy post.
+    """
+    number = "true_count" if flagged_only else "comments"
+    per_post = posts.select("id", "created_utc").join(comment_counts_by_post(comments).filter(F.col(number) > 0), "id")
+    return with_periods(per_post, "created_utc").groupBy(f"year_{grain}").agg(F.sum(number).alias("count"))
+
+
 def period_post_counts(posts: DataFrame, grain: str) -> DataFrame:
     """Posts per period."""
     return A.period_counts(with_periods(posts, "created_utc"), f"year_{grain}")

@@ -31,15 +31,32 @@ def build_session(app: str = "threadlens", master: str | None = None, conf: dict
     return builder.getOrCreate()
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate table, in the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path for an intermediate table, in the shared folder of the cluster.
 
-    Only where that setting is missing (a single machine) is a local temporary folder used.
+    The folder is that of ``spark.checkpoint.dir``, else the one given to ``SparkContext.setCheckpointDir``. Only on a
+    single machine may both be missing: a local temporary folder is taken then.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="run-")
-    return f"{shared.rstrip('/')}/threadlens/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared.rstrip('/')}/threadlens/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables made in this process; frames that still read them can no longer be used."""
+    jvm, gone = spark._jvm, 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -13,17 +13,17 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def write_by_year(df: DataFrame, ts_col: str, path: str, rebalance: bool = False) -> None:
+def write_by_year(df: DataFrame, ts_col: str, path: str, rebalance: bool = False, only_years: bool = False) -> None:
     """Write one ``year=Y`` folder per calendar year in a single pass over ``df``.
 
-    Only the years present in ``df`` are replaced. Input that is not laid out by time would leave
+    The table is replaced; with ``only_years`` the years present in ``df`` are, and others stay. Input that is not laid out by time would leave
     one file per task and year; ``rebalance`` adds one shuffle in which AQE merges small pieces and
     splits the year that holds most rows.
     """
     out = df.withColumn("year", F.year(ts_col))
     if rebalance:
         out = out.hint("rebalance", "year")
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if only_years else "static")
         .partitionBy("year").parquet(path))
 
 
