@@ -4,8 +4,10 @@ import pytest
 from conftest import MEDIUM, rows
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from threadlens import constants as K
 from threadlens.catalog import views as V
 from threadlens.constants import TOPIC_NAMES
 from threadlens.operators import classify as M
@@ -128,3 +130,30 @@ def test_summaries(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (None,)], "s double")
     assert rows(S.describe_scores(df, ["s"])) == [("s", 2, 2.0, pytest.approx(2 ** 0.5), 1.0, 3.0)]
     assert [r["summary"] for r in S.score_summary(df, "s").collect()] == ["count", "mean", "stddev", "min", "25%", "50%", "75%", "max"]
+
+
+def test_classifier_is_measured_on_its_own_predictions(spark):
+    rng = __import__("random").Random(3)
+    data = [(str(i), rng.choice(K.ARTICLE_LABELS), rng.choice(K.ARTICLE_LABELS), Vectors.dense([1 - p, p])) for i in range(200) for p in [round(rng.random(), 1)]]
+    predicted = spark.createDataFrame(data, ["id", "label", "predictedMisinfo", "probability"])
+    got = {(r["part"], r["measure"]): r["value"] for r in R.classifier_metrics({"a": predicted, "b": predicted.limit(200)}).collect()}
+    true = [x[1] == K.PERCEIVED for x in data]
+    hard = [x[2] == K.PERCEIVED for x in data]
+    score = [float(x[3][1]) for x in data]
+    right = sum(t == h for t, h in zip(true, hard)) / 200
+    rate = lambda v: sum(h == v for t, h in zip(true, hard) if t == v) / sum(t == v for t in true)
+    pairs = [(p > n) + (p == n) / 2 for p, t in zip(score, true) if t for n, u in zip(score, true) if not u]
+    want = {"accuracy": right, "error": 1 - right, "auc_of_predictions": (rate(True) + rate(False)) / 2, "auc_of_scores": sum(pairs) / len(pairs)}
+    for part in "ab":
+        assert {m: v for (p, m), v in got.items() if p == part} == pytest.approx(want)
+
+
+def test_summary_has_exact_quartiles(spark):
+    rng = __import__("random").Random(4)
+    values = [rng.randint(-3, 9) for _ in range(997)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "score long")
+    got = {r["summary"]: r["score"] for r in S.score_summary(df).collect()}
+    ranked = sorted(values)
+    for name, q in (("25%", 0.25), ("50%", 0.5), ("75%", 0.75)):
+        assert got[name] == str(ranked[-(-int(q * 100) * len(values) // 100) - 1])
+    assert (got["count"], got["min"], got["max"]) == ("997", "-3", "9")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlens import constants as K
 from threadlens.catalog import views as V
 from threadlens.catalog.models import _SUMMARY_SQL, numeric_summary, topic_model
 from threadlens.catalog.registry import query
 from threadlens.catalog.relational import _LABELS, _MISINFO_SUM, _SHARE, BIN_SQL, _bucket, as_doubles
+from threadlens.operators import aggregates as A
 from threadlens.operators.topics import assign_topic
 from threadlens.plans import articles as R
 from threadlens.plans import eda as E
@@ -295,6 +297,18 @@ def classifier_report(spark, sf):
     return R.classifier_report(training)
 
 
+@query("classifier_metrics")
+def classifier_metrics(spark, sf):
+    training, test, _ = R.classified_articles(R.balanced_sample(articles(spark, sf)))
+    return R.classifier_metrics({"training": training, "test": test})
+
+
+@query("classifier_confusion")
+def classifier_confusion(spark, sf):
+    _, test, _ = R.classified_articles(R.balanced_sample(articles(spark, sf)))
+    return A.confusion_matrix(test, "label", "predictedMisinfo", list(K.ARTICLE_LABELS))
+
+
 @query("wrong_predictions")
 def wrong_predictions(spark, sf):
     training, _, _ = R.classified_articles(R.balanced_sample(articles(spark, sf)))

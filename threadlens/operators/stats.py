@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import matches_any
+from threadlens.operators.ranking import running_totals
 from threadlens.sources.sinks import store
 
 
@@ -26,8 +27,22 @@ def describe_scores(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def score_summary(df: DataFrame, col: str = "score") -> DataFrame:
-    """Count, mean, standard deviation, minimum, quartiles (approximate) and maximum, as strings."""
-    return df.select(col).summary()
+    """Count, mean, standard deviation, minimum, exact quartiles and maximum, one row each, as strings.
+
+    A quartile is the smallest value that at least its share of the rows does not exceed. It comes from the running
+    totals of the distinct values, so rows are counted per value first.
+    """
+    totals = running_totals(df, col, {"_n": F.count(F.lit(1))})
+    rows = totals.agg(F.max("_n").alias("n")).scalar()
+    quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+    places = totals.agg(*[F.min(F.when(F.col("_n") >= q * rows, F.col(col))).alias(name) for name, q in quartiles.items()])
+    parts = {"count": F.count, "mean": F.mean, "stddev": F.stddev, "min": F.min, "max": F.max}
+    whole = df.agg(*[fn(col).alias(name) for name, fn in parts.items()])
+
+    def long(wide: DataFrame) -> DataFrame:
+        return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("summary"), F.col(f"`{c}`").cast("string").alias(col)) for c in wide.columns])))
+
+    return long(whole).unionByName(long(places))
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.constants import NOT_PERCEIVED, PERCEIVED, TITLE_TERMS
+from threadlens.constants import ARTICLE_LABELS, NOT_PERCEIVED, PERCEIVED, TITLE_TERMS
 from threadlens.functions.labels import label_by_count
 from threadlens.functions.text import term_dummies
 from threadlens.operators import aggregates as A
-from threadlens.operators.classify import fit_classifier
+from threadlens.operators.classify import accuracy, auc, auc_of_predictions, fit_classifier
 from threadlens.operators.cluster import cluster_titles
 from threadlens.operators.joins import comment_counts_by_post
 from threadlens.operators.reshape import hash_split, undersample, unpivot_measures
@@ -51,6 +54,25 @@ def classified_articles(sample: DataFrame, terms=TITLE_TERMS, max_iter: int = 10
     return tuple(model.transform(p) for p in parts)
 
 
+def classifier_metrics(parts: dict[str, DataFrame]) -> DataFrame:
+    """(part, measure, value): accuracy, error, and the ROC areas of the predictions and of the scores, for each part.
+
+    ``parts`` are predicted articles by name, such as the training and the test part. The score is the probability of
+    perceived misinformation.
+    """
+    place = list(ARTICLE_LABELS).index(PERCEIVED)
+    out = []
+    for name, predicted in parts.items():
+        rows = predicted.select(
+            (F.col("label") == PERCEIVED).cast("int").alias("label"), (F.col("predictedMisinfo") == PERCEIVED).cast("int").alias("hard"),
+            F.get(vector_to_array("probability"), F.lit(place)).alias("score"))
+        measures = [accuracy(rows, "label", "hard"), auc_of_predictions(rows, "label", "hard").withColumnRenamed("auc", "auc_of_predictions"),
+                    auc(rows, "label", "score").withColumnRenamed("auc", "auc_of_scores")]
+        for wide in measures:
+            out.append(wide.select(F.lit(name).alias("part"), F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in wide.columns]))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def classifier_report(predicted: DataFrame) -> DataFrame:
     """Right and wrong predictions per topic."""
     return A.prediction_analysis(predicted)
