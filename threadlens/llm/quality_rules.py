@@ -28,7 +28,7 @@ MARGINS: dict[str, tuple[int | None, int | None]] = {
     "word_length": (150, 500),  # hundredths of a character
     "symbol_share": (None, 1000),
     "dup_line_share": (None, 3000),
-    "repeat_share": (None, 1000),
+    "repeat_share": (None, 2000),
 }
 _WINDOW = 5
 

@@ -127,7 +127,7 @@ picked AS (SELECT o.lang, o.source, o.m,
 fences AS (SELECT lang, source,
     max(q1 - greatest(150, 3 * (q3 - q1))) FILTER (m = 'word_length') AS wl, max(q3 + greatest(500, 3 * (q3 - q1))) FILTER (m = 'word_length') AS wh,
     max(q3 + greatest(1000, 3 * (q3 - q1))) FILTER (m = 'symbol_share') AS sh, max(q3 + greatest(3000, 3 * (q3 - q1))) FILTER (m = 'dup_line_share') AS dh,
-    max(q3 + greatest(1000, 3 * (q3 - q1))) FILTER (m = 'repeat_share') AS rh FROM picked GROUP BY ALL)
+    max(q3 + greatest(2000, 3 * (q3 - q1))) FILTER (m = 'repeat_share') AS rh FROM picked GROUP BY ALL)
 SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND coalesce(word_length >= wl, true) AND coalesce(word_length <= wh, true) AND coalesce(symbol_share <= sh, true)
     AND coalesce(dup_line_share <= dh, true) AND coalesce(repeat_share <= rh, true) AS kept
