@@ -71,7 +71,7 @@ class Memo(dict):
 class Encoder:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, memo: int = _MEMO):
         spec = json.loads(content)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         self.text_of: dict[int, str] = {i: t for t, i in model["vocab"].items()}
@@ -99,9 +99,9 @@ class Encoder:
         self.automaton.make_automaton()
         self.length_of = {i: len(s) for i, s in self.symbols_of.items()}
         self.shown = {i: str(i) for i in self.text_of}
-        self.fits = Memo(self._fits)
-        self.of_piece = Memo(self._encode_piece)
-        self.of_chunk = Memo(self._encode_chunk)
+        self.fits = Memo(self._fits, memo)
+        self.of_piece = Memo(self._encode_piece, memo)
+        self.of_chunk = Memo(self._encode_chunk, memo)
 
     def _merged(self, symbols: str) -> list[int]:
         """Plain merging by rank, used on two tokens at a time."""
@@ -166,26 +166,26 @@ class Encoder:
         return len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
-_LOADED: dict[int, Encoder] = {}
+_LOADED: dict[tuple[int, int], Encoder] = {}
 
 
-def _encoder(content) -> Encoder:
+def _encoder(content, memo: int = _MEMO) -> Encoder:
     """One encoder per worker process and vocabulary, so that its memos outlive a task."""
     text = content.value
-    key = hash(text)
+    key = hash(text), memo
     if key not in _LOADED:
-        _LOADED[key] = Encoder(text)
+        _LOADED[key] = Encoder(text, memo)
     return _LOADED[key]
 
 
-def _map_texts(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, row) -> DataFrame:
+def _map_texts(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, row, memo: int = _MEMO) -> DataFrame:
     ship(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # of fixed size: a vocabulary
     picked = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(content)
+        encoder = _encoder(content, memo)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -196,14 +196,14 @@ def _map_texts(docs: DataFrame, path: str, id_col: str, text_col: str, schema: s
     return picked.mapInArrow(run, f"`{id_col}` {kind}, {schema}")
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``tokens`` (array of int) and ``decoded`` (the text of these ids)."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = _MEMO) -> DataFrame:
+    """Id, ``tokens`` (array of int) and ``decoded`` (the text of these ids); ``memo`` bounds the memory of a worker."""
 
     def row(encoder: Encoder, texts):
         ids = [encoder.encode(t) for t in texts]
         return {"tokens": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(map(encoder.decode, ids), pa.string())}
 
-    return _map_texts(docs, path, id_col, text_col, "tokens array<int>, decoded string", row)
+    return _map_texts(docs, path, id_col, text_col, "tokens array<int>, decoded string", row, memo)
 
 
 def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -108,7 +108,7 @@ def evidence(segments: list[tuple[int, int, float]], words: int, k: float) -> fl
 
 def _hits(units: dict[str, float]):
     """A function from words to the places and scores of those in the model."""
-    memo = Memo(lambda word: unit_score(units, word) or -1.0)
+    memo = Memo(lambda word: unit_score(units, word) or -1.0, 100_000)
 
     def hits(words: list[str]) -> tuple[list[int], list[float]]:
         scores = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
