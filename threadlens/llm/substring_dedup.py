@@ -23,7 +23,6 @@ document alone are not passages across documents; an empty table gives no rows;
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +43,10 @@ GAP = 2
 FEW = 16
 #: Members of a tile of a key with more.
 TILE = 1000
-#: Bits of the bitmap of colliding paragraphs: 1 MB whatever the data.
-_SLOTS = 1 << 23
-_word = re.compile(rb"[^ \t-\r]+")
+#: Bits of the bitmap of colliding paragraphs: 4 MB whatever the data.
+_SLOTS = 1 << 25
+#: Which bytes are white space.
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio, made odd
 _MULTIPLIERS = np.array([int.from_bytes(xxhash.xxh64_digest(str(k)), "big") | 1 for k in range(256)], np.uint64)
 
@@ -82,6 +82,13 @@ def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return np.r_[first, n], whole, _mixed(rolled[full]), np.r_[0, np.cumsum(np.maximum(sizes - WORDS + 1, 0))]
 
 
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, in bytes."""
+    space = np.r_[True, _SPACE[np.frombuffer(text, np.uint8)], True]
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    return turns[::2], turns[1::2]
+
+
 def band_keys(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One line per paragraph with shingles, one key per band."""
     values = [np.minimum.reduceat(_mixed(shingles * m), starts) for m in _MULTIPLIERS[: bands * rows]]
@@ -188,9 +195,9 @@ def occurrences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text
                 if not hit.any():
                     continue
                 text_key = xxhash.xxh64_intdigest(text) >> 1
-                spans = [m.span() for m in _word.finditer(text)]
+                begins, ends = word_places(text)
                 for p in np.flatnonzero(hit).tolist():
-                    values = (int(whole[p].astype(np.int64)), id_, text_key, p, spans[first[p]][0], spans[first[p + 1] - 1][1], int(first[p + 1] - first[p]), np.unique(shingles[starts[p] : starts[p + 1]]).view(np.int64))
+                    values = (int(whole[p].astype(np.int64)), id_, text_key, p, int(begins[first[p]]), int(ends[first[p + 1] - 1]), int(first[p + 1] - first[p]), np.unique(shingles[starts[p] : starts[p + 1]]).view(np.int64))
                     for column, value in zip(rows, values):
                         column.append(value)
             kinds = [pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
@@ -205,7 +212,7 @@ def spanning_links(names: list[int], sets: list[np.ndarray], threshold: float) -
     """Links that join the members as far as similarities of the threshold or more do, one less than each component has."""
     sizes = np.array([len(s) for s in sets])
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    left, links = np.ones(len(sets), bool), []
+    left, links, inside = np.ones(len(sets), bool), [], len(sets)
     for begin in range(len(sets)):
         found = [begin] if left[begin] else []
         left[begin] = False
@@ -213,10 +220,12 @@ def spanning_links(names: list[int], sets: list[np.ndarray], threshold: float) -
             at = found.pop()
             both = np.bincount(owner[np.isin(values, sets[at])], minlength=len(sets))
             near = left & (both >= threshold * (sizes + sizes[at] - both) - 1e-9)
-            for other in np.flatnonzero(near).tolist():
-                links.append((names[at], names[other]))
-                found.append(other)
+            reached = np.flatnonzero(near).tolist()
+            links += [(names[at], names[other]) for other in reached]
+            found += reached
             left &= ~near
+            if 2 * left.sum() < inside:  # go on with the sets that are left
+                values, owner, inside = values[left[owner]], owner[left[owner]], left.sum()
     return links
 
 
