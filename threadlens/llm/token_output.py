@@ -34,6 +34,8 @@ from threadlens.llm.common import ship
 from threadlens.session import scratch_path
 
 END = "<|endoftext|>"
+#: Pieces of the scan (12 bytes each) up to which their first places are broadcast.
+MAX_BROADCAST = 500_000
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -117,7 +119,9 @@ def write_shards(
     lengths = stream.groupBy("piece").agg(F.max(F.col("start") + size).cast("long").alias("n"))
     before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row per piece of the scan
     firsts = lengths.select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    total = lengths.agg(F.sum("n")).first()[0] or 0
+    total, n_pieces = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if n_pieces <= MAX_BROADCAST:  # else both sides are exchanged
+        firsts = F.broadcast(firsts)
     n = -(-total // seq_len)
     fs, folder = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
     fs.create_dir(folder)
