@@ -34,6 +34,15 @@ class Rule(NamedTuple):
     at_least: int = 1
 
 
+#: What stands between the lines of a key, also in source code and quoted mail.
+_BETWEEN = r"""(?:[\s"',>]|\\[nr])"""
+#: A private key: up to its END line or, where that is missing, the base64 lines after the header, the last of which may
+#: be short. Possessive, so that Java matches a body of any length without recursion.
+_PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_BETWEEN}*+(?:Proc-Type|DEK-Info):[\x20\t]*+[^\s\\]*+)*+(?:{_BETWEEN}++[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
+    rf"(?:{_BETWEEN}++[A-Za-z0-9+/]{{1,15}}+={{1,2}}+|(?:[\x20\t\r]*+\n|\\n)[\x20\t>]*+[A-Za-z0-9+/]{{1,15}}+[\x20\t]*+(?![^\r\n\\\"']))?+)"
+)
 #: Expressions of the base kinds and of well-known public key formats, in the order of their listing.
 RULES = [
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -44,7 +53,7 @@ RULES = [
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
 ]
 MASK = "[SECRET]"
 #: A set of strings larger than this is not multiplied out further.
