@@ -10,13 +10,16 @@ from threadlens.llm.bpe import digest_documents
 from threadlens.llm.common import table
 from threadlens.llm.fingerprints import edit_study
 from threadlens.llm.mixing import mixing_plan
+from threadlens.llm.neighbours import nearest_neighbours
 from threadlens.llm.quality_rules import judge_quality
 from threadlens.llm.secrets import find_secrets, joined_spans
 from threadlens.llm.simhash import fingerprint_hex, near_duplicate_groups
+from threadlens.llm.spelling import counted_words, spelling_groups
 from threadlens.llm.substring_dedup import repeated_passages
 from threadlens.llm.token_output import write_shards
 from threadlens.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from threadlens.llm.url_filter import filter_urls
+from threadlens.llm.whitening import whiten
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +175,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that stand in several documents, and which of them go."""
     found = repeated_passages(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "words", "removed", "components")
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every embedding."""
+    return whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, form and root."""
+    return spelling_groups(counted_words(table(spark, sf_dir, "documents"), slip=199))
+
+
+@query("op13_neighbours")
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every 20th."""
+    found = nearest_neighbours(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
