@@ -2,6 +2,11 @@
 
 All stages but the last return the columns of ``documents``. SQL cannot express the learnt scores, the near-copies'
 groups and the encoding, so there is no SQL twin; the tests hold the stages against brute force.
+
+Defined cases, those of the operators: NULL and empty texts score like a text without known words, share fingerprint zero
+(one of them stays), hold no secret, have no words to mix and no ids; texts of any length are taken whole; of rows that
+repeat id and text one stays; NULL ids and sources are values of their own; other columns are carried along unread up to
+the last stage; an empty table goes through all stages.
 """
 
 from __future__ import annotations
@@ -12,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from threadlens.llm.bpe import encode_documents
 from threadlens.llm.common import table
 from threadlens.llm.mixing import mix_documents
-from threadlens.llm.near_copies import drop_near_copies
 from threadlens.llm.secrets import redact_secrets
+from threadlens.llm.simhash import drop_near_duplicates
 from threadlens.llm.toxicity import drop_toxic
 from threadlens.sources.sinks import store
 
@@ -24,8 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five-word shingles, similarity of 0.8 or more) stays: the smallest id."""
-    return drop_near_copies(docs)
+    """One document of each group whose fingerprints (four-word shingles) are linked within 4 bits stays: the smallest id."""
+    return drop_near_duplicates(docs, words=4, distance=4)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
