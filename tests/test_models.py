@@ -1,5 +1,7 @@
 """Properties of fitted models and evaluation measures."""
 
+import math
+
 import pytest
 from conftest import MEDIUM, rows
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -157,3 +159,16 @@ def test_summary_has_exact_quartiles(spark):
     for name, q in (("25%", 0.25), ("50%", 0.5), ("75%", 0.75)):
         assert got[name] == str(ranked[-(-int(q * 100) * len(values) // 100) - 1])
     assert (got["count"], got["min"], got["max"]) == ("997", "-3", "9")
+
+
+def test_exact_quantiles_of_any_values(spark):
+    rng = __import__("random").Random(8)
+    huge = [2**62 + k for k in (1, 1, 2, 9)]
+    many = [rng.gauss(0, 1) * 10 ** rng.randint(-200, 200) for _ in range(800)] + [0.0, -0.0, float("inf"), float("-inf"), 1.75e308, -1.75e308, 1.76e308] * 30
+    near = [1 + k * 2.0**-52 for k in range(60)] * 2
+    for values, kind in ((huge, "long"), (many, "double"), (near, "double"), ([5], "int"), ([-3, -3, 4, None], "int")):
+        df = spark.createDataFrame([(v,) for v in values] + ([(float("nan"),)] if kind == "double" else []), f"s {kind}")
+        shares = {str(q): q for q in (0.01, 0.25, 0.5, 0.75, 1.0)}
+        known = sorted(v for v in values if v is not None)
+        assert S.exact_quantiles(df, "s", shares) == {n: known[max(0, math.ceil(q * len(known)) - 1)] for n, q in shares.items()}
+    assert S.exact_quantiles(spark.createDataFrame([(None,)], "s int"), "s", {"a": 0.5}) == {"a": None}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, isinf
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -11,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import matches_any
-from threadlens.operators.ranking import running_totals
 from threadlens.sources.sinks import store
 
+#: Cells into which the values near a place are cut.
+_CELLS = 4096
+
 
 def describe_scores(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, standard deviation, minimum and maximum of every column, one row per column."""
@@ -26,23 +29,65 @@ def describe_scores(df: DataFrame, cols: list[str]) -> DataFrame:
     return stats.select(F.inline(rows))
 
 
-def score_summary(df: DataFrame, col: str = "score") -> DataFrame:
-    """Count, mean, standard deviation, minimum, exact quartiles and maximum, one row each, as strings.
+def _equal_cells(low, high) -> Column:
+    """The cell of ``v`` among equal cells from ``low`` to ``high``; infinite ends have cells of their own."""
+    if isinf(float(low)) or isinf(float(high)):
+        return F.when(F.col("v") == F.lit(low), 0).when(F.col("v") == F.lit(high), 2).otherwise(1).cast("long")
+    return F.floor((F.col("v") - F.lit(low)).cast("double") / F.lit(float(high - low)) * _CELLS)
+
 
-    A quartile is the smallest value that at least its share of the rows does not exceed. It comes from the running
-    totals of the distinct values, so rows are counted per value first.
+def exact_quantiles(df: DataFrame, col: str, shares: dict[str, float]) -> dict[str, object]:
+    """For every name the smallest value that at least its share (above 0, up to 1) of the rows does not exceed.
+
+    Distributed selection: a pass counts the rows by cells of values and keeps the smallest and largest value of each, the
+    first by cells of a relative width of 1/64, later ones by ``_CELLS`` equal cells of what is left. Only these counts come
+    here (of the first pass some 270,000 at the very most). A place is found once its cell holds one value, so whole numbers take
+    two or three passes, whatever their number; nothing is sorted or stored. NULL and NaN take no part; without
+    values the result is None.
     """
-    totals = running_totals(df, col, {"_n": F.count(F.lit(1))})
-    rows = totals.agg(F.max("_n").alias("n")).scalar()
-    quartiles = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
-    places = totals.agg(*[F.min(F.when(F.col("_n") >= q * rows, F.col(col))).alias(name) for name, q in quartiles.items()])
-    parts = {"count": F.count, "mean": F.mean, "stddev": F.stddev, "min": F.min, "max": F.max}
-    whole = df.agg(*[fn(col).alias(name) for name, fn in parts.items()])
+    value = F.col(col)
+    known = df.where(value.isNotNull() & ~F.isnan(value.cast("double"))).select(value.alias("v"))
+    size = F.col("v").cast("double")
+    relative = F.signum(size) * (F.floor(F.log2(F.least(F.abs(size), F.lit(1.7e308))) * 64) + (1 << 17))
+    placed = known.select("v", F.lit(0).alias("span"), F.when(size == 0, F.lit(0)).otherwise(relative).cast("int").alias("cell"))
+    found: dict[str, object] = dict.fromkeys(shares)
+    open_spans: dict[int, list[tuple[str, int | None]]] = {0: [(name, None) for name in shares]}
+    while open_spans:
+        counts = placed.groupBy("span", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        cells: dict[int, list] = {}
+        for row in counts.collect():
+            cells.setdefault(row["span"], []).append(row)
+        left: dict[tuple, list[tuple[str, int | None]]] = {}
+        for span, wanted in open_spans.items():
+            ordered = sorted(cells.get(span, []), key=lambda r: r["cell"])
+            rows = sum(r["n"] for r in ordered)
+            for name, place in wanted:
+                place = max(1, ceil(shares[name] * rows)) if place is None else place
+                for cell in ordered:
+                    if place <= cell["n"]:
+                        if cell["low"] == cell["high"]:
+                            found[name] = cell["low"]
+                        else:
+                            left.setdefault((cell["low"], cell["high"]), []).append((name, place))
+                        break
+                    place -= cell["n"]
+        open_spans = dict(enumerate(left.values()))
+        spans = list(left)
+        inside = [(F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)) for low, high in spans]
+        span = F.coalesce(*[F.when(test, F.lit(k)) for k, test in enumerate(inside)], F.lit(None).cast("int"))
+        cut = [F.when(test, _equal_cells(low, high)) for test, (low, high) in zip(inside, spans)]
+        placed = known.select("v", span.alias("span"), F.coalesce(*cut, F.lit(None).cast("long")).alias("cell")).where("span IS NOT NULL")
+    return found
 
-    def long(wide: DataFrame) -> DataFrame:
-        return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("summary"), F.col(f"`{c}`").cast("string").alias(col)) for c in wide.columns])))
 
-    return long(whole).unionByName(long(places))
+def score_summary(df: DataFrame, col: str = "score") -> DataFrame:
+    """Count, mean, standard deviation, minimum, exact quartiles and maximum, one row each in this order, as strings."""
+    quartiles = exact_quantiles(df, col, {"25%": 0.25, "50%": 0.5, "75%": 0.75})
+    kind = df.schema[col].dataType
+    whole = df.agg(
+        F.count(col).alias("count"), F.mean(col).alias("mean"), F.stddev(col).alias("stddev"), F.min(col).alias("min"),
+        *[F.lit(v).cast(kind).alias(name) for name, v in quartiles.items()], F.max(col).alias("max"))
+    return whole.select(F.inline(F.array(*[F.struct(F.lit(c).alias("summary"), F.col(f"`{c}`").cast("string").alias(col)) for c in whole.columns])))
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
