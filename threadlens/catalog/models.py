@@ -14,9 +14,12 @@ from threadlens.operators import aggregates as A
 from threadlens.operators import classify as M
 from threadlens.operators import stats as S
 from threadlens.operators.cluster import cluster_titles
+from threadlens.operators.cooccurrence import cooccurrence
 from threadlens.operators.joins import join_series
 from threadlens.operators.reshape import split_column
-from threadlens.operators.topics import assign_topic, describe_topics, fit_topics
+from threadlens.operators.sentiment import WORDS
+from threadlens.operators.skew import join_unique
+from threadlens.operators.topics import assign_topic, describe_topics, fit_topics, title_tokens
 
 
 def topic_model(spark, sf):
@@ -212,3 +215,23 @@ def l14(spark, sf):
     for a in sorted(V.TERMS) for b in sorted(V.TERMS) if a < b), "posts")
 def l15(spark, sf):
     return S.term_cooccurrence(V.posts(spark, sf), "title", list(V.TERMS))
+
+
+def _pairs_sql(words: str, least: int) -> str:
+    return (f"SELECT x.word AS a, y.word AS b, count(*) AS count FROM ({words}) x JOIN ({words}) y ON x.id = y.id AND x.word < y.word "
+            f"GROUP BY ALL HAVING count(*) >= {least}")
+
+
+@query("l15_item_pairs", _pairs_sql("SELECT DISTINCT id, unnest(tokens) AS word FROM title_words", 2), "title_words")
+def l15_items(spark, sf):
+    words = title_tokens(V.posts(spark, sf), "title", list(V.STOP_WORDS)).select("id", F.explode("tokens").alias("word"))
+    return cooccurrence(words, "id", "word", min_count=2)
+
+
+@query("l15_text_word_pairs", _pairs_sql(
+    "SELECT DISTINCT c.id, w.word FROM (SELECT id, lower(raw) AS word FROM body_words) c JOIN lexicon w USING (word)", 20), ("body_words", "lexicon"))
+def l15_text_words(spark, sf):
+    """Words of the lexicon that stand together in at least 20 comments."""
+    said = V.spread_comments(spark, sf).select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(WORDS), F.lit(0)))).alias("word"))
+    listed = V.lexicon(spark, sf).select("word")
+    return cooccurrence(join_unique(said, listed, "word"), "id", "word", min_count=20)
