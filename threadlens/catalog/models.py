@@ -9,6 +9,7 @@ from threadlens.catalog import views as V
 from threadlens.catalog.registry import query
 from threadlens.catalog.relational import labelled
 from threadlens.functions.calendar import add_time_columns
+from threadlens.functions.labels import map_labels
 from threadlens.functions.text import term_dummies
 from threadlens.operators import aggregates as A
 from threadlens.operators import classify as M
@@ -19,7 +20,7 @@ from threadlens.operators.joins import join_series
 from threadlens.operators.reshape import split_column
 from threadlens.operators.sentiment import WORDS
 from threadlens.operators.skew import join_unique
-from threadlens.operators.topics import assign_topic, describe_topics, fit_topics, title_tokens
+from threadlens.operators.topics import assign_topic, describe_topics, fit_topics, match_topics, seed_scores, title_tokens, topic_weights
 
 
 def topic_model(spark, sf):
@@ -47,6 +48,41 @@ def l3(spark, sf):
     return assign_topic(topic_model(spark, sf), V.posts(spark, sf)).select("id", "created_utc", "title", "topic_num", "topic")
 
 
+#: Words of the invented titles by which four groups of posts are told.
+SEEDS = {"first": ["th", "ti", "er"], "second": ["la", "de", "ou", "th"], "third": ["st", "on", "de"], "fourth": ["qu", "in", "an", "re"]}
+_SEED_ROWS = ", ".join(f"('{name}', '{w}', 1e0 / {sum(w in ws for ws in SEEDS.values())})" for name, words in SEEDS.items() for w in words)
+_SEED_SCORES = f"""(SELECT t.topic, s.name, coalesce(sum(o.owned * s.part), 0e0) AS score
+    FROM (SELECT DISTINCT CAST(id AS BIGINT) % 4 AS topic FROM title_parts) t CROSS JOIN (VALUES {_SEED_ROWS}) s(name, term, part)
+    LEFT JOIN (SELECT topic, term, share / sum(share) OVER (PARTITION BY term) AS owned FROM
+        (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS share FROM
+            (SELECT CAST(id AS BIGINT) % 4 AS topic, term, CAST(count(*) AS DOUBLE) AS n FROM title_parts GROUP BY ALL))) o
+    ON o.topic = t.topic AND o.term = s.term GROUP BY t.topic, s.name)"""
+
+
+@query("l3_match_topics", f"""
+    SELECT unnest([0, 1, 2, 3])::BIGINT AS topic, unnest([a, b, c, d]) AS name, round(unnest([sa, sb, sc, sd]), 6) AS score
+    FROM (SELECT w.name AS a, x.name AS b, y.name AS c, z.name AS d, w.score AS sa, x.score AS sb, y.score AS sc, z.score AS sd
+          FROM {_SEED_SCORES} w JOIN {_SEED_SCORES} x ON w.topic = 0 AND x.topic = 1 AND x.name <> w.name
+          JOIN {_SEED_SCORES} y ON y.topic = 2 AND y.name NOT IN (w.name, x.name)
+          JOIN {_SEED_SCORES} z ON z.topic = 3 AND z.name NOT IN (w.name, x.name, y.name)
+          ORDER BY sa + sb + sc + sd DESC LIMIT 1)""", "title_parts")
+def l3_match(spark, sf):
+    """Four groups of titles named by their seed words, one name each."""
+    parts = F.regexp_extract_all(F.lower("title"), F.lit("[a-zà-ÿ]{2}"), F.lit(0))
+    weights = V.posts(spark, sf).select((F.col("id").cast("long") % 4).alias("topic"), F.explode(parts).alias("term")).withColumn("weight", F.lit(1.0))
+    names = match_topics(weights, SEEDS)
+    scores = seed_scores(weights, SEEDS)
+    return scores.where(map_labels("topic", names) == F.col("name")).withColumn("score", F.round("score", 6))
+
+
+@query("l3_named_topics")
+def l3_named(spark, sf):
+    """Titles by fitted topic, named by seed words in place of the topic's number."""
+    model = topic_model(spark, sf)
+    names = match_topics(topic_weights(model))
+    return assign_topic(model, V.posts(spark, sf), names).select("id", "topic_num", "topic")
+
+
 @query("l4_valence_sentiment", "SELECT id, round(CAST(vader_score AS DOUBLE), 4) AS vader_score FROM scores", "scores")
 def l4(spark, sf):
     from threadlens.operators.sentiment import score_sentiment

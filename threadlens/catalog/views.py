@@ -225,6 +225,8 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT id, list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^\\p{{L}}\\s]', '', 'g'), '\\s+'),
                                lambda x: x <> '' AND x NOT IN ({_sql_words(STOP_WORDS)})) AS tokens
         FROM posts"""),
+    "title_parts": (("posts",), """
+        SELECT id, unnest(regexp_extract_all(lower(title), '[a-zà-ÿ]{2}')) AS term FROM posts"""),
     "sourced": (("posts",), """
         SELECT * FROM (
           SELECT p.*, CASE WHEN first IN ('www', 'amp') THEN lower(string_split(authority, '.')[2]) ELSE lower(first) END AS source

@@ -44,6 +44,9 @@ TITLE_TERMS = (
     "age", "family", "worth", "height", "net", "biography", "indian", "wiki", "actor", "born",
 )
 
+# The terms of each topic, ten by ten: the words by which a fitted topic is recognised.
+TOPIC_SEEDS = {name: list(TITLE_TERMS[10 * k : 10 * k + 10]) for k, name in TOPIC_NAMES.items()}
+
 # Extra stop words for normalised (letters-only) title tokens.
 TITLE_STOP_WORDS = (
     "reuters", "في", "از", "ap", "says", "bbcworld", "amp", "rt", "apentertainment", "la", "user",

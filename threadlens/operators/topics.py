@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from math import inf
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.constants import TITLE_STOP_WORDS, TOPIC_NAMES
+from threadlens.constants import TITLE_STOP_WORDS, TOPIC_NAMES, TOPIC_SEEDS
 from threadlens.functions.labels import argmax, indices_to_terms, map_labels
 from threadlens.functions.text import normalize_tokens, remove_stop_words
 from threadlens.operators.ranking import top_k
@@ -110,9 +112,88 @@ def describe_topics(model: TopicModel, max_terms: int = 10) -> DataFrame:
                          F.col("termWeights").alias("weights"))
 
 
+def topic_weights(model: TopicModel) -> DataFrame:
+    """(topic, term, weight): the weight of every term of the vocabulary in every topic."""
+    topics = describe_topics(model, len(model.vocabulary))
+    return topics.select("topic", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))))
+
+
+def seed_scores(weights: DataFrame, seeds: dict[str, list[str]] = TOPIC_SEEDS) -> DataFrame:
+    """(topic, name, score): how much of a name's seed words belongs to each topic.
+
+    A word belongs to a topic by the topic's share of it, with all topics given the same total weight, so common
+    words count no more than rare ones; a word that stands in several seed lists is divided among them. Seed words
+    that no topic knows count nothing; a pair without a common word scores 0.
+    """
+    lists = [(name, word) for name, words in seeds.items() for word in dict.fromkeys(words)]
+    uses = Counter(word for _, word in lists)
+    told = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(word).alias("term"), F.lit(1.0 / uses[word]).alias("part")) for name, word in lists])
+    totals = weights.groupBy("topic").agg(F.sum("weight").alias("_total"))
+    shares = (weights.where(F.col("term").isin(list(uses))).groupBy("topic", "term").agg(F.sum("weight").alias("weight"))
+              .join(totals, "topic").withColumn("share", F.try_divide("weight", "_total")))
+    whole = shares.groupBy("term").agg(F.sum("share").alias("_whole"))
+    owned = shares.join(whole, "term").withColumn("owned", F.try_divide("share", "_whole"))
+    words = F.broadcast(totals.limit(1).select(F.inline(told)))  # the seed lists
+    scores = owned.join(words, "term").groupBy("topic", "name").agg(F.sum(F.col("owned") * F.col("part")).alias("score"))
+    every = totals.select("topic", F.explode(F.array(*[F.lit(n) for n in seeds])).alias("name"))
+    return every.join(scores, ["topic", "name"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def best_assignment(scores: list[list[float]]) -> list[int]:
+    """For every row a column of its own so that the sum of the scores is the largest (as many columns as rows).
+
+    Shortest augmenting paths with potentials: cubic in the number of rows.
+    """
+    n = len(scores)
+    row_price, column_price = [0.0] * n, [0.0] * n
+    owner = [-1] * n
+    for row in range(n):
+        least, came, done = [inf] * n, [-1] * n, [False] * n
+        column, at = -1, row
+        while True:
+            for c in range(n):
+                if not done[c]:
+                    slack = -scores[at][c] - row_price[at] - column_price[c]
+                    if slack < least[c]:
+                        least[c], came[c] = slack, column
+            nearest = min((c for c in range(n) if not done[c]), key=lambda c: least[c])
+            step = least[nearest]
+            row_price[row] += step
+            for c in range(n):
+                if done[c]:
+                    row_price[owner[c]] += step
+                    column_price[c] -= step
+                else:
+                    least[c] -= step
+            done[nearest], column = True, nearest
+            if owner[nearest] < 0:
+                break
+            at = owner[nearest]
+        while column >= 0:
+            owner[column] = owner[came[column]] if came[column] >= 0 else row
+            column = came[column]
+    return [owner.index(row) for row in range(n)]
+
+
+def match_topics(weights: DataFrame, seeds: dict[str, list[str]] = TOPIC_SEEDS) -> dict[int, str]:
+    """Names for fitted topics: the one-to-one choice of names that gives the largest sum of :func:`seed_scores`.
+
+    Only topics times names numbers come to the driver. With more topics than names the rest stay without; with more names
+    than topics some are not used.
+    """
+    found = {(r["topic"], r["name"]): r["score"] for r in seed_scores(weights, seeds).collect()}
+    topics, names = sorted({t for t, _ in found}), list(seeds)
+    size = max(len(topics), len(names))
+    square = [[found.get((t, n), 0.0) for n in names] + [0.0] * (size - len(names)) for t in topics]
+    square += [[0.0] * size for _ in range(size - len(topics))]
+    taken = best_assignment(square)
+    return {t: names[c] for t, c in zip(topics, taken) if c < len(names)}
+
+
 def assign_topic(model: TopicModel, df: DataFrame, names: dict[int, str] = TOPIC_NAMES) -> DataFrame:
     """``df`` with ``topic_num`` and ``topic`` of every text; NULL where there is no text or no known word in it.
 
+    ``names`` are those of the model's topic numbers; after a new fit take them from :func:`match_topics`.
     The columns of ``df`` stay, so the posts need no join back to themselves; the vectors do not.
     """
     texts = df.withColumn("_given", F.col(model.text_col)).withColumn(model.text_col, F.coalesce(model.text_col, F.lit("")))
