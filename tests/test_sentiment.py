@@ -7,7 +7,7 @@ from conftest import MEDIUM, column, rows
 from pyspark.sql import functions as F
 
 from threadlens.catalog import views as V
-from threadlens.operators.sentiment import ValenceRules, score_sentiment
+from threadlens.operators.sentiment import Lexicon, ValenceRules, score_both, score_sentiment
 
 WORDS = [("good", 1.9), ("bad", -2.5), ("great", 3.1), ("sad", -2.1)]
 
@@ -86,3 +86,61 @@ def test_inline_and_joined_agree_on_whole_table(spark):
     assert both.count() == rows.count()
     assert both.filter("a <> b").count() == 0
     assert both.filter("a <> 0").count() > 0
+
+
+IDIOMS = [("cut", -1.0), ("mustard", 0.5), ("cut the mustard", 2.0), ("the mustard", -3.0), ("kind", 2.4), ("kind of", -0.2), ("very bad day", 1.5), ("bad", -2.5)]
+
+
+@pytest.mark.parametrize("limit", [20_000, 1])
+def test_idioms_by_hand(spark, limit):
+    lexicon = Lexicon.of(spark.createDataFrame(IDIOMS, "word string, valence double"), limit, phrase_words=3)
+    cases = {
+        "cut the mustard": (2.0, 2.0),
+        "not cut the mustard": (2.0 * -0.74, 2.0),
+        "cut the": (-1.0, -1.0),
+        "the mustard cut the mustard": (-3.0 + 2.0, -0.5),
+        "cut cut the mustard mustard": (-1.0 + 2.0 + 0.5, 0.5),
+        "a very bad day": (1.5, 1.5),
+        "a very bad morning": (-2.5 - 0.293, -2.5),
+        "kind of kind": (-0.2 + 2.4, 1.1),
+        "it is kind, of course": (-0.2, -0.2),
+        "CUT the mustard today": (2.0 + 0.733, 2.0),
+        "": (0.0, 0.0),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(99, None)], "id int, body string").coalesce(1)
+    got = {r["id"]: (r["vader_score"], r["textblob_score"]) for r in score_both(df, "body", lexicon).collect()}
+    for i, (valence, mean) in enumerate(cases.values()):
+        assert got[i] == (pytest.approx(compound(valence), abs=1e-4), pytest.approx(mean, abs=1e-6)), list(cases)[i]
+    assert got[99] == (None, None)
+
+
+def test_random_idioms_against_a_scan(spark):
+    import random
+
+    rng = random.Random(2)
+    entries = {" ".join(rng.choices("abcd", k=rng.choice([1, 2, 3, 4]))): rng.randint(-20, 20) / 10 for _ in range(40)}
+    texts = [" ".join(rng.choices("abcde", k=rng.randint(0, 40))) for _ in range(120)]
+
+    def mean(text):
+        words, found, i = text.split(), [], 0
+        while i < len(words):
+            n = next((n for n in (4, 3, 2, 1) if i + n <= len(words) and " ".join(words[i : i + n]) in entries), 0)
+            if n:
+                found.append(entries[" ".join(words[i : i + n])])
+            i += n or 1
+        return sum(found) / len(found) if found else 0.0
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    table = spark.createDataFrame(list(entries.items()), "word string, valence double")
+    for limit in (20_000, 0):
+        got = score_sentiment(df, "body", Lexicon.of(table, limit, phrase_words=4), "polarity", out="s").orderBy("id").collect()
+        assert [r["s"] for r in got] == pytest.approx([mean(t) for t in texts], abs=1e-6)
+
+
+def test_both_scores_read_the_words_once(spark, lexicon):
+    df = spark.createDataFrame([(1, "not good but GREAT!")], "id int, body string")
+    both = score_both(df, "body", lexicon)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    single = score_sentiment(score_sentiment(df, "body", lexicon, "valence"), "body", lexicon, "polarity")
+    assert rows(both) == rows(single)

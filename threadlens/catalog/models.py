@@ -18,7 +18,7 @@ from threadlens.operators.cluster import cluster_titles
 from threadlens.operators.cooccurrence import cooccurrence
 from threadlens.operators.joins import join_series
 from threadlens.operators.reshape import split_column
-from threadlens.operators.sentiment import WORDS
+from threadlens.operators.sentiment import WORDS, Lexicon, score_both, score_sentiment
 from threadlens.operators.skew import join_unique
 from threadlens.operators.topics import assign_topic, describe_topics, fit_topics, match_topics, seed_scores, title_tokens, topic_weights
 
@@ -85,32 +85,24 @@ def l3_named(spark, sf):
 
 @query("l4_valence_sentiment", "SELECT id, round(CAST(vader_score AS DOUBLE), 4) AS vader_score FROM scores", "scores")
 def l4(spark, sf):
-    from threadlens.operators.sentiment import score_sentiment
-
     rows = score_sentiment(V.spread_comments(spark, sf), "body", V.lexicon(spark, sf), "valence", rules=V.RULES)
     return rows.select("id", F.round(F.col("vader_score").cast("double"), 4).alias("vader_score"))
 
 
 @query("l4_valence_joined", "SELECT id, round(CAST(vader_score AS DOUBLE), 4) AS vader_score FROM scores", "scores")
 def l4_joined(spark, sf):
-    from threadlens.operators.sentiment import score_sentiment
-
     rows = score_sentiment(V.comments(spark, sf), "body", V.lexicon(spark, sf), "valence", rules=V.RULES, inline_limit=0)
     return rows.select("id", F.round(F.col("vader_score").cast("double"), 4).alias("vader_score"))
 
 
 @query("l5_polarity_joined", "SELECT id, round(CAST(textblob_score AS DOUBLE), 5) AS textblob_score FROM scores", "scores")
 def l5_joined(spark, sf):
-    from threadlens.operators.sentiment import score_sentiment
-
     rows = score_sentiment(V.comments(spark, sf), "body", V.lexicon(spark, sf), "polarity", inline_limit=0)
     return rows.select("id", F.round(F.col("textblob_score").cast("double"), 5).alias("textblob_score"))
 
 
 @query("l5_polarity_sentiment", "SELECT id, round(CAST(textblob_score AS DOUBLE), 5) AS textblob_score FROM scores", "scores")
 def l5(spark, sf):
-    from threadlens.operators.sentiment import score_sentiment
-
     rows = score_sentiment(V.spread_comments(spark, sf), "body", V.lexicon(spark, sf), "polarity")
     return rows.select("id", F.round(F.col("textblob_score").cast("double"), 5).alias("textblob_score"))
 
@@ -128,6 +120,32 @@ def l6(spark, sf):
     return stats.withColumns({c: F.round(c, 6) for c in ("mean", "stddev", "min", "max")})
 
 
+_IDIOM_SQL = """
+    SELECT c.id, round(CAST(CAST(greatest(-1e0, least(1e0, round(t / sqrt(t * t + 15e0), 4))) AS FLOAT) AS DOUBLE), 4) AS vader_score,
+           round(CAST(CAST(coalesce(p.m, 0e0) AS FLOAT) AS DOUBLE), 4) AS textblob_score
+    FROM (SELECT c.id, s + sign(s) * (least(bangs, 4) * 0.292e0 + CASE WHEN asks <= 1 THEN 0e0 WHEN asks <= 3 THEN asks * 0.18e0 ELSE 0.96e0 END) AS t
+          FROM (SELECT c.id, coalesce(v.s, 0e0) AS s, length(body) - length(replace(body, '!', '')) AS bangs, length(body) - length(replace(body, '?', '')) AS asks
+                FROM comments c LEFT JOIN (SELECT id, sum(v ORDER BY pos) AS s FROM idiom_valence GROUP BY id) v ON v.id = c.id) c) c
+    LEFT JOIN (SELECT id, sum(valence ORDER BY pos) / count(*) AS m FROM idiom_chain GROUP BY id) p ON p.id = c.id"""
+
+
+def idiom_scores(spark, sf, comments, inline_limit):
+    words = Lexicon.of(V.idiom_lexicon(spark, sf), inline_limit, phrase_words=3)
+    rows = score_both(comments, "body", words, V.RULES)
+    return rows.select("id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("vader_score", "textblob_score")])
+
+
+@query("l4_idiom_scores", _IDIOM_SQL, ("comments", "idiom_valence", "idiom_chain"))
+def l4_idioms(spark, sf):
+    """Both scores with a lexicon that holds entries of two and three words."""
+    return idiom_scores(spark, sf, V.spread_comments(spark, sf), 20_000)
+
+
+@query("l4_idiom_scores_joined", _IDIOM_SQL, ("comments", "idiom_valence", "idiom_chain"))
+def l4_idioms_joined(spark, sf):
+    return idiom_scores(spark, sf, V.comments(spark, sf), 0)
+
+
 @query("l7_correlation", "SELECT round(corr(CAST(vader_score AS DOUBLE), CAST(textblob_score AS DOUBLE)), 6) AS corr FROM scores", "scores")
 def l7(spark, sf):
     return S.correlation(scored_comments(spark, sf), "vader_score", "textblob_score").select(F.round("corr", 6).alias("corr"))

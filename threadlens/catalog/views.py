@@ -12,7 +12,7 @@ from threadlens.constants import TOPIC_NAMES
 from threadlens.functions.labels import map_labels
 from threadlens.functions.text import flag_phrases
 from threadlens.operators.joins import join_posts_comments
-from threadlens.operators.sentiment import WORDS, Lexicon, ValenceRules, score_sentiment
+from threadlens.operators.sentiment import WORDS, ValenceRules, score_both
 from threadlens.session import spread
 
 # The invented prose holds no real phrases, so the checks use words that do occur in it.
@@ -103,6 +103,17 @@ def lexicon(spark: SparkSession, sf: str) -> DataFrame:
     return words.filter(F.length("word") >= 4).select("word", (points / F.lit(10.0)).cast("double").alias("valence"))
 
 
+def idiom_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`lexicon` with entries of two and three words, taken from every fifth place of the benchmark texts."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - 2)), lambda i: F.array_join(
+        F.slice("ws", i, F.when(i % 5 == 0, 2).otherwise(3)), " "))
+    chosen = F.filter(runs, lambda w, i: ((i + 1) % 5 == 0) | ((i + 1) % 5 == 2))
+    idioms = table(spark, sf, "benchmark").select(words.alias("ws")).where("size(ws) > 2").select(F.explode(chosen).alias("word")).distinct()
+    points = (F.ascii("word") * 7 + F.length("word") * 13) % 41 - 20
+    return lexicon(spark, sf).unionByName(idioms.select("word", (points / F.lit(10.0)).cast("double").alias("valence")))
+
+
 def lemmas(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark words that end in -ing, -ed or -s with the word cut short as their lemma."""
     words = lexicon(spark, sf).select(F.col("word").alias("form"))
@@ -111,8 +122,7 @@ def lemmas(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
     """``df`` with both sentiment scores of its ``body``."""
-    words = Lexicon.of(lexicon(spark, sf))
-    return score_sentiment(score_sentiment(df, "body", words, "valence", rules=RULES), "body", words, "polarity")
+    return score_both(df, "body", lexicon(spark, sf), RULES)
 
 
 def scored_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,6 +193,32 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT word, CAST((ascii(word) * 7 + length(word) * 13) % 41 - 20 AS DOUBLE) / 10e0 AS valence
         FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{_WORD_RE}')) AS word FROM benchmark)
         WHERE length(word) >= 4"""),
+    "idioms": (("lexicon",), f"""
+        SELECT word, valence, 1 AS len FROM lexicon UNION ALL
+        SELECT word, CAST((ascii(word) * 7 + length(word) * 13) % 41 - 20 AS DOUBLE) / 10e0 AS valence, len FROM
+            (SELECT DISTINCT array_to_string(ws[i:i + len - 1], ' ') AS word, len FROM
+                (SELECT ws, unnest(range(1, greatest(2, len(ws) - 1))) AS i FROM (SELECT regexp_extract_all(lower(text), '{_WORD_RE}') AS ws FROM benchmark) WHERE len(ws) > 2),
+                (VALUES (2, 0), (3, 2)) kinds(len, rest) WHERE i % 5 = rest)"""),
+    "idiom_hits": (("body_words", "idioms"), """
+        SELECT r.id, r.pos, max(i.len) AS len, arg_max(i.valence, i.len) AS valence
+        FROM (SELECT id, pos, unnest([w1, w1 || ' ' || w2, w1 || ' ' || w2 || ' ' || w3]) AS run, unnest([1, 2, 3]) AS len FROM
+                 (SELECT id, pos, lower(raw) AS w1, lead(lower(raw), 1) OVER o AS w2, lead(lower(raw), 2) OVER o AS w3
+                  FROM body_words WINDOW o AS (PARTITION BY id ORDER BY pos))) r
+        JOIN idioms i ON i.word = r.run AND i.len = r.len GROUP BY r.id, r.pos"""),
+    "idiom_chain": (("idiom_hits",), """
+        WITH RECURSIVE onward AS (SELECT a.id, a.pos, a.len, a.valence, b.pos AS next FROM idiom_hits a ASOF LEFT JOIN idiom_hits b ON a.id = b.id AND a.pos + a.len <= b.pos),
+        chain AS (SELECT * FROM onward QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1
+                  UNION ALL SELECT o.* FROM chain c JOIN onward o ON o.id = c.id AND o.pos = c.next)
+        SELECT id, pos, len, valence FROM chain"""),
+    "idiom_valence": (("word_context", "idiom_chain"), f"""
+        SELECT id, pos, {_step('v2', 'b3', 0.9)} * CASE WHEN turn IS NULL OR pos = turn THEN 1e0
+                 WHEN pos < turn THEN 0.5e0 ELSE 1.5e0 END AS v
+        FROM (SELECT *, {_step('v1', 'b2', 0.95)} AS v2
+              FROM (SELECT *, {_step('v0', 'b1', 1.0)} AS v1
+                    FROM (SELECT c.*, valence + sign(valence) * CASE WHEN is_caps AND shouted > 0 AND shouted < n
+                                 THEN 0.733e0 ELSE 0e0 END AS v0
+                          FROM word_context c JOIN idiom_chain l ON c.id = l.id AND c.pos = l.pos
+                          WHERE len > 1 OR c.w NOT IN ({_sql_words(RULES.strengtheners + RULES.weakeners)}))))"""),
     "lemmas": (("lexicon",), """
         SELECT word AS form, regexp_replace(word, '(ing|ed|s)$', '') AS lemma
         FROM lexicon WHERE regexp_matches(word, '(ing|ed|s)$')"""),

@@ -13,6 +13,8 @@ from threadlens.functions.lookup import INLINE_LIMIT, bind, inline_lookup, uniqu
 from threadlens.operators.skew import join_unique
 
 WORDS = r"[\p{L}\p{N}']+"
+#: Column of each score.
+OUTS = {"valence": "vader_score", "polarity": "textblob_score"}
 
 
 @dataclass(frozen=True)
@@ -28,16 +30,27 @@ class ValenceRules:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """A word table ready for scoring: fetched once if it may travel inside the plan, else kept as a table."""
+    """A word table ready for scoring: fetched once if it may travel inside the plan, else kept as a table.
+
+    Entries of several words (up to ``phrase_words``, parted by one space) are idioms. ``heads`` then gives
+    for the first word of an idiom the length of the longest that begins with it.
+    """
 
     table: DataFrame
     lookup: Callable[[Column], Column] | None
+    phrase_words: int = 1
+    heads: Callable[[Column], Column] | None = None
 
     @classmethod
-    def of(cls, lexicon_df: DataFrame, inline_limit: int = INLINE_LIMIT) -> Lexicon:
+    def of(cls, lexicon_df: DataFrame, inline_limit: int = INLINE_LIMIT, phrase_words: int = 1) -> Lexicon:
         """Prepare ``lexicon_df(word, valence)``; several scores over it then share one fetch."""
         table = lexicon_df.select("word", F.col("valence").cast("double").alias("valence"))
-        return cls(table, inline_lookup(table, "word", "valence", inline_limit))
+        lookup, heads = inline_lookup(table, "word", "valence", inline_limit), None
+        if lookup is not None and phrase_words > 1:
+            parts = F.split("word", " ")
+            idioms = table.where(F.contains("word", F.lit(" ")))
+            heads = inline_lookup(idioms.select(F.get(parts, F.lit(0)).alias("head"), F.size(parts).alias("words")), "head", "words", inline_limit)
+        return cls(table, lookup, phrase_words, heads)
 
 
 def _boost(word: Column, rules: ValenceRules) -> Column:
@@ -109,56 +122,112 @@ def _is_modifier(word: Column, rules: ValenceRules) -> Column:
     return word.isin(*rules.strengtheners, *rules.weakeners)
 
 
-def _score_inline(df: DataFrame, text_col: str, lookup: Callable, method: str, out: str, rules: ValenceRules) -> DataFrame:
+def _hits(low: Column, lexicon: Lexicon) -> Column:
+    """The entries found in the words of a text: place, number of words, valence. One lookup per word; where an
+    idiom may begin, the longest one that stands there is taken, else the word alone. Idioms may overlap here."""
+
+    def at(word: Column, i: Column) -> Column:
+        alone = F.struct(i.alias("i"), F.lit(1).alias("len"), lexicon.lookup(word).alias("v"))
+        if lexicon.heads is None:
+            return alone
+
+        def idiom(most: Column, n: int) -> Column:
+            fits = (most >= n) & (i + n <= F.size(low))
+            value = lexicon.lookup(F.array_join(F.slice(low, i + 1, n), " "))
+            return F.when(fits, bind(value, lambda v: F.when(v.isNotNull(), F.struct(i.alias("i"), F.lit(n).alias("len"), v.alias("v")))))
+
+        def longest(most: Column) -> Column:
+            return F.when(most.isNotNull(), F.coalesce(*[idiom(most, n) for n in range(lexicon.phrase_words, 1, -1)]))
+
+        return F.coalesce(bind(lexicon.heads(word), longest), alone)
+
+    return F.filter(F.transform(low, at), lambda h: h["v"].isNotNull())
+
+
+def _summed(hits: Column, value: Callable[[Column], Column], phrase_words: int) -> Column:
+    """Sum and number of the hits' values in their order; a hit inside an idiom that counts is left out, and so is
+    one without a value."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("free"))
+
+    def add(acc: Column, hit: Column) -> Column:
+        taken = bind(value(hit), lambda v: F.when(v.isNull(), acc).otherwise(F.struct(
+            (acc["sum"] + v).alias("sum"), (acc["n"] + 1).alias("n"), (hit["i"] + hit["len"]).alias("free"))))
+        return F.when(hit["i"] < acc["free"], acc).otherwise(taken) if phrase_words > 1 else taken
+
+    return F.aggregate(hits, start, add)
+
+
+def _mean(summed: Column) -> Column:
+    return F.when(summed["n"] == 0, 0.0).otherwise(summed["sum"] / summed["n"]).cast("float")
+
+
+def _score_inline(df: DataFrame, text_col: str, lexicon: Lexicon, outs: dict[str, str], rules: ValenceRules) -> DataFrame:
     text = F.col(text_col)
-    words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
-    if method == "polarity":
-        found = F.filter(F.transform(words, lambda w: lookup(F.lower(w))), lambda v: v.isNotNull())
-        score = bind(found, lambda vs: F.when(F.size(vs) == 0, 0.0).otherwise(
-            F.aggregate(vs, F.lit(0.0), lambda acc, v: acc + v) / F.size(vs))).cast("float")
-        return df.withColumn(out, F.when(text.isNotNull(), score))
-
-    def total(facts: Column) -> Column:
-        # One lookup per word; only the words found go on to the costlier context rules.
-        placed = F.transform(facts["low"], lambda w, i: F.struct(
-            i.alias("i"), F.when(~_is_modifier(w, rules), lookup(w)).alias("v")))
-        found = F.filter(placed, lambda p: p["v"].isNotNull())
-        return bind(F.array_position(facts["low"], F.lit(rules.contrast)).cast("int"), lambda turn: F.aggregate(
-            found, F.lit(0.0), lambda acc, p: acc + bind(
-                F.struct(*_context(facts, turn, p["i"], rules)), lambda item: _valence_of(item, p["v"], rules))))
-
-    score = bind(bind(_text_facts(text), total), lambda t: _compound(t, text, rules))
-    return df.withColumn(out, F.when(text.isNotNull(), score))
-
-
-def _score_joined(df: DataFrame, text_col: str, lexicon: DataFrame, method: str, out: str, rules: ValenceRules) -> DataFrame:
-    """The same scores by joining words with the lexicon: equal texts, told by a digest, are scored once, and the
-    values of a text are added in the order of its words."""
+
+    def valence(facts: Column, hits: Column) -> Column:
+        # A booster counts through the words after it, not by itself; only hits go on to the costlier context rules.
+        own = F.filter(hits, lambda h: (h["len"] > 1) | ~_is_modifier(F.get(facts["low"], h["i"]), rules))
+        total = bind(F.array_position(facts["low"], F.lit(rules.contrast)).cast("int"), lambda turn: _summed(own, lambda h: bind(
+            F.struct(*_context(facts, turn, h["i"], rules)), lambda item: _valence_of(item, h["v"], rules)), lexicon.phrase_words))
+        return bind(total, lambda t: _compound(t["sum"], text, rules))
+
+    def scores(facts: Column) -> Column:
+        each = {
+            "valence": lambda hits: valence(facts, hits),
+            "polarity": lambda hits: bind(_summed(hits, lambda h: h["v"], lexicon.phrase_words), _mean),
+        }
+        return bind(_hits(facts["low"], lexicon), lambda hits: F.struct(*[each[method](hits).alias(method) for method in outs]))
+
+    if "valence" in outs:
+        facts = _text_facts(text)
+    else:
+        facts = F.struct(F.transform(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.lower).alias("low"))
+    found = bind(facts, scores)
+    if len(outs) == 1:
+        (method, out), = outs.items()
+        return df.withColumn(out, F.when(text.isNotNull(), found[method]))
+    # Two columns read the structure, so Spark computes it once, below them.
+    scored = df.withColumn("_scores", F.when(text.isNotNull(), found))
+    return scored.withColumns({out: F.col("_scores")[method] for method, out in outs.items()}).drop("_scores")
+
+
+def _score_joined(df: DataFrame, text_col: str, lexicon: Lexicon, outs: dict[str, str], rules: ValenceRules) -> DataFrame:
+    """The same scores by joining words (and runs of words, for idioms) with the lexicon: equal texts, told by a
+    digest, are scored once, and the values of a text are added in the order of its words."""
     keyed = df.withColumn("_key", F.md5(text_col))
     text = F.col("_text")
-    table = unique_keys(lexicon, "word", "valence").select(F.col("word").alias("_w"), F.col("valence").alias("_v"))
+    table = unique_keys(lexicon.table, "word", "valence").select(F.col("word").alias("_w"), F.col("valence").alias("_v"))
 
     def describe(facts: Column) -> Column:
-        return bind(F.array_position(facts["low"], F.lit(rules.contrast)).cast("int"), lambda turn: F.transform(
-            facts["low"], lambda w, i: F.struct(w.alias("w"), i.alias("i"), *_context(facts, turn, i, rules))))
+        def runs(turn: Column, n: int) -> Column:
+            def run(w: Column, i: Column) -> Column:
+                words = w if n == 1 else F.array_join(F.slice(facts["low"], i + 1, n), " ")
+                return F.struct(words.alias("w"), i.alias("i"), F.lit(n).alias("len"), *_context(facts, turn, i, rules))
+
+            return F.filter(F.transform(facts["low"], run), lambda r: r["i"] + n <= F.size(facts["low"]))
+
+        return bind(F.array_position(facts["low"], F.lit(rules.contrast)).cast("int"), lambda turn: F.concat(
+            *[runs(turn, n) for n in range(1, lexicon.phrase_words + 1)]))
 
     items = (keyed.filter(F.col("_key").isNotNull()).select("_key", F.col(text_col).alias("_text")).dropDuplicates(["_key"])
              .select("_key", F.explode(bind(_text_facts(text), describe)).alias("_s"))
              .select("_key", "_s", F.col("_s.w").alias("_w")))
-    if method == "polarity":
-        value = F.col("_v")
-    else:
-        items = items.filter(~_is_modifier(F.col("_w"), rules))
-        value = _valence_of(F.col("_s"), F.col("_v"), rules)
-    placed = F.sort_array(F.collect_list(F.struct(F.col("_s.i").alias("i"), value.alias("v"))))
-    sums = (join_unique(items, table, "_w").groupBy("_key")
-            .agg(placed.alias("_p"))
-            .select("_key", F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + p["v"]).alias("_total"), F.size("_p").alias("_hits")))
-    if method == "polarity":
-        score = F.coalesce(F.try_divide("_total", "_hits"), F.lit(0.0)).cast("float")
-    else:
-        score = _compound(F.coalesce("_total", F.lit(0.0)), F.col(text_col), rules)
-    return keyed.join(sums, "_key", "left").withColumn(out, F.when(F.col(text_col).isNotNull(), score)).drop("_key", "_total", "_hits")
+    booster = (F.col("_s.len") == 1) & _is_modifier(F.col("_w"), rules)
+    values = {"valence": F.when(~booster, _valence_of(F.col("_s"), F.col("_v"), rules)), "polarity": F.col("_v")}
+    hit = F.struct(F.col("_s.i").alias("i"), (-F.col("_s.len")).alias("less"), F.col("_s.len").alias("len"), *[values[m].alias(m) for m in outs])
+    found = join_unique(items, table, "_w").groupBy("_key").agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
+    sums = found.select("_key", *[_summed(F.col("_hits"), lambda h, m=m: h[m], lexicon.phrase_words).alias(f"_{m}") for m in outs])
+    scores = {
+        "valence": _compound(F.coalesce(F.col("_valence.sum"), F.lit(0.0)), F.col(text_col), rules),
+        "polarity": F.coalesce(_mean(F.col("_polarity")), F.lit(0.0).cast("float")),
+    }
+    joined = keyed.join(sums, "_key", "left")
+    return joined.withColumns({out: F.when(F.col(text_col).isNotNull(), scores[m]) for m, out in outs.items()}).drop("_key", *[f"_{m}" for m in outs])
+
+
+def _score(df: DataFrame, text_col: str, lexicon: Lexicon, outs: dict[str, str], rules: ValenceRules) -> DataFrame:
+    way = _score_joined if lexicon.lookup is None else _score_inline
+    return way(df, text_col, lexicon, outs, rules)
 
 
 def score_sentiment(
@@ -179,9 +248,16 @@ def score_sentiment(
 
     Up to ``inline_limit`` lexicon rows the words are looked up inside the row: a narrow step, whatever the
     size of ``df``. A larger lexicon is joined word by word. Both ways give the same scores.
+
+    An entry of several words (see :class:`Lexicon`) counts as a whole where it stands, the longest first, and the words
+    in it do not count by themselves; the words before its first one are its context.
     """
-    out = out or {"valence": "vader_score", "polarity": "textblob_score"}[method]
+    out = out or OUTS[method]
     lexicon = lexicon_df if isinstance(lexicon_df, Lexicon) else Lexicon.of(lexicon_df, inline_limit)
-    if lexicon.lookup is not None:
-        return _score_inline(df, text_col, lexicon.lookup, method, out, rules)
-    return _score_joined(df, text_col, lexicon.table, method, out, rules)
+    return _score(df, text_col, lexicon, {method: out}, rules)
+
+
+def score_both(df: DataFrame, text_col: str, lexicon_df: DataFrame | Lexicon, rules: ValenceRules = ValenceRules(), outs: dict[str, str] | None = None) -> DataFrame:
+    """Both scores of :func:`score_sentiment` from one pass over the words of a text."""
+    lexicon = lexicon_df if isinstance(lexicon_df, Lexicon) else Lexicon.of(lexicon_df)
+    return _score(df, text_col, lexicon, outs or OUTS, rules)

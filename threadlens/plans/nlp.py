@@ -10,7 +10,7 @@ from threadlens.functions.text import clean_text, flag_phrases
 from threadlens.operators import aggregates as A
 from threadlens.operators.filters import flagged
 from threadlens.operators.joins import comment_counts_by_post, join_posts_comments
-from threadlens.operators.sentiment import Lexicon, ValenceRules, score_sentiment
+from threadlens.operators.sentiment import ValenceRules, score_both
 from threadlens.sources.readers import read_table
 from threadlens.sources.sinks import write_by_year
 
@@ -30,9 +30,7 @@ def enriched_comments(
     if clean:
         rules = ValenceRules(rules.negators, rules.strengtheners, rules.weakeners, rules.contrast, emphasis=False)
     rows = flag_phrases(rows, "body", phrases)
-    lexicon = Lexicon.of(lexicon)
-    rows = score_sentiment(rows, "body", lexicon, "valence", rules=rules)
-    rows = score_sentiment(rows, "body", lexicon, "polarity")
+    rows = score_both(rows, "body", lexicon, rules)
     mini = topic_posts.select("id", "created_utc", "title", "topic")
     return join_posts_comments(mini, rows, "misinfo_class", "vader_score", "textblob_score")
 
