@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from threadlens.constants import TITLE_TERMS
 from threadlens.functions import labels as L
 from threadlens.functions import text as X
+from threadlens.operators import aggregates as A
 
 
 def texts(spark, *values):
@@ -116,3 +117,26 @@ def test_numbers(spark):
 def test_unit_vector(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>").coalesce(1)
     assert column(df.select(L.unit_vector("v"))) == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_many_phrases_as_one_by_one(spark):
+    rng = __import__("random").Random(4)
+    phrases = list(dict.fromkeys("".join(rng.choices("abé ", k=rng.randint(1, 5))) for _ in range(200))) + ["é\U0001F600a", "\U0001F600", "(a|b)c", "a.b"]
+    texts = ["".join(rng.choices("abécd \U0001F600", k=rng.randint(0, 60))) for _ in range(150)] + [None, "", "a" * 50_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    import re
+
+    holds = {p: [t is not None and re.search(p, t) is not None for t in texts] for p in phrases}
+    assert len(X.part_phrases(phrases)[0]) > X.TOGETHER and X.part_phrases(phrases)[1] == phrases[-4:]
+    dummies = X.term_dummies(df, "t", [p for p in phrases if "." not in p]).orderBy("id").collect()
+    for p in phrases:
+        if "." not in p:
+            assert [r[p] for r in dummies] == [int(h) for h in holds[p]], p
+    assert {r["phrase"]: r["count"] for r in A.phrase_hits(df, "t", phrases).collect()} == {p: sum(h) for p, h in holds.items()}
+    flags = X.flag_phrases(df, "t", [p for p in phrases if len(p) > 3]).orderBy("id").collect()
+    assert [r["misinfo_class"] for r in flags] == [any(holds[p][i] for p in phrases if len(p) > 3) for i in range(len(texts))]
+
+
+def test_phrases_share_a_tree():
+    assert X.phrase_pattern(["ab"]) == "ab"
+    assert X.phrase_pattern(["abc", "abd", "ab", "x"]) == "(?:ab(?:c|d)?|x)"

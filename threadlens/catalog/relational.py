@@ -357,6 +357,20 @@ def a18(spark, sf):
     return A.phrase_hits(V.comments(spark, sf), "body", V.PHRASES)
 
 
+_MANY = "(SELECT unnest([" + ", ".join(f"'{p}'" for p in V.MANY_PHRASES) + "]) AS phrase)"
+
+
+@query("a18_many_phrases", f"SELECT phrase, count(c.id) AS count FROM {_MANY} LEFT JOIN comments c ON contains(body, phrase) GROUP BY phrase", "comments")
+def a18_many(spark, sf):
+    """Texts that hold each of 1,100 phrases, found in one pass over the texts."""
+    return A.phrase_hits(V.spread_comments(spark, sf), "body", V.MANY_PHRASES)
+
+
+@query("p11_many_phrases", f"SELECT id, EXISTS (FROM {_MANY} WHERE contains(title, phrase)) AS misinfo_class FROM posts", "posts")
+def p11_many(spark, sf):
+    return flag_phrases(V.posts(spark, sf), "title", V.MANY_PHRASES).select("id", "misinfo_class")
+
+
 @query("a19_flag_rate", """
     SELECT CAST(year(created_utc) AS INTEGER) AS year, count(*) AS total, count(*) FILTER (misinfo_class) AS flagged,
            round(count(*) FILTER (misinfo_class) / count(*), 6) AS rate FROM flagged GROUP BY 1""", "flagged")

@@ -18,6 +18,9 @@ from threadlens.session import spread
 # The invented prose holds no real phrases, so the checks use words that do occur in it.
 PHRASES = ("idiot", "stupid", "worthless", "license")
 RULES = ValenceRules(negators=("is", "les"), strengtheners=("and", "la"), weakeners=("by", "de"), contrast="this")
+_PARTS = ("th", "er", "on", "an", "re", "in", "ti", "ou", "la", "de")
+#: A thousand phrases of three syllables, and the hundred of two that they begin with.
+MANY_PHRASES = tuple(a + b + c for a in _PARTS for b in _PARTS for c in ("", *_PARTS))
 TERMS = ("us", "new", "man", "eu", "th", "age", "net", "war", "top", "report", "ou")
 STOP_WORDS = ("the", "of", "and", "la", "de", "que")
 START = "timestamp_ntz'2021-01-01 00:00:00'"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 from operator import or_
@@ -75,16 +76,74 @@ def news_source(url: str | Column, strip_nested_scheme: bool = True) -> Column:
         label.isNotNull() & F.contains(domain, F.lit("twitter.com")), account_or(label)).otherwise(F.lower(label))))
 
 
+#: Plain phrases from which on they are searched together; fewer are searched one by one, each faster than a pattern.
+TOGETHER = 32
+
+
+def _branches(node: dict) -> str:
+    """A pattern for what may follow a node of a tree of letters: the longest way first."""
+    ways = [letter + _branches(child) for letter, child in node.items() if letter]
+    if not ways:
+        return ""
+    if "" in node:
+        return f"(?:{'|'.join(ways)})?"
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
+def phrase_pattern(phrases: list[str]) -> str:
+    """One pattern that matches the longest of the plain phrases at a place.
+
+    The phrases share a tree by their first letters, so a place is given up after a letter or two, however many
+    phrases there are.
+    """
+    tree: dict = {}
+    for phrase in phrases:
+        node = tree
+        for letter in phrase:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+    return _branches(tree)
+
+
+def found_phrases(col: str | Column, phrases: list[str]) -> Column:
+    """The distinct phrases that occur in the text, as an array; all are searched in one pass over it. NULL gives NULL.
+
+    Phrases are plain and not empty. At every place, also inside a match, the longest one is found; those that it begins
+    with occur there too and are added.
+    """
+    col = F.col(col) if isinstance(col, str) else col
+    known = set(phrases)
+    begun = {p: [p[:k] for k in range(1, len(p)) if p[:k] in known] for p in phrases}
+    begun = {p: shorter for p, shorter in begun.items() if shorter}
+    found = F.array_distinct(F.regexp_extract_all(col, F.lit(f"(?=({phrase_pattern(phrases)}))"), F.lit(1)))
+    if not begun:
+        return found
+    table = F.from_json(F.lit(json.dumps(begun)), "map<string,array<string>>")
+    return bind(found, lambda ps: F.array_distinct(F.concat(ps, F.flatten(F.transform(ps, lambda p: F.coalesce(table[p], F.array().cast("array<string>")))))))
+
+
+def part_phrases(phrases) -> tuple[list[str], list[str]]:
+    """Distinct phrases: those to search together (none if they are few), and the others."""
+    distinct = list(dict.fromkeys(phrases))
+    plain = [p for p in distinct if p and _PLAIN.fullmatch(p)]
+    if len(plain) < TOGETHER:
+        return [], distinct
+    return plain, [p for p in distinct if p not in set(plain)]
+
+
 def matches_any(col: str | Column, phrases: tuple[str, ...] | list[str]) -> Column:
     """TRUE if any phrase occurs in the text; NULL for a NULL text.
 
     Phrases are regular expressions. Plain ones are searched as substrings, which is the same test and
-    needs no regex engine; the rest form one alternation.
+    needs no regex engine, or by one pattern if they are many; the rest form one alternation.
     """
     col = F.col(col) if isinstance(col, str) else col
-    plain = [p for p in phrases if _PLAIN.fullmatch(p)]
-    patterns = [p for p in phrases if not _PLAIN.fullmatch(p)]
+    together, others = part_phrases(phrases)
+    plain = [p for p in others if _PLAIN.fullmatch(p)]
+    patterns = [p for p in others if not _PLAIN.fullmatch(p)]
     tests = [F.contains(col, F.lit(p)) for p in plain]
+    if together:
+        tests.append(col.rlike(phrase_pattern(together)))
     if patterns:
         tests.append(col.rlike("|".join(patterns)))
     return reduce(or_, tests)
@@ -98,12 +157,16 @@ def flag_phrases(df: DataFrame, text_col: str, phrases, out: str = "misinfo_clas
 def term_dummies(df: DataFrame, text_col: str, terms) -> DataFrame:
     """Add one 0/1 column per distinct term: does the text contain it, upper and lower case apart?
 
-    The test is for substrings, so ``us`` is found in ``industry``. All columns come in one projection.
+    The test is for substrings, so ``us`` is found in ``industry``. Many terms are found in one pass over the
+    text, of which all their columns are read.
     """
-    distinct = list(dict.fromkeys(terms))
+    together, others = part_phrases(terms)
+    tests = {t: F.array_contains("_found", t) for t in together} | {t: matches_any(text_col, [t]) for t in others}
+    if together:
+        df = df.withColumn("_found", found_phrases(text_col, together))
     return df.withColumns({
-        t: F.coalesce(matches_any(text_col, [t]), F.lit(False)).cast("int") for t in distinct
-    })
+        t: F.coalesce(tests[t], F.lit(False)).cast("int") for t in dict.fromkeys(terms)
+    }).drop("_found")
 
 
 def tokenize(df: DataFrame, col: str, out: str = "words") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from threadlens.constants import NOT_PERCEIVED, PERCEIVED
 from threadlens.functions.labels import below, count_if, flag_to_int, ratio
-from threadlens.functions.text import matches_any
+from threadlens.functions.lookup import literal_strings
+from threadlens.functions.text import found_phrases, matches_any, part_phrases
 from threadlens.operators.ranking import top_k
 from threadlens.operators.skew import join_unique
 
@@ -167,11 +169,22 @@ def share_of_total(df: DataFrame, count_col: str, group: str | None = None, out:
 
 
 def phrase_hits(df: DataFrame, text_col: str, phrases) -> DataFrame:
-    """For every phrase the number of texts that hold it, all counted in one pass."""
-    names = {p: f"_p{i}" for i, p in enumerate(phrases)}
-    counts = df.agg(*[count_if(matches_any(text_col, [p])).alias(n) for p, n in names.items()])
-    pairs = F.array(*[F.struct(F.lit(p).alias("phrase"), F.col(n).alias("count")) for p, n in names.items()])
-    return counts.select(F.inline(pairs))
+    """For every phrase the number of texts that hold it, all counted in one pass.
+
+    A few phrases are columns of one aggregate. Many plain ones are found together, and a text sends each phrase
+    that it holds, summed in every task.
+    """
+    together, others = part_phrases(phrases)
+    parts = []
+    if others or not together:
+        names = {p: f"_p{i}" for i, p in enumerate(others)}
+        counts = df.agg(*[count_if(matches_any(text_col, [p])).alias(n) for p, n in names.items()])
+        parts.append(counts.select(F.inline(F.array(*[F.struct(F.lit(p).alias("phrase"), F.col(n).alias("count")) for p, n in names.items()]))))
+    if together:
+        found = df.select(F.explode(found_phrases(text_col, together)).alias("phrase"), F.lit(1).cast("long").alias("n"))
+        listed = df.sparkSession.range(1).select(F.explode(literal_strings(together)).alias("phrase"), F.lit(0).cast("long").alias("n"))
+        parts.append(found.unionByName(listed).groupBy("phrase").agg(F.sum("n").alias("count")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def flag_rate(df: DataFrame, flag_col: str, period_col: str | Column) -> DataFrame:
