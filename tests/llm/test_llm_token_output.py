@@ -55,3 +55,18 @@ def _ids(docs):
     with open(PATH, encoding="utf-8") as f:
         encoder = Encoder(f.read())
     return [encoder.encode(r.text) for r in docs.collect()]
+
+
+def test_a_folder_whose_shards_failed_has_no_manifest(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "the cat sat on the mat " * 50) for i in range(40)], "doc_id long, text string")
+    blocked = tmp_path / "blocked"
+    (blocked / "shard-000001.bin").mkdir(parents=True)
+    (blocked / "shard-000001.bin" / "x").write_text("in the way")
+    with pytest.raises(Exception):
+        write_shards(docs, PATH, str(blocked), seq_len=64, per_shard=20)
+    assert not (blocked / "manifest.json").exists()
+    rows = write_shards(docs, PATH, str(tmp_path / "whole"), seq_len=64, per_shard=20)
+    with open(tmp_path / "whole" / "manifest.json") as f:
+        n = json.load(f)["sequences"]
+    rows.limit(3).collect()
+    assert len(list((tmp_path / "whole").glob("shard-*.bin"))) == -(-n // 20) and rows.count() == n

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from threadlens.llm.bpe import _encoder
 from threadlens.llm.common import ship
 from threadlens.session import scratch_path
+from threadlens.sources.sinks import store
 
 END = "<|endoftext|>"
 #: Pieces of the scan (12 bytes each) up to which their first places are broadcast.
@@ -110,7 +111,8 @@ def write_shards(
     """Write the shards and return a row for every sequence: slot, shard, byte_offset, n_tokens, sha256, ids.
 
     ``path`` is a folder that driver and executors share (default: one in the shared scratch folder). One exchange
-    takes every part of a sequence to the task of its shard. The driver sees the total and writes the manifest.
+    takes every part of a sequence to the task of its shard. The shards are written when this function is called; the
+    driver sees the total and writes the manifest after the last shard, so a folder without one is not complete.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "shards")
@@ -125,8 +127,6 @@ def write_shards(
     n = -(-total // seq_len)
     fs, folder = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
     fs.create_dir(folder)
-    with fs.open_output_stream(f"{folder}/manifest.json") as out:
-        out.write(json.dumps({"sequences": n, "seq_len": seq_len, "per_shard": per_shard, "key": key, "tokens": total}).encode())
     kind = stream.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +197,12 @@ def write_shards(
     shards = max(1, -(-n // per_shard))
     pieces = stream.join(firsts, "piece").select("id", (F.col("start") + F.col("first")).alias("start"), "tokens").mapInArrow(
         cut, f"shard int, slot long, place int, id {kind}, packed binary, size int")
-    return pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "place").mapInArrow(
-        write, f"slot long, shard int, byte_offset long, n_tokens int, sha256 string, ids array<{kind}>")
+    rows = store(pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "place").mapInArrow(
+        write, f"slot long, shard int, byte_offset long, n_tokens int, sha256 string, ids array<{kind}>"), "sequences")
+    # All shards are there: only now does the folder say so.
+    with fs.open_output_stream(f"{folder}/manifest.json") as out:
+        out.write(json.dumps({"sequences": n, "seq_len": seq_len, "per_shard": per_shard, "key": key, "tokens": total}).encode())
+    return rows
 
 
 def read_sequences(spark: SparkSession, path: str, first: int = 0, last: int | None = None) -> DataFrame:
