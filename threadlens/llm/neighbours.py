@@ -197,10 +197,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _packed(rows: DataFrame, per_block: int) -> DataFrame:
-    """``part``, ``block``, ``ids`` and ``vectors`` (all components of a block): rows of a part in blocks of about ``per_block``."""
-    sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / per_block).cast("int").alias("blocks"))
-    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(sizes), "part")  # at most PARTS rows
+def _blocks(rows: DataFrame, per_block: int) -> DataFrame:
+    """How many blocks of about ``per_block`` rows each part has; at most ``PARTS`` rows."""
+    return rows.groupBy("part").agg(F.ceil(F.count("*") / per_block).cast("int").alias("blocks"))
+
+
+def _packed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``part``, ``block``, ``ids`` and ``vectors`` (all components of a block): the rows of every part in its blocks."""
+    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(sizes), "part")
     block = F.pmod(F.xxhash64("__row"), F.col("blocks")).cast("int")
     packed = dealt.select("part", block.alias("block"), F.struct("id", "vector").alias("row")).groupBy("part", "block").agg(F.collect_list("row").alias("rows"))
     return packed.select("part", "block", F.col("rows.id").alias("ids"), F.flatten("rows.vector").alias("vectors"))
@@ -260,9 +264,12 @@ def nearest_neighbours(
     asking = rows.where(F.expr(is_query) & F.col("id").isNotNull()).groupBy("id").agg(F.min("vector").alias("vector"))
     placed = store(rows.mapInArrow(spread(False), schema), "placed")
     routed = store(asking.mapInArrow(spread(True), schema), "routed")
-    blocks = _packed(placed, block).withColumnsRenamed({"ids": "row_ids", "vectors": "rows"})
-    asks = _packed(routed, block).select("part", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    met = blocks.join(asks.hint("shuffle_hash"), "part").select("row_ids", "rows", "query_ids", "queries")
+    sizes = _blocks(placed, block)
+    blocks = _packed(placed, sizes).withColumnsRenamed({"ids": "row_ids", "vectors": "rows"})
+    # Each block of queries is sent to each block of rows of its part, so a large part has as many keys as blocks.
+    asks = _packed(routed, _blocks(routed, block)).join(F.broadcast(sizes), "part").select(
+        "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    met = blocks.join(asks, ["part", "block"]).select("row_ids", "rows", "query_ids", "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
