@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 
 import public_tokenizers
 import pytest
@@ -27,6 +28,7 @@ def encoder():
 def same(library, encoder, text):
     want = library.encode(text, add_special_tokens=False).ids
     assert encoder.encode(text) == want, repr(text)
+    assert list(struct.unpack(f"<{len(want)}H", encoder.pack(text))) == want
     assert encoder.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
@@ -62,3 +64,34 @@ def test_memo_of_small_size_changes_nothing(library):
         memo.limit = 3
     for text in ("the cat sat on the mat, and the cat's hat was on the mat", "unbelievable internationalisation"):
         same(library, small, text)
+
+
+def test_pair_test_against_merging(encoder):
+    def merged(symbols):
+        ids = [encoder.id_of[s] for s in symbols]
+        while len(ids) > 1:
+            ranked = [(encoder.merges[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in encoder.merges]
+            if not ranked:
+                break
+            k = min(ranked)[1]
+            ids[k : k + 2] = [encoder.merges[ids[k], ids[k + 1]][1]]
+        return ids
+
+    rng = random.Random(9)
+    inner = [i for i, s in encoder.symbols_of.items() if ord(s[-1]) < 0xE000 and all(c in encoder.id_of for c in s)]
+    short = [i for i in inner if len(encoder.symbols_of[i]) <= 3]
+    tokens = [i for i, s in encoder.symbols_of.items() if all(c in encoder.id_of for c in s)]
+    seen = set()
+    for n in range(30_000):
+        left, right = rng.choice(short if n % 2 else inner), rng.choice(short if n % 3 else tokens)
+        want = merged(encoder.symbols_of[left] + encoder.symbols_of[right]) == [left, right]
+        assert encoder._fits((left << 24) + right) == want, (left, right)
+        seen.add(want)
+    for left in rng.sample(inner, 3000):  # a token beside itself
+        assert encoder._fits((left << 24) + left) == (merged(encoder.symbols_of[left] * 2) == [left, left])
+    assert seen == {True, False}
+
+
+def test_long_runs_are_not_kept(encoder):
+    encoder.encode("z" * 5000 + " " + "q" * 65)
+    assert not any(len(k) > 64 for memo in (encoder.of_chunk, encoder.of_piece) for k in memo)

@@ -2,8 +2,8 @@
 
 A text is encoded piece by piece. In a piece, the encoding of every prefix ends in exactly one token: among the tokens
 that end there (found by an automaton over the vocabulary that follows suffix links), it is the one that begins at
-place 0 or fits the last token of the prefix before it. Two tokens fit if merging their symbols from the start gives
-the two tokens back. Back-pointers from the end of the piece give the ids. The work is linear in the length of the
+place 0 or fits the last token of the prefix before it. Two tokens fit if no merge across their border would have come
+before the merges that made them. Back-pointers from the end of the piece give the ids. The work is linear in the length of the
 piece times the tokens that end at a place, also for pieces without any space.
 
 The vocabulary file is that of the ``tokenizers`` library (kind BPE with word ends, no decoder): special tokens are cut
@@ -16,9 +16,11 @@ table gives no rows; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -41,6 +43,8 @@ _END = 0xE000
 _PAIR = 1 << 24
 #: Entries of a memo before its older half is given up; bounds the memory of a worker.
 _MEMO = 400_000
+#: Longest run of letters that a memo keeps, so that its bytes are bounded as well.
+_KEPT = 64
 
 
 def _byte_symbols() -> list[str]:
@@ -61,6 +65,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if type(key) is str and len(key) > _KEPT:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -95,34 +101,65 @@ class Encoder:
             self.merges[a, b] = (rank, self.id_of[self.symbols_of[a] + self.symbols_of[b]])
         self.automaton = ahocorasick.Automaton()
         for symbols, i in self.id_of.items():
-            self.automaton.add_word(symbols, (len(symbols), i))
+            if len(symbols) > 1:
+                self.automaton.add_word(symbols, (len(symbols), i))
         self.automaton.make_automaton()
         self.length_of = {i: len(s) for i, s in self.symbols_of.items()}
         self.shown = {i: str(i) for i in self.text_of}
+        self.made = Memo(self._make, 2 * len(self.symbols_of))  # never turned over: a vocabulary's tokens
         self.fits = Memo(self._fits, memo)
         self.of_piece = Memo(self._encode_piece, memo)
         self.of_chunk = Memo(self._encode_chunk, memo)
+        self.packed = Memo(self._pack_chunk, memo)
 
-    def _merged(self, symbols: str) -> list[int]:
-        """Plain merging by rank, used on two tokens at a time."""
-        ids = [self.id_of[s] for s in symbols]
+    def _make(self, token: int) -> tuple[int, int, int] | None:
+        """Rank and parts of the merge that ends in the token when its own symbols are merged by rank; rank -1 for a
+        single symbol, None if they end in other tokens."""
+        ids = [self.id_of[s] for s in self.symbols_of[token]]
+        made = (-1, token, token)
         while len(ids) > 1:
             ranked = [(self.merges[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
             if not ranked:
-                break
-            k = min(ranked)[1]
+                return None
+            rank, k = min(ranked)
+            made = (rank, ids[k], ids[k + 1])
             ids[k : k + 2] = [self.merges[ids[k], ids[k + 1]][1]]
-        return ids
+        return made if ids == [token] else None
 
     def _fits(self, pair: int) -> bool:
-        """Whether the two tokens stay apart."""
+        """Whether the two tokens stay apart.
+
+        Their merges are undone along the border, the latest first: the tokens would not stay apart if two that face
+        each other there have a merge that comes before the one just undone (of equal ranks the left place comes first).
+        """
         left, right = divmod(pair, _PAIR)
-        return self._merged(self.symbols_of[left] + self.symbols_of[right]) == [left, right]
+        made, merges, limit = self.made, self.merges, len(self.merges)
+        of_left, of_right = made[left], made[right]
+        if of_left is None or of_right is None:
+            return False
+        while True:
+            merge = merges.get((left, right))
+            if merge is not None and merge[0] < limit:
+                return False
+            if of_left[0] > of_right[0]:
+                limit, left = of_left[0], of_left[2]
+                of_left = made[left]
+            elif of_right[0] < 0:
+                return True
+            else:
+                limit, right = of_right[0] + 1, of_right[1]
+                of_right = made[right]
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
-        symbols = piece if piece.isascii() and piece.isalnum() else "".join([self.symbols[b] for b in piece.encode("utf-8")])
+        return self._encode_symbols(piece if piece.isascii() and piece.isalnum() else "".join([self.symbols[b] for b in piece.encode("utf-8")]))
+
+    def _encode_symbols(self, symbols: str) -> tuple[int, ...]:
         symbols = symbols[:-1] + chr(ord(symbols[-1]) + _END)
-        last, fits, done = [0] * len(symbols), self.fits, -1
+        whole = self.id_of.get(symbols)
+        if whole is not None and self.made[whole] is not None:
+            return (whole,)
+        # Where no longer token fits, the prefix ends in its last symbol alone.
+        last, fits, done = [self.id_of[s] for s in symbols], self.fits, -1
         for end, (length, token) in self.automaton.iter(symbols):  # longest first at each end
             if end != done and (length > end or fits[last[end - length] * _PAIR + token]):
                 last[end], done = token, end
@@ -138,23 +175,38 @@ class Encoder:
         if chunk.isascii():
             plain = chunk.lower()
             if plain.isalpha():
-                return self.of_piece[plain]
+                return self._encode_symbols(plain) if plain == chunk else self.of_chunk[plain]
+            word, mark = plain[:-1], plain[-1]
+            if word.isalpha() and not mark.isalpha():  # the commonest chunk beside plain letters
+                return self.of_chunk[word] + self.of_piece[mark]
         else:
             plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return tuple([i for piece in self.pieces(plain) for i in self.of_piece[piece]])
+        # A piece of plain letters is a chunk too, and found there.
+        return tuple([i for piece in self.pieces(plain) for i in (self.of_chunk if piece.isascii() and piece.isalpha() else self.of_piece)[piece]])
+
+    def _pack_chunk(self, chunk: str) -> bytes:
+        # Plain words are shared with the chunks that hold them.
+        ids = self.of_chunk[chunk] if chunk.isascii() and chunk.isalpha() and chunk.islower() else self._encode_chunk(chunk)
+        return struct.pack(f"<{len(ids)}H", *ids)
 
-    def _plain(self, text: str) -> list[int]:
-        chunks = filter(None, _SPLIT.split(text)) if _ODD.search(text) else text.split()
-        return list(chain.from_iterable(map(self.of_chunk.__getitem__, chunks)))
+    def _values(self, text: str | None, of_chunk: Memo, of_special) -> Iterator:
+        """What ``of_chunk`` holds for the runs of a text between white space, and ``of_special`` gives for special tokens."""
+        if not text:
+            return
+        parts = [text] if self.special_re is None or not self.special_re.search(text) else self.special_re.split(text)
+        for part in parts:
+            if part in self.specials:
+                yield [of_special(self.specials[part])]
+            else:
+                yield map(of_chunk.__getitem__, filter(None, _SPLIT.split(part)) if _ODD.search(part) else part.split())
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text."""
-        if not text:
-            return []
-        if self.special_re is None or not self.special_re.search(text):
-            return self._plain(text)
-        parts = self.special_re.split(text)
-        return [i for p in parts for i in ([self.specials[p]] if p in self.specials else self._plain(p))]
+        return list(chain.from_iterable(chain.from_iterable(self._values(text, self.of_chunk, lambda i: (i,)))))
+
+    def pack(self, text: str | None) -> bytes:
+        """The ids of a text, 16 bits each, little-endian (for vocabularies of up to 65,536 tokens)."""
+        return b"".join(chain.from_iterable(self._values(text, self.packed, lambda i: struct.pack("<H", i))))
 
     def decode(self, ids) -> str:
         """The text of ids."""
@@ -175,6 +227,7 @@ def _encoder(content, memo: int = _MEMO) -> Encoder:
     key = hash(text), memo
     if key not in _LOADED:
         _LOADED[key] = Encoder(text, memo)
+        gc.freeze()  # the vocabulary stays: the collector need not walk it again
     return _LOADED[key]
 
 

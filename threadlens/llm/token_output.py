@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -71,7 +72,7 @@ def permute(numbers: np.ndarray, n: int, key: str, inverse: bool = False, rounds
 
 
 def token_stream(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """piece, start, id, tokens (16 bits each, little-endian): every text with its place in its piece of the scan."""
+    """piece, start, size, id, tokens (16 bits each, little-endian): every text with its place in its piece of the scan."""
     ship(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # of fixed size: a vocabulary
@@ -79,21 +80,22 @@ def token_stream(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, piece, at = _encoder(content), TaskContext.get().partitionId(), 0
-        end = encoder.specials[END]
+        end = struct.pack("<H", encoder.specials[END])
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                ids = [np.array([*encoder.encode(t), end], "<u2") for t in part.column(1).to_pylist()]
-                ends = at + np.cumsum([len(x) for x in ids], dtype=np.int64)
-                starts = ends - np.array([len(x) for x in ids], np.int64)
+                ids = [encoder.pack(t) + end for t in part.column(1).to_pylist()]
+                sizes = np.array([len(x) // 2 for x in ids], np.int64)
+                ends = at + np.cumsum(sizes)
+                starts = ends - sizes
                 at = int(ends[-1]) if len(ids) else at
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([piece] * len(ids), pa.int32()), pa.array(starts), part.column(0), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    ["piece", "start", "id", "tokens"])
+                    [pa.array([piece] * len(ids), pa.int32()), pa.array(starts), pa.array(sizes), part.column(0), pa.array(ids, pa.binary())],
+                    ["piece", "start", "size", "id", "tokens"])
 
     kind = picked.schema["id"].dataType.simpleString()
     path = scratch_path(docs.sparkSession, "stream")
-    encoded = picked.mapInArrow(run, f"piece int, start long, id {kind}, tokens binary")
+    encoded = picked.mapInArrow(run, f"piece int, start long, size long, id {kind}, tokens binary")
     encoded.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(encoded.schema).parquet(path)
 
@@ -117,8 +119,7 @@ def write_shards(
     spark = docs.sparkSession
     path = path or scratch_path(spark, "shards")
     stream = token_stream(docs, tokenizer_path, id_col, text_col)
-    size = F.length("tokens") / 2
-    lengths = stream.groupBy("piece").agg(F.max(F.col("start") + size).cast("long").alias("n"))
+    lengths = stream.groupBy("piece").agg(F.max(F.col("start") + F.col("size")).alias("n"))
     before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row per piece of the scan
     firsts = lengths.select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     total, n_pieces = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
