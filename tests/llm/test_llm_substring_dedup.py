@@ -88,3 +88,34 @@ def test_odd_rows(spark, odd_docs, no_docs):
     long = odd_docs.where("doc_id = 5").unionByName(odd_docs.where("doc_id = 5").withColumn("doc_id", F.lit(50).cast("long"))).unionByName(odd_docs.where("doc_id = 5"))
     assert [(r.id, r.removed, r.words) for r in sorted(repeated_passages(long).collect())] == [(5, False, 60_000), (50, True, 60_000)]
     assert repeated_passages(no_docs).collect() == []
+
+
+def test_shared_passages_are_covered_word_by_word(spark):
+    rng = random.Random(5)
+    words = lambda n: [str(rng.randrange(10**6)) for _ in range(n)]
+    rows, spans = [], {}
+    for i in range(160):
+        size = (51, 60, 80, 120)[i % 4]
+        line = words((4, 7)[i // 4 % 2])
+        passage = words(size) if i < 80 else (line * size)[:size]
+        for copy in (0, 1):
+            before = words(rng.randint(0, 60))
+            rows.append((2 * i + copy, " ".join(before + passage + words(rng.randint(0, 60)))))
+            spans[2 * i + copy] = (len(before), size)
+    got = defaultdict(set)
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[r.id][1]
+        first = len(text[: r.start].split())
+        got[r.id] |= set(range(first, first + len(text[r.start : r.end].split())))
+        assert r.removed == (r.id % 2 == 1) and r.words >= 40
+    want = {i: set(range(a, a + n)) for i, (a, n) in spans.items()}
+    assert sum(len(got[i] & w) for i, w in want.items()) >= 0.99 * sum(map(len, want.values()))
+    assert sum(len(got[i] - w) for i, w in want.items()) <= 0.001 * sum(map(len, want.values()))
+
+
+def test_short_repeats_are_left_alone(spark):
+    rng = random.Random(9)
+    words = lambda n: [str(rng.randrange(10**6)) for _ in range(n)]
+    line = words(40)
+    rows = [(i, " ".join(words(50) + line + words(50))) for i in range(20)]
+    assert repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []

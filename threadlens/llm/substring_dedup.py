@@ -1,23 +1,29 @@
 """Passages that repeat across documents: paragraph MinHash banding.
 
 Paragraphs are cut by content: after every word whose hash is the least among ``RADIUS`` words on both sides (about 11
-words each). A passage that is copied into another text is therefore cut at the same places there, wherever it stands,
-and only the paragraphs at its ends differ. A paragraph is the set of its shingles of five words; its MinHash values
-make ``bands`` keys of ``rows`` values each, tuned so that a pair at the threshold shares a key with the wanted
-probability. Colliding paragraphs are joined by key, verified by their exact Jaccard similarity, and verified links
-make components. The first occurrence of a component stays, the others are removals. Paragraphs that repeat
-make one passage with the next one, at most ``GAP`` changed ones between; passages of fewer than ``min_words`` repeated
-words are left alone.
+words each); of equal least words (repeated lines) those count that leave a paragraph of five words. A passage that is
+copied into another text is therefore cut at the same places there, wherever it stands, and only the paragraphs at its
+ends differ. A paragraph is the set of its shingles of five words; its MinHash values make ``bands`` keys of ``rows``
+values each, tuned so that a pair at the threshold shares a key with the wanted probability. Colliding paragraphs are
+joined by key, verified by their exact Jaccard similarity, and verified links make components. The paragraphs of the
+first document of a component stay, the others are removals.
+
+A paragraph whose neighbour does not repeat is extended to that side word by word, as far as three words in a row stand
+at the same distance from a paragraph of its component in another document too; up to ``GAP`` words may be replaced, and up to ``REACH``
+words are compared, more than a cut lies from the end of a passage but for some in ten thousand. Stretches at most ``GAP`` words
+apart make a passage; it is reported if it is ``min_words`` long and at least ``threshold`` of so many words repeat (words
+replaced inside an extension count).
 
 Equal paragraphs are one node, and are collected once per batch before the exchange. Keys with up to ``FEW`` different
 paragraphs give their pairs. Those of more go another way: their paragraphs are dealt out in tiles, every two tiles
 of a key meet in a task, and the task searches from one member after the other and sends one link per member reached, not
 its pairs. Shingle sets are only taken from texts for paragraphs that collide (told by a bitmap of fixed size, then
-exactly).
+exactly), and the words beside a paragraph only for ends of stretches.
 
 Defined cases: NULL and empty texts have no paragraph; paragraphs of fewer than five words are not compared; repeated
-rows are reported once (the first by id, then by text and place, stays; NULL ids come last); repeats inside one
-document alone are not passages across documents; an empty table gives no rows; only id and text are read.
+rows are reported once (the first by id, then by text, stays; NULL ids come last); repeats inside one document alone
+are not passages across documents; very long texts are cut like others, a task holds one text at a time beside its
+batch; an empty table gives no rows; only id and text are read.
 """
 
 from __future__ import annotations
@@ -37,14 +43,20 @@ from threadlens.sources.sinks import store
 
 RADIUS = 5
 WORDS = 5
-#: Changed paragraphs inside a passage that are passed over.
-GAP = 2
+#: Changed words inside a passage that are passed over.
+GAP = 5
+#: Words of the shortest part of a passage that is reported.
+PART = 18
+#: Words beside a paragraph that are compared.
+REACH = 32
 #: Different paragraphs of a key up to which their pairs are written.
 FEW = 16
 #: Members of a tile of a key with more.
 TILE = 1000
 #: Bits of the bitmap of colliding paragraphs: 4 MB whatever the data.
 _SLOTS = 1 << 25
+#: The bitmap comes to the driver in so many pieces.
+_PIECES = 64
 #: Which bytes are white space.
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio, made odd
@@ -61,25 +73,53 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: first word of each paragraph (and the end), hash of each paragraph, all shingle hashes, and the place
-    of the first shingle of each paragraph (and the end); paragraphs of fewer than five words have none."""
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, in lower case."""
     found = text.lower().split()
-    n = len(found)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
+def first_words(h: np.ndarray) -> np.ndarray:
+    """The first word of every paragraph, and the end."""
+    n = len(h)
     least = np.ones(n, bool)
     for k in range(1, RADIUS + 1):
-        least[k:] &= h[k:] < h[:-k]
-        least[:-k] &= h[:-k] < h[k:]
-    first = np.flatnonzero(np.r_[True, least[:-1]]) if n else np.zeros(0, int)
-    sizes = np.diff(np.r_[first, n])
+        least[k:] &= h[k:] <= h[:-k]
+        least[:-k] &= h[:-k] <= h[k:]
+    cuts = np.flatnonzero(least[:-1]) + 1 if n else np.zeros(0, int)
+    if len(cuts) > 1 and np.diff(cuts).min() < WORDS:  # equal words near each other
+        apart, last = [], -WORDS
+        for at in cuts.tolist():
+            if at - last >= WORDS:
+                apart.append(at)
+                last = at
+        cuts = np.array(apart)
+    return np.r_[0, cuts, n] if n else np.zeros(1, int)
+
+
+def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text: first word of each paragraph (and the end), hash of each paragraph, all shingle hashes, and the place
+    of the first shingle of each paragraph (and the end); paragraphs of fewer than five words have none."""
+    h = word_hashes(text)
+    bounds, n = first_words(h), len(h)
+    first, sizes = bounds[:-1], np.diff(bounds)
     inside = np.arange(n) - np.repeat(first, sizes)
     whole = np.add.reduceat(_mixed(h ^ _mixed(inside.astype(np.uint64) + np.uint64(1))), first) if n else h
     rolled = h.copy()
     for k in range(1, WORDS if n >= WORDS else 1):
         rolled[: n - k] = _mixed(rolled[: n - k] ^ np.uint64(k)) + h[k:]
     full = inside < np.repeat(np.maximum(sizes - WORDS + 1, 0), sizes)
-    return np.r_[first, n], whole, _mixed(rolled[full]), np.r_[0, np.cumsum(np.maximum(sizes - WORDS + 1, 0))]
+    return bounds, whole, _mixed(rolled[full]), np.r_[0, np.cumsum(np.maximum(sizes - WORDS + 1, 0))]
+
+
+def windows(h: np.ndarray, starts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each start a hash of each of ``REACH`` words from there on (backwards with ``step`` -1) with the two words before it, and
+    how many of these words the text has."""
+    at = starts[:, None] + step * np.arange(-2, REACH)
+    there = (at >= 0) & (at < len(h))
+    near = h[np.clip(at, 0, len(h) - 1)]
+    values = near[:, 2:] + _mixed(near[:, 1:-1] + _mixed(near[:, :-2]))
+    return values, there[:, 2:].sum(axis=1)
 
 
 def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -164,47 +204,59 @@ def collisions(keyed: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "paragraph").mapInArrow(run, "a long, b long, crowded boolean")
 
 
-def _bitmap(paragraph_keys: DataFrame) -> np.ndarray:
-    """Which of ``_SLOTS`` slots are taken; at most a row per 32 slots comes to the driver."""
-    slot = F.col("paragraph").bitwiseAND(F.lit(_SLOTS - 1))
-    words = paragraph_keys.groupBy(F.floor(slot / 32).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((paragraph & {_SLOTS - 1}) % 32 as int))")).alias("bits")).collect()
-    out = np.zeros(_SLOTS // 32, np.uint32)
-    for word, bits in words:
-        out[word] = bits
-    return out
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Which of ``_SLOTS`` slots the column ``key`` takes. Tasks pack the bits into ``_PIECES`` blocks, all that comes to the driver."""
+    slot = F.col("key").bitwiseAND(F.lit(_SLOTS - 1))
+    size = _SLOTS // 32 // _PIECES
+    words = keys.groupBy(F.floor(slot / 32).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((key & {_SLOTS - 1}) % 32 as int))")).alias("bits"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        word, out = rows["word"].to_numpy(), np.zeros(size, np.uint32)
+        out[word % size] = rows["bits"].to_numpy().astype(np.uint32)
+        return pa.table({"piece": [int(word[0]) // size], "bits": [out.tobytes()]})
+
+    taken = np.zeros((_PIECES, size), np.uint32)
+    for piece, bits in words.groupBy(F.floor(F.col("word") / size)).applyInArrow(pack, "piece long, bits binary").collect():
+        taken[piece] = np.frombuffer(bits, np.uint32)
+    return taken.ravel()
+
+
+def _taken(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys hit a slot that is taken."""
+    slots = keys & np.uint64(_SLOTS - 1)
+    return (bitmap[slots >> np.uint64(5)] >> (slots & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
 
 
 def occurrences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """paragraph, id, text_key, number, start, end, words, shingles of the paragraphs in ``wanted``, wherever they occur.
+    """paragraph, id, text_key, number, start, end, first, words, shingles of the paragraphs in ``wanted``, wherever they occur.
 
     Places are in bytes of UTF-8. The texts are cut again; what the bitmap lets through is checked by a join.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.withColumnRenamed("paragraph", "key")))
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken = shared.value
         for batch in batches:
-            rows = [[], [], [], [], [], [], [], []]
+            rows = [[], [], [], [], [], [], [], [], []]
             ids = batch.column(0).to_pylist()
             for id_, text in zip(ids, batch.column(1).to_pylist()):
                 text = (text or "").encode()
                 first, whole, shingles, starts = paragraphs(text)
-                slots = whole & np.uint64(_SLOTS - 1)
-                hit = (taken[slots >> np.uint64(5)] >> (slots & np.uint64(31)).astype(np.uint32) & 1).astype(bool) & (np.diff(starts) > 0)
+                hit = _taken(taken, whole) & (np.diff(starts) > 0)
                 if not hit.any():
                     continue
                 text_key = xxhash.xxh64_intdigest(text) >> 1
                 begins, ends = word_places(text)
                 for p in np.flatnonzero(hit).tolist():
-                    values = (int(whole[p].astype(np.int64)), id_, text_key, p, int(begins[first[p]]), int(ends[first[p + 1] - 1]), int(first[p + 1] - first[p]), np.unique(shingles[starts[p] : starts[p + 1]]).view(np.int64))
+                    values = (int(whole[p].astype(np.int64)), id_, text_key, p, int(begins[first[p]]), int(ends[first[p + 1] - 1]), int(first[p]), int(first[p + 1] - first[p]), np.unique(shingles[starts[p] : starts[p + 1]]).view(np.int64))
                     for column, value in zip(rows, values):
                         column.append(value)
-            kinds = [pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["paragraph", "id", "text_key", "number", "start", "end", "words", "shingles"])
+            kinds = [pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["paragraph", "id", "text_key", "number", "start", "end", "first", "words", "shingles"])
 
     kind = picked.schema["id"].dataType.simpleString()
-    found = picked.mapInArrow(run, f"paragraph long, id {kind}, text_key long, number int, start int, end int, words int, shingles array<long>")
+    found = picked.mapInArrow(run, f"paragraph long, id {kind}, text_key long, number int, start int, end int, first int, words int, shingles array<long>")
     return found.join(wanted, "paragraph", "left_semi")
 
 
@@ -255,9 +307,73 @@ def verified_links(found: DataFrame, sets: DataFrame, threshold: float, tile: in
     return near.unionByName(groups.mapInArrow(run, "a long, b long"))
 
 
-def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0.98, min_words: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _several(keyed: DataFrame, key: str) -> DataFrame:
+    """The keys found in more than one document, with the first of these."""
+    late = F.struct(F.col("id").isNull().alias("late"), "id", "text_key")
+    counted = keyed.groupBy(key).agg(F.min(late).alias("one"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls"))
+    return counted.where("low < high OR (low IS NOT NULL AND nulls > 0) OR nulls > 1").select(key, "one")
+
+
+def beside(docs: DataFrame, ends: DataFrame, text_col: str = "text") -> DataFrame:
+    """text_key, number, side, windows, bytes: the words before (side 0) or after (1) the paragraphs in ``ends``, as hashes of three words
+    each and the byte where each begins (ends). Only texts with ends are cut again."""
+    context = docs.sparkSession.sparkContext
+    some_text = context.broadcast(_bitmap(ends.select(F.col("text_key").alias("key"))))
+    some_end = context.broadcast(_bitmap(ends.select(F.col("text_key").bitwiseXOR(F.col("number").cast("long") * 2 + F.col("side")).alias("key"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[], [], [], [], []]
+            texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
+            keys = np.array([xxhash.xxh64_intdigest(t) >> 1 for t in texts], np.uint64)
+            for at in np.flatnonzero(_taken(some_text.value, keys)).tolist():
+                h = word_hashes(texts[at])
+                bounds = first_words(h)
+                places = np.arange(len(bounds) - 1, dtype=np.uint64) * np.uint64(2)
+                limits = None
+                for side in (0, 1):
+                    wanted = np.flatnonzero(_taken(some_end.value, keys[at] ^ (places + np.uint64(side))))
+                    if not len(wanted):
+                        continue
+                    limits = limits or word_places(texts[at])
+                    starts = bounds[wanted + 1] if side else bounds[wanted] - 1
+                    values, sizes = windows(h, starts, 1 if side else -1)
+                    for number, start, value, size in zip(wanted.tolist(), starts.tolist(), values, sizes.tolist()):
+                        if size:
+                            edges = limits[1][start : start + size] if side else limits[0][start - size + 1 : start + 1][::-1]
+                            for column, item in zip(rows, (int(keys[at]), number, side, value[:size].view(np.int64), edges.astype(np.int32))):
+                                column.append(item)
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["text_key", "number", "side", "windows", "bytes"])
+
+    return docs.select(text_col).mapInArrow(run, "text_key long, number int, side int, windows array<long>, bytes array<int>").distinct()
+
+
+def extensions(docs: DataFrame, marked: DataFrame, text_col: str = "text") -> DataFrame:
+    """id, text_key, number, side, reach, edge: by how many words the paragraph at an end of a stretch goes on as in another document
+    with a paragraph of its component, and the byte where that begins or ends."""
+    inside = Window.partitionBy("id", "text_key").orderBy("number")
+    alone = lambda other, step: F.coalesce(other != F.col("number") + step, F.lit(True))
+    sides = F.array(F.struct(F.lit(0).alias("side"), (alone(F.lag("number").over(inside), -1) & (F.col("number") > 0)).alias("open")),
+                    F.struct(F.lit(1).alias("side"), alone(F.lead("number").over(inside), 1).alias("open")))
+    sided = store(marked.select("id", "text_key", "number", "component", sides.alias("sides")).select("id", "text_key", "number", "component", F.inline("sides")), "sides")
+    # a document whose paragraph goes on repeating may be the one that an end elsewhere goes on like
+    ends = store(sided.join(sided.where("open").select("component", "side").distinct(), ["component", "side"], "left_semi"), "ends")
+    words = store(ends.join(beside(docs, ends.select("text_key", "number", "side").distinct(), text_col), ["text_key", "number", "side"]), "beside")
+    keys = words.select("id", "text_key", "number", "side", "open", "component", F.posexplode("windows").alias("k", "part")).select(
+        "id", "text_key", "number", "side", "open", "k", F.xxhash64("component", "side", "k", "part").alias("key"))
+    on = lambda r, k: F.when(k - 2 <= r + GAP, k + 1).otherwise(r)
+    shared = keys.where("open").join(_several(keys, "key"), "key", "left_semi").groupBy("id", "text_key", "number", "side").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    reach = shared.select("id", "text_key", "number", "side", F.aggregate("ks", F.lit(0), on).alias("reach")).where("reach > 0")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) if c == "id" else F.col(f"r.{c}") == F.col(f"w.{c}") for c in ("id", "text_key", "number", "side")]
+    joined = reach.alias("r").join(words.alias("w"), same[0] & same[1] & same[2] & same[3])
+    return joined.select("r.id", "r.text_key", "r.number", "r.side", "r.reach", F.get("w.bytes", F.col("r.reach") - 1).alias("edge"))
+
+
+def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0.98, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, end (bytes of UTF-8, end exclusive), words (that repeat), removed, components: the passages of every document that
-    also stand in another one. Of each component the first paragraph stays (``removed`` is false there)."""
+    also stand in another one. Of each component the paragraphs of the first document stay (``removed`` is false there); a passage that
+    is removed in parts has a row for each part of ``PART`` words or more, and shorter parts stay."""
     ship(docs.sparkSession)
     rows = 2
     found = store(collisions(banded(docs, tune_bands(threshold, recall, rows), rows, text_col)), "collisions")
@@ -267,11 +383,30 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0
     sets = placed.groupBy("paragraph").agg(F.any_value("shingles").alias("shingles"))
     reached = connected_components(verified_links(found, store(sets, "sets"), threshold)).withColumnRenamed("node", "paragraph")
     named = placed.drop("shingles").join(reached, "paragraph", "left").withColumn("component", F.coalesce("component", "paragraph"))
-    order = F.struct(F.col("id").isNull().alias("late"), "id", "text_key", "number")
-    shared = named.groupBy("component").agg(F.min(order).alias("first"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls")).where("low < high OR (low IS NOT NULL AND nulls > 0) OR nulls > 1")
-    marked = named.join(shared, "component").withColumn("removed", order != F.col("first")).dropDuplicates(["id", "text_key", "number"])
-    inside = Window.partitionBy("id", "text_key", "removed").orderBy("number")
-    apart = F.coalesce(F.col("number") - F.lag("number").over(inside) > GAP + 1, F.lit(False)).cast("int")
-    runs = marked.withColumn("apart", apart).withColumn("run", F.sum("apart").over(inside)).groupBy("id", "text_key", "removed", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.array_sort(F.collect_set("component")).alias("components"))
-    return runs.where(F.col("words") >= min_words).select("id", "start", "end", "words", "removed", "components")
+    document = F.struct(F.col("id").isNull().alias("late"), "id", "text_key")
+    marked = named.join(_several(named, "component"), "component").withColumn("removed", document != F.col("one")).drop("one", "paragraph")
+    marked = store(marked.dropDuplicates(["id", "text_key", "number"]), "marked")
+    more = extensions(docs, marked, text_col).groupBy("id", "text_key", "number").agg(
+        *[F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}_{side}") for side in (0, 1) for c in ("reach", "edge")])
+    more = more.select(F.col("id").alias("id_"), F.col("text_key").alias("key_"), F.col("number").alias("number_"), "reach_0", "edge_0", "reach_1", "edge_1")
+    inside = Window.partitionBy("id", "text_key").orderBy("number")
+    after = F.col("first") + F.col("words")
+    low = F.greatest(F.col("first") - F.coalesce("reach_0", F.lit(0)), F.coalesce(F.lag(after).over(inside), F.lit(0)))
+    high = F.least(after + F.coalesce("reach_1", F.lit(0)), F.lead("first").over(inside))  # a paragraph that repeats is not another's extension
+    start = F.greatest(F.coalesce("edge_0", "start"), F.lag("end").over(inside))
+    end = F.least(F.coalesce("edge_1", "end"), F.lead("start").over(inside))
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")) & (F.col("number") == F.col("number_"))
+    wide = marked.join(more, same, "left").select("id", "text_key", "number", "component", "removed", start.alias("start"), end.alias("end"), low.alias("low"), high.alias("high"))
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    cut = wide.withColumn("upto", F.max("high").over(earlier)).withColumn("start", F.greatest("start", F.max("end").over(earlier)))
+    cut = cut.withColumn("apart", F.coalesce(F.col("low") > F.col("upto") + GAP, F.lit(False)).cast("int"))
+    turned = F.coalesce(F.col("removed") != F.lag("removed").over(inside), F.lit(False)).cast("int")
+    new = F.greatest(F.col("high") - F.greatest("low", F.coalesce("upto", F.lit(0))), F.lit(0))
+    runs = cut.withColumn("turned", F.greatest("apart", turned)).withColumn("new", new).withColumn("run", F.sum("apart").over(inside)).withColumn("part", F.sum("turned").over(inside))
+    parts = runs.groupBy("id", "text_key", "run", "part", "removed").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("new").alias("words"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.array_sort(F.collect_set("component")).alias("components"))
+    whole = Window.partitionBy("id", "text_key", "run")
+    sized = parts.withColumn("span", F.max("high").over(whole) - F.min("low").over(whole)).withColumn("repeats", F.sum("words").over(whole))
+    long = (F.col("span") >= min_words) & (F.col("repeats") >= F.lit(threshold * min_words)) & (F.col("words") >= PART)
+    return sized.where(long).select("id", "start", "end", "words", "removed", "components")
