@@ -48,7 +48,7 @@ GAP = 5
 #: Words of the shortest part of a passage that is reported.
 PART = 18
 #: Words beside a paragraph that are compared.
-REACH = 32
+REACH = 24
 #: Different paragraphs of a key up to which their pairs are written.
 FEW = 16
 #: Members of a tile of a key with more.
@@ -119,7 +119,7 @@ def windows(h: np.ndarray, starts: np.ndarray, step: int) -> tuple[np.ndarray, n
     there = (at >= 0) & (at < len(h))
     near = h[np.clip(at, 0, len(h) - 1)]
     values = near[:, 2:] + _mixed(near[:, 1:-1] + _mixed(near[:, :-2]))
-    return values, there[:, 2:].sum(axis=1)
+    return _mixed(values).astype(np.uint32), there[:, 2:].sum(axis=1)
 
 
 def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +316,7 @@ def _several(keyed: DataFrame, key: str) -> DataFrame:
 
 def beside(docs: DataFrame, ends: DataFrame, text_col: str = "text") -> DataFrame:
     """text_key, number, side, windows, bytes: the words before (side 0) or after (1) the paragraphs in ``ends``, as hashes of three words
-    each and the byte where each begins (ends). Only texts with ends are cut again."""
+    each and how many bytes away each begins (ends). Only texts with ends are cut again, equal ones once a batch."""
     context = docs.sparkSession.sparkContext
     some_text = context.broadcast(_bitmap(ends.select(F.col("text_key").alias("key"))))
     some_end = context.broadcast(_bitmap(ends.select(F.col("text_key").bitwiseXOR(F.col("number").cast("long") * 2 + F.col("side")).alias("key"))))
@@ -326,7 +326,8 @@ def beside(docs: DataFrame, ends: DataFrame, text_col: str = "text") -> DataFram
             rows = [[], [], [], [], []]
             texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
             keys = np.array([xxhash.xxh64_intdigest(t) >> 1 for t in texts], np.uint64)
-            for at in np.flatnonzero(_taken(some_text.value, keys)).tolist():
+            once = np.unique(keys, return_index=True)[1]
+            for at in once[_taken(some_text.value, keys[once])].tolist():
                 h = word_hashes(texts[at])
                 bounds = first_words(h)
                 places = np.arange(len(bounds) - 1, dtype=np.uint64) * np.uint64(2)
@@ -340,18 +341,18 @@ def beside(docs: DataFrame, ends: DataFrame, text_col: str = "text") -> DataFram
                     values, sizes = windows(h, starts, 1 if side else -1)
                     for number, start, value, size in zip(wanted.tolist(), starts.tolist(), values, sizes.tolist()):
                         if size:
-                            edges = limits[1][start : start + size] if side else limits[0][start - size + 1 : start + 1][::-1]
-                            for column, item in zip(rows, (int(keys[at]), number, side, value[:size].view(np.int64), edges.astype(np.int32))):
+                            away = limits[1][start : start + size] - limits[1][start - 1] if side else limits[0][start + 1] - limits[0][start - size + 1 : start + 1][::-1]
+                            for column, item in zip(rows, (int(keys[at]), number, side, value[:size].view(np.int32), away.astype(np.int32))):
                                 column.append(item)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["text_key", "number", "side", "windows", "bytes"])
 
-    return docs.select(text_col).mapInArrow(run, "text_key long, number int, side int, windows array<long>, bytes array<int>").distinct()
+    return docs.select(text_col).mapInArrow(run, "text_key long, number int, side int, windows array<int>, bytes array<int>")
 
 
 def extensions(docs: DataFrame, marked: DataFrame, text_col: str = "text") -> DataFrame:
-    """id, text_key, number, side, reach, edge: by how many words the paragraph at an end of a stretch goes on as in another document
-    with a paragraph of its component, and the byte where that begins or ends."""
+    """id, text_key, number, side, reach, away: by how many words (and bytes) the paragraph at an end of a stretch goes on as in another
+    document with a paragraph of its component. Equal surroundings are one row before they are taken apart."""
     inside = Window.partitionBy("id", "text_key").orderBy("number")
     alone = lambda other, step: F.coalesce(other != F.col("number") + step, F.lit(True))
     sides = F.array(F.struct(F.lit(0).alias("side"), (alone(F.lag("number").over(inside), -1) & (F.col("number") > 0)).alias("open")),
@@ -359,15 +360,18 @@ def extensions(docs: DataFrame, marked: DataFrame, text_col: str = "text") -> Da
     sided = store(marked.select("id", "text_key", "number", "component", sides.alias("sides")).select("id", "text_key", "number", "component", F.inline("sides")), "sides")
     # a document whose paragraph goes on repeating may be the one that an end elsewhere goes on like
     ends = store(sided.join(sided.where("open").select("component", "side").distinct(), ["component", "side"], "left_semi"), "ends")
-    words = store(ends.join(beside(docs, ends.select("text_key", "number", "side").distinct(), text_col), ["text_key", "number", "side"]), "beside")
-    keys = words.select("id", "text_key", "number", "side", "open", "component", F.posexplode("windows").alias("k", "part")).select(
-        "id", "text_key", "number", "side", "open", "k", F.xxhash64("component", "side", "k", "part").alias("key"))
+    words = store(ends.join(beside(docs, ends, text_col), ["text_key", "number", "side"]).withColumn("like", F.xxhash64("component", "side", "windows")), "beside")
+    kinds = words.groupBy("like").agg(
+        F.any_value("windows").alias("windows"), F.any_value("component").alias("component"), F.any_value("side").alias("side"), F.max("open").alias("open"), F.min("id").alias("low"),
+        F.max("id").alias("high"), F.min("text_key").alias("low_key"), F.max("text_key").alias("high_key"), F.max(F.col("id").isNull()).alias("nulls"))
+    parts = store(kinds.select("like", "open", "low", "high", "low_key", "high_key", "nulls", "component", "side", F.posexplode("windows").alias("k", "part")).select(
+        "like", "open", "low", "high", "low_key", "high_key", "nulls", "k", F.xxhash64("component", "side", "k", "part").alias("key")), "parts")
+    met = parts.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_key").alias("low_key"), F.max("high_key").alias("high_key"), F.max("nulls").alias("nulls"))
+    met = met.where("low < high OR (nulls AND (low IS NOT NULL OR low_key < high_key))").select("key")
     on = lambda r, k: F.when(k - 2 <= r + GAP, k + 1).otherwise(r)
-    shared = keys.where("open").join(_several(keys, "key"), "key", "left_semi").groupBy("id", "text_key", "number", "side").agg(F.sort_array(F.collect_set("k")).alias("ks"))
-    reach = shared.select("id", "text_key", "number", "side", F.aggregate("ks", F.lit(0), on).alias("reach")).where("reach > 0")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) if c == "id" else F.col(f"r.{c}") == F.col(f"w.{c}") for c in ("id", "text_key", "number", "side")]
-    joined = reach.alias("r").join(words.alias("w"), same[0] & same[1] & same[2] & same[3])
-    return joined.select("r.id", "r.text_key", "r.number", "r.side", "r.reach", F.get("w.bytes", F.col("r.reach") - 1).alias("edge"))
+    shared = parts.where("open").select("like", "k", "key").join(met, "key", "left_semi").groupBy("like").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    reach = shared.select("like", F.aggregate("ks", F.lit(0), on).alias("reach")).where("reach > 0")
+    return words.where("open").join(reach, "like").select("id", "text_key", "number", "side", "reach", F.get("bytes", F.col("reach") - 1).alias("away"))
 
 
 def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0.98, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,14 +391,14 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0
     marked = named.join(_several(named, "component"), "component").withColumn("removed", document != F.col("one")).drop("one", "paragraph")
     marked = store(marked.dropDuplicates(["id", "text_key", "number"]), "marked")
     more = extensions(docs, marked, text_col).groupBy("id", "text_key", "number").agg(
-        *[F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}_{side}") for side in (0, 1) for c in ("reach", "edge")])
-    more = more.select(F.col("id").alias("id_"), F.col("text_key").alias("key_"), F.col("number").alias("number_"), "reach_0", "edge_0", "reach_1", "edge_1")
+        *[F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}_{side}") for side in (0, 1) for c in ("reach", "away")])
+    more = more.select(F.col("id").alias("id_"), F.col("text_key").alias("key_"), F.col("number").alias("number_"), "reach_0", "away_0", "reach_1", "away_1")
     inside = Window.partitionBy("id", "text_key").orderBy("number")
     after = F.col("first") + F.col("words")
     low = F.greatest(F.col("first") - F.coalesce("reach_0", F.lit(0)), F.coalesce(F.lag(after).over(inside), F.lit(0)))
     high = F.least(after + F.coalesce("reach_1", F.lit(0)), F.lead("first").over(inside))  # a paragraph that repeats is not another's extension
-    start = F.greatest(F.coalesce("edge_0", "start"), F.lag("end").over(inside))
-    end = F.least(F.coalesce("edge_1", "end"), F.lead("start").over(inside))
+    start = F.greatest(F.col("start") - F.coalesce("away_0", F.lit(0)), F.lag("end").over(inside))
+    end = F.least(F.col("end") + F.coalesce("away_1", F.lit(0)), F.lead("start").over(inside))
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")) & (F.col("number") == F.col("number_"))
     wide = marked.join(more, same, "left").select("id", "text_key", "number", "component", "removed", start.alias("start"), end.alias("end"), low.alias("low"), high.alias("high"))
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
