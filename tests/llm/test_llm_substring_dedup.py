@@ -7,7 +7,7 @@ from llm_cases import no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import table
-from threadlens.llm.substring_dedup import FEW, collisions, paragraphs, repeated_passages, spanning_links, tune_bands, verified_links
+from threadlens.llm.substring_dedup import FEW, GAP, REACH, collisions, paragraphs, reaches, repeated_passages, spanning_links, tune_bands, verified_links
 
 
 def test_bands_reach_the_recall():
@@ -119,3 +119,25 @@ def test_short_repeats_are_left_alone(spark):
     line = words(40)
     rows = [(i, " ".join(words(50) + line + words(50))) for i in range(20)]
     assert repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+
+
+def test_surroundings_meet_alike_as_whole_lists_and_word_by_word(spark):
+    rng, rows = random.Random(9), []
+    for component in range(12):
+        for k in range(rng.choice([1, 3, 40])):
+            windows = [rng.randrange(3) if rng.random() < 0.9 else rng.randrange(-(2**31), 2**31) for _ in range(rng.randrange(REACH + 1))]
+            low = rng.randrange(4)
+            rows.append((component, rng.randrange(2), len(rows), windows, rng.random() < 0.6, low, low + rng.choice([0, 0, 0, 1])))
+    want = {}
+    for component, side, like, windows, open_, low, high in rows:
+        reach = 0
+        for k, part in enumerate(windows):
+            seen = {d for c, s, _, w, _, a, b in rows if (c, s) == (component, side) and len(w) > k and w[k] == part for d in (a, b)}
+            if len(seen) > 1 and k - 2 <= reach + GAP:
+                reach = k + 1
+        if open_ and reach:
+            want[like] = reach
+    ends = spark.createDataFrame(rows, "component long, side int, like long, windows array<int>, open boolean, low long, high long")
+    for crowd in (1, 8, 1000):
+        assert {r.like: r.reach for r in reaches(ends, crowd).collect()} == want
+    assert reaches(ends.limit(0)).count() == 0

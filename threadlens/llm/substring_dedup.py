@@ -53,6 +53,8 @@ REACH = 24
 FEW = 16
 #: Members of a tile of a key with more.
 TILE = 1000
+#: Different surroundings of a side of a component up to which they meet in one task.
+CROWD = 256
 #: Bits of the bitmap of colliding paragraphs: 4 MB whatever the data.
 _SLOTS = 1 << 25
 #: The bitmap comes to the driver in so many pieces.
@@ -350,6 +352,62 @@ def beside(docs: DataFrame, ends: DataFrame, text_col: str = "text") -> DataFram
     return docs.select(text_col).mapInArrow(run, "text_key long, number int, side int, windows array<int>, bytes array<int>")
 
 
+def _farthest(group: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """By how many words each list of windows goes on as lists of its group from other documents do, over up to ``GAP`` words."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    k = np.arange(len(parts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = group[owner].astype(np.uint64) << np.uint64(37) | k.astype(np.uint64) << np.uint64(32) | parts.view(np.uint32).astype(np.uint64)
+    order = np.argsort(key)
+    starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]][: len(key)])
+    met = np.zeros((len(sizes), REACH), bool)
+    if len(starts):
+        several = np.minimum.reduceat(low[owner][order], starts) < np.maximum.reduceat(high[owner][order], starts)
+        shared = order[np.repeat(several, np.diff(np.r_[starts, len(key)]))]
+        met[owner[shared], k[shared]] = True
+    reach = np.zeros(len(sizes), np.int32)
+    for at in range(REACH):
+        reach[met[:, at] & (at - 2 <= reach + GAP)] = at + 1
+    return reach
+
+
+def reaches(kinds: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """like, reach: by how many words the open ends among ``kinds`` (component, side, like, windows, open, low, high) go on as in
+    another document. The ends of a component's side meet in a task as whole lists; those of more than ``crowd`` different lists meet
+    word by word instead, so that none is large. A bitmap tells these; whoever it takes for one of them has the same result."""
+    many = kinds.groupBy("component", "side").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    crowded = kinds.sparkSession.sparkContext.broadcast(_bitmap(many.select(F.xxhash64("component", "side").alias("key"))))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = _taken(crowded.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(hit)], [*batch.schema.names[1:], "crowded"])
+
+    columns = ["component", "side", "like", "windows", "open", "low", "high"]
+    routed = kinds.select(F.xxhash64("component", "side").alias("key"), *columns).mapInArrow(
+        route, "component long, side int, like long, windows array<int>, open boolean, low long, high long, crowded boolean")
+    met = F.count(F.lit(1)) + F.count_if(F.expr("low < high"))
+    groups = routed.where("NOT crowded").groupBy("component", "side").agg(
+        F.collect_list(F.struct("like", "open", "low", "high", "windows")).alias("m"), met.alias("n"), F.max("open").alias("open")).where("open AND n > 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.columns
+            group = np.repeat(np.arange(batch.num_rows), lists[0].value_lengths().to_numpy(zero_copy_only=False))
+            like, open_, low, high = (c.flatten().to_numpy(zero_copy_only=False) for c in lists[:4])
+            windows = lists[4].flatten()
+            reach = _farthest(group, low, high, windows.value_lengths().to_numpy(zero_copy_only=False), windows.flatten().to_numpy(zero_copy_only=False))
+            far = open_.astype(bool) & (reach > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(like[far]), pa.array(reach[far])], ["like", "reach"])
+
+    small = groups.select("m.like", "m.open", "m.low", "m.high", "m.windows").mapInArrow(run, "like long, reach int")
+    parts = routed.where("crowded").select("like", "open", "low", "high", "component", "side", F.posexplode("windows").alias("k", "part"))
+    parts = parts.select("like", "open", "low", "high", "k", F.xxhash64("component", "side", "k", "part").alias("key"))
+    shared = parts.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
+    on = lambda r, k: F.when(k - 2 <= r + GAP, k + 1).otherwise(r)
+    large = parts.where("open").select("like", "k", "key").join(shared, "key", "left_semi").groupBy("like").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    return small.unionByName(large.select("like", F.aggregate("ks", F.lit(0), on).alias("reach")).where("reach > 0"))
+
+
 def extensions(docs: DataFrame, marked: DataFrame, text_col: str = "text") -> DataFrame:
     """id, text_key, number, side, reach, away: by how many words (and bytes) the paragraph at an end of a stretch goes on as in another
     document with a paragraph of its component. Equal surroundings are one row before they are taken apart."""
@@ -361,16 +419,10 @@ def extensions(docs: DataFrame, marked: DataFrame, text_col: str = "text") -> Da
     # a document whose paragraph goes on repeating may be the one that an end elsewhere goes on like
     ends = store(sided.join(sided.where("open").select("component", "side").distinct(), ["component", "side"], "left_semi"), "ends")
     words = store(ends.join(beside(docs, ends, text_col), ["text_key", "number", "side"]).withColumn("like", F.xxhash64("component", "side", "windows")), "beside")
-    kinds = words.groupBy("like").agg(
-        F.any_value("windows").alias("windows"), F.any_value("component").alias("component"), F.any_value("side").alias("side"), F.max("open").alias("open"), F.min("id").alias("low"),
-        F.max("id").alias("high"), F.min("text_key").alias("low_key"), F.max("text_key").alias("high_key"), F.max(F.col("id").isNull()).alias("nulls"))
-    parts = store(kinds.select("like", "open", "low", "high", "low_key", "high_key", "nulls", "component", "side", F.posexplode("windows").alias("k", "part")).select(
-        "like", "open", "low", "high", "low_key", "high_key", "nulls", "k", F.xxhash64("component", "side", "k", "part").alias("key")), "parts")
-    met = parts.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("low_key").alias("low_key"), F.max("high_key").alias("high_key"), F.max("nulls").alias("nulls"))
-    met = met.where("low < high OR (nulls AND (low IS NOT NULL OR low_key < high_key))").select("key")
-    on = lambda r, k: F.when(k - 2 <= r + GAP, k + 1).otherwise(r)
-    shared = parts.where("open").select("like", "k", "key").join(met, "key", "left_semi").groupBy("like").agg(F.sort_array(F.collect_set("k")).alias("ks"))
-    reach = shared.select("like", F.aggregate("ks", F.lit(0), on).alias("reach")).where("reach > 0")
+    document = F.when(F.col("id").isNull(), F.xxhash64(F.lit(0), "text_key")).otherwise(F.xxhash64(F.lit(1), "id"))
+    kinds = store(words.groupBy("component", "side", "like").agg(
+        F.any_value("windows").alias("windows"), F.max("open").alias("open"), F.min(document).alias("low"), F.max(document).alias("high")), "kinds")
+    reach = reaches(kinds)
     return words.where("open").join(reach, "like").select("id", "text_key", "number", "side", "reach", F.get("bytes", F.col("reach") - 1).alias("away"))
 
 
