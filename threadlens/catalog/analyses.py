@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadlens import constants as K
 from threadlens.catalog import views as V
 from threadlens.catalog.models import _SUMMARY_SQL, numeric_summary, topic_model
-from threadlens.catalog.registry import query
+from threadlens.catalog.registry import normal_equations, query
 from threadlens.catalog.relational import _LABELS, _MISINFO_SUM, _SHARE, BIN_SQL, _bucket, as_doubles
 from threadlens.operators import aggregates as A
 from threadlens.operators.topics import assign_topic
@@ -267,9 +267,10 @@ def series_correlation(spark, sf):
     return S.series_correlation(joined_months(spark, sf)).withColumn("corr", F.round("corr", 6))
 
 
-@query("series_regression")
+@query("series_regression", "SELECT round(mse, 4) AS mse, round(r2, 6) AS r2 FROM " + normal_equations(
+    _SERIES, "misinfo_count", [m for m in S.series_measures() if m.startswith("sum_")]), ("flagged", "epi", "vac"))
 def series_regression(spark, sf):
-    return S.misinfo_regression(joined_months(spark, sf))
+    return S.misinfo_regression(joined_months(spark, sf)).select(F.round("mse", 4).alias("mse"), F.round("r2", 6).alias("r2"))
 
 
 def articles(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadlens import constants as K
 from threadlens.catalog import views as V
-from threadlens.catalog.registry import query
+from threadlens.catalog.registry import normal_equations, query
 from threadlens.catalog.relational import labelled
 from threadlens.functions.calendar import add_time_columns
 from threadlens.functions.labels import map_labels
@@ -17,6 +17,7 @@ from threadlens.operators import stats as S
 from threadlens.operators.cluster import cluster_titles
 from threadlens.operators.cooccurrence import cooccurrence
 from threadlens.operators.joins import join_series
+from threadlens.operators.regression import linear_regression
 from threadlens.operators.reshape import split_column
 from threadlens.operators.sentiment import WORDS, Lexicon, score_both, score_sentiment
 from threadlens.operators.skew import join_unique
@@ -222,6 +223,20 @@ def l10_two(spark, sf):
     return fit.select(F.round("mse", 4).alias("mse"), F.round("r2", 6).alias("r2"))
 
 
+_YEARLY = "(SELECT year(date) AS year, new_deceased, new_confirmed, dayofyear(date) AS day FROM epi)"
+
+
+@query("l10_regression_by_year", f"""
+    SELECT year, n, feature, round(coefficient, 6) AS coefficient, round(intercept, 4) AS intercept, round(r2, 6) AS r2
+    FROM (SELECT *, 'new_confirmed' AS feature, b0 AS coefficient FROM {normal_equations(_YEARLY, "new_deceased", ["new_confirmed", "day"], "year")}
+          UNION ALL SELECT *, 'day', b1 FROM {normal_equations(_YEARLY, "new_deceased", ["new_confirmed", "day"], "year")})""", "epi")
+def l10_by_year(spark, sf):
+    daily = V.epidemiology(spark, sf).select(F.year("date").cast("long").alias("year"), "new_deceased", "new_confirmed", F.dayofyear("date").alias("day"))
+    fit = linear_regression(daily, "new_deceased", ["new_confirmed", "day"], ["year"])
+    return fit.select("year", "n", "intercept", "r2", F.inline("terms")).select(
+        "year", "n", "feature", *[F.round(c, d).alias(c) for c, d in (("coefficient", 6), ("intercept", 4), ("r2", 6))])
+
+
 def classified(spark, sf):
     """Articles with their predicted label, fitted on the training part."""
     articles = term_dummies(labelled(spark, sf), "title", K.TITLE_TERMS)

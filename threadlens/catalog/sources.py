@@ -13,6 +13,7 @@ from threadlens.operators.aggregates import community_counts, count_by, source_t
 from threadlens.operators.filters import drop_missing_source, filter_values
 from threadlens.functions.text import news_source
 from threadlens.session import scratch_path
+from threadlens.sources.checked import read_checked_csv, reason_counts, required
 from threadlens.sources.readers import read_csv_table, read_table, register_views
 from threadlens.sources.sinks import write_by_year, write_csv, write_table
 
@@ -104,3 +105,19 @@ def s10_any_case(spark, sf):
 def community_counts_query(spark, sf):
     register_views(spark, {"threadlens_submissions": V.posts(spark, sf)})
     return community_counts(spark, "threadlens_submissions")
+
+
+@query("s3_checked_csv", """
+    SELECT reason, count(*) AS count FROM (
+        SELECT 'malformed' AS reason FROM epi WHERE new_deceased % 11 = 0
+        UNION ALL SELECT 'new_deceased missing' FROM epi WHERE new_deceased IS NULL
+        UNION ALL SELECT 'few cases' FROM epi WHERE coalesce(new_deceased % 11, 1) <> 0 AND floor(new_confirmed) < 50000
+        UNION ALL SELECT 'good' FROM epi WHERE new_deceased % 11 <> 0 AND floor(new_confirmed) >= 50000) GROUP BY reason""", "epi")
+def s3_checked(spark, sf):
+    path = scratch_path(spark, "epidemiology-raw")
+    count = F.floor("new_confirmed").cast("string")
+    lost = F.col("new_deceased") % 11 == 0
+    write_csv(V.epidemiology(spark, sf).select(
+        F.to_date("date").alias("date"), F.when(lost, F.concat(count, F.lit(" cases"))).otherwise(count).alias("new_confirmed"), "new_deceased"), path)
+    good, bad = read_checked_csv(spark, path, schemas.EPIDEMIOLOGY, {**required("new_deceased"), "few cases": F.col("new_confirmed") >= 50_000})
+    return reason_counts(bad).unionByName(good.agg(F.count("date").alias("count")).select(F.lit("good").alias("reason"), "count").where("count > 0"))

@@ -5,14 +5,11 @@ from __future__ import annotations
 from itertools import combinations
 from math import ceil, isinf
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import matches_any
-from threadlens.sources.sinks import store
+from threadlens.operators.regression import linear_regression
 
 #: Cells into which the values near a place are cut.
 _CELLS = 4096
@@ -115,20 +112,9 @@ def simple_regression(df: DataFrame, target: str, feature: str) -> DataFrame:
     return fit.select("slope", "intercept", "r2", F.try_divide((1 - F.col("r2")) * F.col("_syy"), F.col("_n")).alias("mse"))
 
 
-def fit_series_regression(df: DataFrame, target: str, features: list[str]) -> tuple[LinearRegressionModel, DataFrame]:
-    """Least-squares model of ``target`` on the features and its predictions; rows with a NULL are left out."""
-    # A series has one row per period, while computing it reads the whole discussion: it is stored once.
-    rows = store(df.select(*[F.col(c).cast("double").alias(c) for c in [target, *features]]).na.drop(), "series")
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
-    model = LinearRegression(featuresCol="features", labelCol=target, solver="normal").fit(data)
-    return model, model.transform(data)
-
-
 def series_regression(df: DataFrame, target: str, features: list[str]) -> DataFrame:
-    """One row with mean squared error and R² of the linear model of ``target`` on the features."""
-    _, predicted = fit_series_regression(df, target, features)
-    measures = {m: RegressionEvaluator(labelCol=target, metricName=m).evaluate(predicted) for m in ("mse", "r2")}
-    return predicted.sparkSession.createDataFrame([(measures["mse"], measures["r2"])], "mse double, r2 double")
+    """One row with mean squared error and R² of the linear model of ``target`` on the features; rows with a NULL are left out."""
+    return linear_regression(df, target, features).select("mse", "r2")
 
 
 def cooccurrence(df: DataFrame, items: dict[str, Column]) -> DataFrame:
