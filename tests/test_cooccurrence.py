@@ -54,3 +54,12 @@ def test_odd_tables(spark):
     assert cooccurrence(df.limit(0), "a", "b").columns == ["a", "b", "count"]
     own = spark.createDataFrame([(1, "x", 5), (1, "y", 6)], "doc int, item string, blocks int")
     assert result(cooccurrence(own, "doc", "item")) == {("x", "y"): 1}
+
+
+def test_pairs_are_counted_as_numbers(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "a"), (2, "b"), (2, "é")], "doc int, item string")
+    found = cooccurrence(df, "doc", "item")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    counted = [line for line in plan.splitlines() if "Aggregate" in line and "shiftleft" in line]
+    assert counted or "shiftleft" in plan
+    assert result(found) == {("a", "b"): 2, ("a", "é"): 1, ("b", "é"): 1}
