@@ -144,3 +144,23 @@ def test_both_scores_read_the_words_once(spark, lexicon):
     assert plan.count("regexp_extract_all") == 1
     single = score_sentiment(score_sentiment(df, "body", lexicon, "valence"), "body", lexicon, "polarity")
     assert rows(both) == rows(single)
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_a_run_of_words_does_not_copy_its_text(spark, limit):
+    lexicon = Lexicon.of(spark.createDataFrame(IDIOMS, "word string, valence double"), limit, phrase_words=3)
+    both = score_both(spark.createDataFrame([(1, "cut the mustard")], "id int, body string"), "body", lexicon)
+    assert "slice(" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_joined_word_travels_without_its_text(spark, lexicon, monkeypatch):
+    from threadlens.operators import sentiment
+
+    df = spark.createDataFrame([(1, "not good"), (2, "very GOOD day!")], "id int, body string")
+    sent = score_sentiment(df, "body", lexicon, "valence", "s", inline_limit=1).select("id", "s")
+    monkeypatch.setattr(sentiment, "BROADCAST_LIMIT", 1)
+    exchanged = score_sentiment(df, "body", lexicon, "valence", "s", inline_limit=1).select("id", "s")
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan or "strategy=broadcast" in plan
+    assert "strategy=broadcast" not in exchanged._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(rows(sent)) == sorted(rows(exchanged)) and len(rows(sent)) == 2

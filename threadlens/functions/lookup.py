@@ -25,19 +25,20 @@ def inline_lookup(
     """A function from a key column to its value column (NULL if absent), or None if ``table`` is too big.
 
     At most ``limit + 1`` rows are fetched to find out. Spark searches a map from front to back, so the
-    rows are spread over many small maps by the hash of their key and each search sees a few entries.
+    rows are spread over about as many small maps by the hash of their key and each search sees an entry or two.
     """
     kind = dict(table.dtypes)[value]
     rows = (unique_keys(table, key, value)
-            .select(F.col(key).cast("string"), F.col(value), F.pmod(F.hash(F.col(key).cast("string")), F.lit(_SLOTS)))
+            .select(F.col(key).cast("string"), F.col(value), F.hash(F.col(key).cast("string")))
             .limit(limit + 1).collect())
     if len(rows) > limit:
         return None
-    slots: list[dict] = [{} for _ in range(_SLOTS)]
-    for word, result, slot in rows:
-        slots[slot][word] = result
+    n_slots = max(_SLOTS, len(rows))
+    slots: list[dict] = [{} for _ in range(n_slots)]
+    for word, result, code in rows:
+        slots[code % n_slots][word] = result
     maps = F.from_json(F.lit(json.dumps(slots)), f"array<map<string,{kind}>>")
-    return lambda word: F.get(maps, F.pmod(F.hash(word), F.lit(_SLOTS)))[word]
+    return lambda word: F.get(maps, F.pmod(F.hash(word), F.lit(n_slots)))[word]
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

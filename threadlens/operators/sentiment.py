@@ -13,6 +13,8 @@ from threadlens.functions.lookup import INLINE_LIMIT, bind, inline_lookup, uniqu
 from threadlens.operators.skew import join_unique
 
 WORDS = r"[\p{L}\p{N}']+"
+#: Lexicon rows up to which a joined lexicon is sent to every task (about 20 MB); a larger one is exchanged by word.
+BROADCAST_LIMIT = 200_000
 #: Column of each score.
 OUTS = {"valence": "vader_score", "polarity": "textblob_score"}
 
@@ -32,25 +34,19 @@ class ValenceRules:
 class Lexicon:
     """A word table ready for scoring: fetched once if it may travel inside the plan, else kept as a table.
 
-    Entries of several words (up to ``phrase_words``, parted by one space) are idioms. ``heads`` then gives
-    for the first word of an idiom the length of the longest that begins with it.
+    Entries of several words (up to ``phrase_words``, parted by one space) are idioms. A lexicon with idioms is
+    joined: to try every run of words inside the row costs more than the join, whose steps are compiled.
     """
 
     table: DataFrame
     lookup: Callable[[Column], Column] | None
     phrase_words: int = 1
-    heads: Callable[[Column], Column] | None = None
 
     @classmethod
     def of(cls, lexicon_df: DataFrame, inline_limit: int = INLINE_LIMIT, phrase_words: int = 1) -> Lexicon:
         """Prepare ``lexicon_df(word, valence)``; several scores over it then share one fetch."""
         table = lexicon_df.select("word", F.col("valence").cast("double").alias("valence"))
-        lookup, heads = inline_lookup(table, "word", "valence", inline_limit), None
-        if lookup is not None and phrase_words > 1:
-            parts = F.split("word", " ")
-            idioms = table.where(F.contains("word", F.lit(" ")))
-            heads = inline_lookup(idioms.select(F.get(parts, F.lit(0)).alias("head"), F.size(parts).alias("words")), "head", "words", inline_limit)
-        return cls(table, lookup, phrase_words, heads)
+        return cls(table, inline_lookup(table, "word", "valence", inline_limit) if phrase_words == 1 else None, phrase_words)
 
 
 def _boost(word: Column, rules: ValenceRules) -> Column:
@@ -85,10 +81,10 @@ def _punctuation(text: Column) -> Column:
         F.when(asked <= 1, 0.0).when(asked <= 3, asked * K.QUESTION_STEP).otherwise(K.QUESTION_TOP))
 
 
-def _compound(total: Column, text: Column, rules: ValenceRules) -> Column:
-    """Sum of valences -> score in [-1, 1]."""
+def _compound(total: Column, marks: Column, rules: ValenceRules) -> Column:
+    """Sum of valences and emphasis of the marks -> score in [-1, 1]."""
     if rules.emphasis:
-        total = total + F.signum(total) * _punctuation(text)
+        total = total + F.signum(total) * marks
     score = total / F.sqrt(total * total + F.lit(K.VALENCE_ALPHA))
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(score, 4))).cast("float")
 
@@ -123,25 +119,9 @@ def _is_modifier(word: Column, rules: ValenceRules) -> Column:
 
 
 def _hits(low: Column, lexicon: Lexicon) -> Column:
-    """The entries found in the words of a text: place, number of words, valence. One lookup per word; where an
-    idiom may begin, the longest one that stands there is taken, else the word alone. Idioms may overlap here."""
-
-    def at(word: Column, i: Column) -> Column:
-        alone = F.struct(i.alias("i"), F.lit(1).alias("len"), lexicon.lookup(word).alias("v"))
-        if lexicon.heads is None:
-            return alone
-
-        def idiom(most: Column, n: int) -> Column:
-            fits = (most >= n) & (i + n <= F.size(low))
-            value = lexicon.lookup(F.array_join(F.slice(low, i + 1, n), " "))
-            return F.when(fits, bind(value, lambda v: F.when(v.isNotNull(), F.struct(i.alias("i"), F.lit(n).alias("len"), v.alias("v")))))
-
-        def longest(most: Column) -> Column:
-            return F.when(most.isNotNull(), F.coalesce(*[idiom(most, n) for n in range(lexicon.phrase_words, 1, -1)]))
-
-        return F.coalesce(bind(lexicon.heads(word), longest), alone)
-
-    return F.filter(F.transform(low, at), lambda h: h["v"].isNotNull())
+    """The entries found in the words of a text: place, number of words, valence."""
+    found = F.transform(low, lambda word, i: F.struct(i.alias("i"), F.lit(1).alias("len"), lexicon.lookup(word).alias("v")))
+    return F.filter(found, lambda h: h["v"].isNotNull())
 
 
 def _summed(hits: Column, value: Callable[[Column], Column], phrase_words: int) -> Column:
@@ -166,10 +146,10 @@ def _score_inline(df: DataFrame, text_col: str, lexicon: Lexicon, outs: dict[str
 
     def valence(facts: Column, hits: Column) -> Column:
         # A booster counts through the words after it, not by itself; only hits go on to the costlier context rules.
-        own = F.filter(hits, lambda h: (h["len"] > 1) | ~_is_modifier(F.get(facts["low"], h["i"]), rules))
+        own = F.filter(hits, lambda h: ~_is_modifier(F.get(facts["low"], h["i"]), rules))
         total = bind(F.array_position(facts["low"], F.lit(rules.contrast)).cast("int"), lambda turn: _summed(own, lambda h: bind(
             F.struct(*_context(facts, turn, h["i"], rules)), lambda item: _valence_of(item, h["v"], rules)), lexicon.phrase_words))
-        return bind(total, lambda t: _compound(t["sum"], text, rules))
+        return bind(total, lambda t: _compound(t["sum"], _punctuation(text), rules))
 
     def scores(facts: Column) -> Column:
         each = {
@@ -191,38 +171,77 @@ def _score_inline(df: DataFrame, text_col: str, lexicon: Lexicon, outs: dict[str
     return scored.withColumns({out: F.col("_scores")[method] for method, out in outs.items()}).drop("_scores")
 
 
+def _place_code(words: Column, low: Column, mixed: Column, turn: Column, i: Column, rules: ValenceRules) -> Column:
+    """:func:`_context` of the word at place ``i`` as one int, to travel with the word: three bits for each of the three words
+    before it (2 for a booster's kind, 1 for a negator), a bit for its capitals and two for its contrast factor."""
+
+    def kind(word: Column) -> Column:
+        boost = F.when(word.isin(*rules.strengtheners), 1).when(word.isin(*rules.weakeners), 2).otherwise(0)
+        return boost.bitwiseOR(F.when(word.isin(*rules.negators) | F.contains(word, F.lit("n't")), 4).otherwise(0))
+
+    code = F.lit(0)
+    for d in (1, 2, 3):
+        code = code.bitwiseOR(F.shiftleft(kind(F.get(low, i - d)), 3 * (d - 1)))
+    if rules.emphasis:
+        code = code.bitwiseOR(F.when(mixed & _is_upper(F.get(words, i)), 1 << 9).otherwise(0))
+    place = i + 1
+    return code.bitwiseOR(F.when((turn == 0) | (place == turn), 0).when(place < turn, 1 << 10).otherwise(2 << 10))
+
+
+def _with_valence(hits: DataFrame, rules: ValenceRules) -> DataFrame:
+    """Add ``_valence``, what :func:`_valence_of` gives for ``_v`` in the context of ``_code``; NULL for a booster by itself."""
+
+    def bits(at: int, mask: int) -> Column:
+        return F.shiftright("_code", at).bitwiseAND(mask)
+
+    hits = hits.withColumn("_valence", F.when(~((F.col("_len") == 1) & _is_modifier(F.col("_w"), rules)), F.col("_v")))
+    hits = hits.withColumn("_valence", F.col("_valence") + F.signum("_valence") * F.when(bits(9, 1) == 1, K.CAPITALS_STEP).otherwise(0.0))
+    for d, damp in enumerate(K.LOOKBACK_DAMPING):
+        boost = F.when(bits(3 * d, 3) == 1, K.BOOSTER_STEP).when(bits(3 * d, 3) == 2, -K.BOOSTER_STEP).otherwise(0.0) * damp
+        times = F.when(bits(3 * d, 4) == 4, K.NEGATION_SCALAR).otherwise(1.0)
+        hits = hits.withColumn("_valence", (F.col("_valence") + F.signum("_valence") * boost) * times)
+    side = F.when(bits(10, 3) == 0, 1.0).when(bits(10, 3) == 1, 0.5).otherwise(1.5)
+    return hits.withColumn("_valence", F.col("_valence") * side)
+
+
+def _join_lexicon(items: DataFrame, table: DataFrame) -> DataFrame:
+    small = table.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT
+    return items.join(F.broadcast(table), "_w") if small else join_unique(items, table, "_w")
+
+
 def _score_joined(df: DataFrame, text_col: str, lexicon: Lexicon, outs: dict[str, str], rules: ValenceRules) -> DataFrame:
     """The same scores by joining words (and runs of words, for idioms) with the lexicon: equal texts, told by a
-    digest, are scored once, and the values of a text are added in the order of its words."""
-    keyed = df.withColumn("_key", F.md5(text_col))
-    text = F.col("_text")
+    digest, are scored once, and the values of a text are added in the order of its words. A word is a row of its place
+    and a number for its context; the text itself is not read again after the words are taken."""
+    marks = _punctuation(F.col(text_col)) if rules.emphasis else F.lit(0.0)
+    keyed = df.withColumns({"_key": F.md5(text_col), "_marks": marks})
     table = unique_keys(lexicon.table, "word", "valence").select(F.col("word").alias("_w"), F.col("valence").alias("_v"))
-
-    def describe(facts: Column) -> Column:
-        def runs(turn: Column, n: int) -> Column:
-            def run(w: Column, i: Column) -> Column:
-                words = w if n == 1 else F.array_join(F.slice(facts["low"], i + 1, n), " ")
-                return F.struct(words.alias("w"), i.alias("i"), F.lit(n).alias("len"), *_context(facts, turn, i, rules))
-
-            return F.filter(F.transform(facts["low"], run), lambda r: r["i"] + n <= F.size(facts["low"]))
-
-        return bind(F.array_position(facts["low"], F.lit(rules.contrast)).cast("int"), lambda turn: F.concat(
-            *[runs(turn, n) for n in range(1, lexicon.phrase_words + 1)]))
-
-    items = (keyed.filter(F.col("_key").isNotNull()).select("_key", F.col(text_col).alias("_text")).dropDuplicates(["_key"])
-             .select("_key", F.explode(bind(_text_facts(text), describe)).alias("_s"))
-             .select("_key", "_s", F.col("_s.w").alias("_w")))
-    booster = (F.col("_s.len") == 1) & _is_modifier(F.col("_w"), rules)
-    values = {"valence": F.when(~booster, _valence_of(F.col("_s"), F.col("_v"), rules)), "polarity": F.col("_v")}
-    hit = F.struct(F.col("_s.i").alias("i"), (-F.col("_s.len")).alias("less"), F.col("_s.len").alias("len"), *[values[m].alias(m) for m in outs])
-    found = join_unique(items, table, "_w").groupBy("_key").agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
-    sums = found.select("_key", *[_summed(F.col("_hits"), lambda h, m=m: h[m], lexicon.phrase_words).alias(f"_{m}") for m in outs])
+    texts = keyed.filter(F.col("_key").isNotNull()).select("_key", F.col(text_col).alias("_text")).dropDuplicates(["_key"])
+    words, low, mixed, i = F.col("_f.words"), F.col("_f.low"), F.col("_f.mixed"), F.col("_i")
+    facts = texts.select("_key", _text_facts(F.col("_text")).alias("_f")).select(
+        "_key", "_f", F.array_position(low, F.lit(rules.contrast)).cast("int").alias("_turn"))
+    code = _place_code(words, low, mixed, F.col("_turn"), i, rules) if "valence" in outs else F.lit(0)
+    items = facts.select("_key", "_f", "_turn", F.posexplode(low).alias("_i", "_w")).select("_key", "_f", "_i", "_w", code.alias("_code"))
+    if lexicon.phrase_words > 1:
+        sizes = F.array(*[F.lit(n) for n in range(1, lexicon.phrase_words + 1)])
+        run = F.concat_ws(" ", "_w", *[F.when(F.col("_len") > k, F.get(low, i + k)) for k in range(1, lexicon.phrase_words)])
+        items = (items.select("*", F.explode(sizes).alias("_len")).where(i + F.col("_len") <= F.size(low))
+                 .withColumn("_w", F.when(F.col("_len") == 1, F.col("_w")).otherwise(run)))
+    else:
+        items = items.withColumn("_len", F.lit(1))
+    hits = _join_lexicon(items.select("_key", "_i", "_len", "_code", "_w"), table)
+    if "valence" in outs:
+        hits = _with_valence(hits, rules)
+    value = {"valence": "_valence", "polarity": "_v"}
+    hit = F.struct(F.col("_i").alias("i"), (-F.col("_len")).alias("less"), F.col("_len").alias("len"), *[F.col(value[m]).alias(m) for m in outs])
+    found = hits.groupBy("_key").agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
+    sums = found.select("_key", *[_summed(F.col("_hits"), lambda h, m=m: h[m], lexicon.phrase_words).alias(f"_sum_{m}") for m in outs])
     scores = {
-        "valence": _compound(F.coalesce(F.col("_valence.sum"), F.lit(0.0)), F.col(text_col), rules),
-        "polarity": F.coalesce(_mean(F.col("_polarity")), F.lit(0.0).cast("float")),
+        "valence": _compound(F.coalesce(F.col("_sum_valence.sum"), F.lit(0.0)), F.col("_marks"), rules),
+        "polarity": F.coalesce(_mean(F.col("_sum_polarity")), F.lit(0.0).cast("float")),
     }
     joined = keyed.join(sums, "_key", "left")
-    return joined.withColumns({out: F.when(F.col(text_col).isNotNull(), scores[m]) for m, out in outs.items()}).drop("_key", *[f"_{m}" for m in outs])
+    return joined.withColumns({out: F.when(F.col("_key").isNotNull(), scores[m]) for m, out in outs.items()}).drop("_key", "_marks", *[f"_sum_{m}" for m in outs])
 
 
 def _score(df: DataFrame, text_col: str, lexicon: Lexicon, outs: dict[str, str], rules: ValenceRules) -> DataFrame:
@@ -247,7 +266,7 @@ def score_sentiment(
     ``polarity``: the mean valence of the words found, 0 if there are none.
 
     Up to ``inline_limit`` lexicon rows the words are looked up inside the row: a narrow step, whatever the
-    size of ``df``. A larger lexicon is joined word by word. Both ways give the same scores.
+    size of ``df``. A larger lexicon, or one with idioms, is joined word by word. Both ways give the same scores.
 
     An entry of several words (see :class:`Lexicon`) counts as a whole where it stands, the longest first, and the words
     in it do not count by themselves; the words before its first one are its context.
