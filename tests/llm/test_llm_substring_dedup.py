@@ -141,3 +141,21 @@ def test_surroundings_meet_alike_as_whole_lists_and_word_by_word(spark):
     for crowd in (1, 8, 1000):
         assert {r.like: r.reach for r in reaches(ends, crowd).collect()} == want
     assert reaches(ends.limit(0)).count() == 0
+
+
+def test_copies_of_a_text_are_worked_on_once(spark, monkeypatch):
+    import threadlens.llm.substring_dedup as m
+
+    rng = random.Random(5)
+    words = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    passage = words(80)
+    texts = [f"{words(40)} {passage} {words(40)}" for _ in range(2)]
+    sizes, kept = {}, m.store
+    monkeypatch.setattr(m, "store", lambda df, name: sizes.setdefault(name, []).append((t := kept(df, name)).count()) or t)
+    found = []
+    for copies in (2, 40):
+        docs = spark.createDataFrame([(i, texts[i % 2]) for i in range(2 * copies)], "doc_id long, text string").repartition(8)
+        found.append({(r.id % 2, r.start, r.end, r.words) for r in repeated_passages(docs).collect()})
+    assert found[0] and found[0] == found[1]
+    assert sizes["sides"][0] == sizes["sides"][1] and sizes["ends"][0] == sizes["ends"][1]
+    assert sizes["beside"][1] <= 8 * sizes["ends"][1]  # once a task, not once a copy and task

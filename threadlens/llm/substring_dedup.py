@@ -318,18 +318,22 @@ def _several(keyed: DataFrame, key: str) -> DataFrame:
 
 def beside(docs: DataFrame, ends: DataFrame, text_col: str = "text") -> DataFrame:
     """text_key, number, side, windows, bytes: the words before (side 0) or after (1) the paragraphs in ``ends``, as hashes of three words
-    each and how many bytes away each begins (ends). Only texts with ends are cut again, equal ones once a batch."""
+    each and how many bytes away each begins (ends). Only texts with ends are cut again, equal ones once a task."""
     context = docs.sparkSession.sparkContext
     some_text = context.broadcast(_bitmap(ends.select(F.col("text_key").alias("key"))))
     some_end = context.broadcast(_bitmap(ends.select(F.col("text_key").bitwiseXOR(F.col("number").cast("long") * 2 + F.col("side")).alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # eight bytes for a text of the task that has ends
         for batch in batches:
             rows = [[], [], [], [], []]
             texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
             keys = np.array([xxhash.xxh64_intdigest(t) >> 1 for t in texts], np.uint64)
             once = np.unique(keys, return_index=True)[1]
             for at in once[_taken(some_text.value, keys[once])].tolist():
+                if int(keys[at]) in seen:
+                    continue
+                seen.add(int(keys[at]))
                 h = word_hashes(texts[at])
                 bounds = first_words(h)
                 places = np.arange(len(bounds) - 1, dtype=np.uint64) * np.uint64(2)
@@ -409,21 +413,24 @@ def reaches(kinds: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def extensions(docs: DataFrame, marked: DataFrame, text_col: str = "text") -> DataFrame:
-    """id, text_key, number, side, reach, away: by how many words (and bytes) the paragraph at an end of a stretch goes on as in another
-    document with a paragraph of its component. Equal surroundings are one row before they are taken apart."""
-    inside = Window.partitionBy("id", "text_key").orderBy("number")
+    """text_key, number, side, reach, away: by how many words (and bytes) the paragraph at an end of a stretch goes on as in another
+    document with a paragraph of its component. Copies of a text have the same ends and surroundings, so a text is worked on once,
+    with the first and last of its documents; equal surroundings are one row before they are taken apart."""
+    inside = Window.partitionBy("text_key").orderBy("number")
     alone = lambda other, step: F.coalesce(other != F.col("number") + step, F.lit(True))
     sides = F.array(F.struct(F.lit(0).alias("side"), (alone(F.lag("number").over(inside), -1) & (F.col("number") > 0)).alias("open")),
                     F.struct(F.lit(1).alias("side"), alone(F.lead("number").over(inside), 1).alias("open")))
-    sided = store(marked.select("id", "text_key", "number", "component", sides.alias("sides")).select("id", "text_key", "number", "component", F.inline("sides")), "sides")
+    document = F.when(F.col("id").isNull(), F.xxhash64(F.lit(0), "text_key")).otherwise(F.xxhash64(F.lit(1), "id"))
+    texts = marked.groupBy("text_key", "number", "component").agg(F.min(document).alias("low"), F.max(document).alias("high"))
+    columns = ["text_key", "number", "component", "low", "high"]
+    sided = store(texts.select(*columns, sides.alias("sides")).select(*columns, F.inline("sides")), "sides")
     # a document whose paragraph goes on repeating may be the one that an end elsewhere goes on like
     ends = store(sided.join(sided.where("open").select("component", "side").distinct(), ["component", "side"], "left_semi"), "ends")
     words = store(ends.join(beside(docs, ends, text_col), ["text_key", "number", "side"]).withColumn("like", F.xxhash64("component", "side", "windows")), "beside")
-    document = F.when(F.col("id").isNull(), F.xxhash64(F.lit(0), "text_key")).otherwise(F.xxhash64(F.lit(1), "id"))
     kinds = store(words.groupBy("component", "side", "like").agg(
-        F.any_value("windows").alias("windows"), F.max("open").alias("open"), F.min(document).alias("low"), F.max(document).alias("high")), "kinds")
+        F.any_value("windows").alias("windows"), F.max("open").alias("open"), F.min("low").alias("low"), F.max("high").alias("high")), "kinds")
     reach = reaches(kinds)
-    return words.where("open").join(reach, "like").select("id", "text_key", "number", "side", "reach", F.get("bytes", F.col("reach") - 1).alias("away"))
+    return words.where("open").join(reach, "like").select("text_key", "number", "side", "reach", F.get("bytes", F.col("reach") - 1).alias("away"))
 
 
 def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0.98, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -442,17 +449,15 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, recall: float = 0
     document = F.struct(F.col("id").isNull().alias("late"), "id", "text_key")
     marked = named.join(_several(named, "component"), "component").withColumn("removed", document != F.col("one")).drop("one", "paragraph")
     marked = store(marked.dropDuplicates(["id", "text_key", "number"]), "marked")
-    more = extensions(docs, marked, text_col).groupBy("id", "text_key", "number").agg(
+    more = extensions(docs, marked, text_col).groupBy("text_key", "number").agg(
         *[F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}_{side}") for side in (0, 1) for c in ("reach", "away")])
-    more = more.select(F.col("id").alias("id_"), F.col("text_key").alias("key_"), F.col("number").alias("number_"), "reach_0", "away_0", "reach_1", "away_1")
     inside = Window.partitionBy("id", "text_key").orderBy("number")
     after = F.col("first") + F.col("words")
     low = F.greatest(F.col("first") - F.coalesce("reach_0", F.lit(0)), F.coalesce(F.lag(after).over(inside), F.lit(0)))
     high = F.least(after + F.coalesce("reach_1", F.lit(0)), F.lead("first").over(inside))  # a paragraph that repeats is not another's extension
     start = F.greatest(F.col("start") - F.coalesce("away_0", F.lit(0)), F.lag("end").over(inside))
     end = F.least(F.col("end") + F.coalesce("away_1", F.lit(0)), F.lead("start").over(inside))
-    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")) & (F.col("number") == F.col("number_"))
-    wide = marked.join(more, same, "left").select("id", "text_key", "number", "component", "removed", start.alias("start"), end.alias("end"), low.alias("low"), high.alias("high"))
+    wide = marked.join(more, ["text_key", "number"], "left").select("id", "text_key", "number", "component", "removed", start.alias("start"), end.alias("end"), low.alias("low"), high.alias("high"))
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     cut = wide.withColumn("upto", F.max("high").over(earlier)).withColumn("start", F.greatest("start", F.max("end").over(earlier)))
     cut = cut.withColumn("apart", F.coalesce(F.col("low") > F.col("upto") + GAP, F.lit(False)).cast("int"))
