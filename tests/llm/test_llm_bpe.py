@@ -3,11 +3,13 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import MEDIUM
 from llm_cases import no_docs, odd_docs  # noqa: F401
 from tokenizers import Tokenizer
 
+from threadlens.llm import bpe
 from threadlens.llm.bpe import Encoder, digest_documents, encode_documents
 from threadlens.llm.common import table
 
@@ -95,3 +97,32 @@ def test_pair_test_against_merging(encoder):
 def test_long_runs_are_not_kept(encoder):
     encoder.encode("z" * 5000 + " " + "q" * 65)
     assert not any(len(k) > 64 for memo in (encoder.of_chunk, encoder.of_piece) for k in memo)
+
+
+def test_texts_packed_together_as_the_library(library, monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        encoder = Encoder(f.read())
+    letters = ["<|endoftext|>", "<|START|>", "'s", "'ll", *"  eeiost'!9ABSéÉßİŁǅ \t\n\x1c\x85 ̧́ЁйΣς’—中が゙각ᆨ\U0001F600"]
+    rng = random.Random(11)
+    texts = [None, "", " ", "\x1f", "b" * 5000, *("".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000))]
+    texts += [f"a{chr(c)}e {chr(c)}'S{chr(c)}" for c in [*range(1, 0x530), *range(0x2000, 0x205F)]]
+    texts += ["".join(map(chr, range(c, c + 64))) for c in [*range(0x3000, 0xA000, 64), *range(0xAC00, 0xD780, 64)]]
+    want = [struct.pack(f"<{len(ids) + 1}H", *ids, 7) for ids in (library.encode(t or "", add_special_tokens=False).ids for t in texts)]
+    for memo in (encoder.packed.limit, 3):  # a memo that is given up again and again changes nothing
+        encoder.packed.limit = memo
+        assert encoder.pack_texts(pa.array(texts), b"\x07\x00").to_pylist() == want
+        assert encoder.pack_texts(pa.array(texts)[17:900], b"\x07\x00").to_pylist() == want[17:900]
+        assert not any(len(k) > 64 for k in encoder.packed)
+    encoder.packed.limit, fresh, pack = 100, [], encoder._pack_fresh
+    monkeypatch.setattr(encoder, "_pack_fresh", lambda pieces: fresh.extend(pieces) or pack(pieces))
+    for _ in range(2):
+        encoder.pack_texts(pa.array(["Zebrafoo, ZEBRAFOO zebrafoo! 4zebrafoo4", "zebrafoo,"] * 50))
+    assert fresh == ["zebrafoo"]
+
+
+def test_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(bpe, "_SLICE", 10)
+    for lengths in ([], [0], [30], [0, 30, 0, 4, 4, 4, 11, None, 3], [None] * 3):
+        texts = pa.array([None if n is None else "x" * n for n in lengths], pa.string())
+        assert [k for first, n in bpe.slices(texts) for k in range(first, first + n)] == list(range(len(lengths)))
+        assert all(n > 0 for _, n in bpe.slices(texts))

@@ -20,13 +20,14 @@ import gc
 import hashlib
 import json
 import re
-import struct
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -43,6 +44,13 @@ _END = 0xE000
 _PAIR = 1 << 24
 #: Entries of a memo before its older half is given up; bounds the memory of a worker.
 _MEMO = 400_000
+#: Stands before a piece among pieces that are encoded together: a line feed, which none holds.
+_BORDER = _PAIR - 1
+#: Bytes of text whose pieces are looked up together, and characters of pieces that are encoded together.
+_SLICE, _TOGETHER = 24 << 20, 1 << 16
+#: Characters that no normalisation joins with others and that any version of Unicode classes and lower-cases alike (an
+#: expression of RE2): Latin, Cyrillic, marks, Kana, Chinese, Korean; not the separators of ``_ODD``.
+_PLAIN = r"\x00-\x1b\x20-\x{012f}\x{0131}-\x{024f}\x{0400}-\x{0482}\x{048a}-\x{052f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}"
 #: Longest run of letters that a memo keeps, so that its bytes are bounded as well.
 _KEPT = 64
 
@@ -65,14 +73,25 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-            if type(key) is str and len(key) > _KEPT:
-                return value
+        return self.keep(key, value)
+
+    def keep(self, key, value):
+        """Take a value in, unless its key is too long."""
+        if type(key) is str and len(key) > _KEPT:
+            return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
         return value
 
+    def known(self, key):
+        """The value of a key, None if there is none yet."""
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
 
 class Encoder:
     """Encoder and decoder of one vocabulary file."""
@@ -105,12 +124,21 @@ class Encoder:
                 self.automaton.add_word(symbols, (len(symbols), i))
         self.automaton.make_automaton()
         self.length_of = {i: len(s) for i, s in self.symbols_of.items()}
+        self.lengths = np.array([self.length_of.get(i, 0) for i in range(max(self.length_of) + 1)])
+        self.code_of = np.array([ord(s) if b != 10 else 10 for b, s in enumerate(self.symbols)], np.uint32)
+        self.single = np.zeros(_END + 512, np.int64)
+        for c in map(ord, self.symbols):
+            self.single[c], self.single[c + _END] = self.id_of[chr(c)], self.id_of[chr(c + _END)]
+        self.single[10] = _BORDER
+        self.odd_re = "|".join([*parts, f"[^{_PLAIN}]"])
+        # What is not a run of letters, in RE2; such pieces are set apart by spaces.
+        self.apart_re = "(" + split.replace(r"|[\p{L}]+", "").replace(r"\s", _SPACES) + ")"
         self.shown = {i: str(i) for i in self.text_of}
         self.made = Memo(self._make, 2 * len(self.symbols_of))  # never turned over: a vocabulary's tokens
         self.fits = Memo(self._fits, memo)
         self.of_piece = Memo(self._encode_piece, memo)
         self.of_chunk = Memo(self._encode_chunk, memo)
-        self.packed = Memo(self._pack_chunk, memo)
+        self.packed = Memo(None, memo)
 
     def _make(self, token: int) -> tuple[int, int, int] | None:
         """Rank and parts of the merge that ends in the token when its own symbols are merged by rank; rank -1 for a
@@ -134,6 +162,8 @@ class Encoder:
         """
         left, right = divmod(pair, _PAIR)
         made, merges, limit = self.made, self.merges, len(self.merges)
+        if left == _BORDER:
+            return made[right] is not None
         of_left, of_right = made[left], made[right]
         if of_left is None or of_right is None:
             return False
@@ -184,29 +214,89 @@ class Encoder:
         # A piece of plain letters is a chunk too, and found there.
         return tuple([i for piece in self.pieces(plain) for i in (self.of_chunk if piece.isascii() and piece.isalpha() else self.of_piece)[piece]])
 
-    def _pack_chunk(self, chunk: str) -> bytes:
-        # Plain words are shared with the chunks that hold them.
-        ids = self.of_chunk[chunk] if chunk.isascii() and chunk.isalpha() and chunk.islower() else self._encode_chunk(chunk)
-        return struct.pack(f"<{len(ids)}H", *ids)
-
-    def _values(self, text: str | None, of_chunk: Memo, of_special) -> Iterator:
-        """What ``of_chunk`` holds for the runs of a text between white space, and ``of_special`` gives for special tokens."""
+    def _pack_fresh(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of pieces, which one run of the automaton encodes: no token goes across the end of a piece."""
+        raw = np.frombuffer(("\n" + "\n".join(pieces) + "\n").encode(), np.uint8)
+        borders = np.flatnonzero(raw == 10)
+        codes = self.code_of[raw]
+        codes[borders[1:] - 1] += _END
+        last, fits, done = self.single[codes].tolist(), self.fits, -1
+        for end, (length, token) in self.automaton.iter(codes.tobytes().decode("utf-32-le")):  # longest first at each end
+            if end != done and fits[last[end - length] * _PAIR + token]:
+                last[end], done = token, end
+        tokens = np.array(last)
+        used, at = np.zeros(len(tokens), bool), borders[1:] - 1
+        while len(at):  # every piece from its end, one token a turn
+            used[at] = True
+            at = at - self.lengths[tokens[at]]
+            at = at[raw[at] != 10]
+        ids = tokens[used].astype("<u2").tobytes()
+        upto = (2 * np.cumsum(used)[borders]).tolist()
+        return [ids[i:j] for i, j in zip(upto, upto[1:])]
+
+    def _pack_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of different pieces (none for an empty one)."""
+        out, known = list(map(self.packed.get, pieces)), self.packed.known
+        fresh, size = [], 0
+
+        def close() -> None:
+            for k, value in zip(fresh, self._pack_fresh([pieces[k] for k in fresh])):
+                out[k] = self.packed.keep(pieces[k], value)
+            fresh.clear()
+
+        for k in [k for k, value in enumerate(out) if value is None]:
+            out[k] = known(pieces[k]) if pieces[k] else b""
+            if out[k] is None:
+                fresh.append(k)
+                size += len(pieces[k])
+                if size > _TOGETHER:
+                    close()
+                    size = 0
+        if fresh:
+            close()
+        return out
+
+    def _values(self, text: str | None) -> Iterator:
+        """The ids of the runs of a text between white space and of special tokens."""
         if not text:
             return
         parts = [text] if self.special_re is None or not self.special_re.search(text) else self.special_re.split(text)
         for part in parts:
             if part in self.specials:
-                yield [of_special(self.specials[part])]
+                yield [(self.specials[part],)]
             else:
-                yield map(of_chunk.__getitem__, filter(None, _SPLIT.split(part)) if _ODD.search(part) else part.split())
+                yield map(self.of_chunk.__getitem__, filter(None, _SPLIT.split(part)) if _ODD.search(part) else part.split())
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text."""
-        return list(chain.from_iterable(chain.from_iterable(self._values(text, self.of_chunk, lambda i: (i,)))))
+        return list(chain.from_iterable(chain.from_iterable(self._values(text))))
 
     def pack(self, text: str | None) -> bytes:
         """The ids of a text, 16 bits each, little-endian (for vocabularies of up to 65,536 tokens)."""
-        return b"".join(chain.from_iterable(self._values(text, self.packed, lambda i: struct.pack("<H", i))))
+        return self.pack_texts(pa.array([text], pa.string()))[0].as_py()
+
+    def pack_texts(self, texts: pa.StringArray, end: bytes = b"") -> pa.BinaryArray:
+        """The ids of every text packed as above, each followed by ``end``. Different pieces are looked up once; texts
+        with special tokens or other characters than ``_PLAIN`` are encoded by themselves."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.odd_re).to_numpy(zero_copy_only=False)
+        whole = {k: np.array(self.encode(texts[k].as_py()), "<u2").tobytes() for k in np.flatnonzero(odd).tolist()}
+        if whole:
+            texts = pc.if_else(pa.array(odd), "", texts)
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), self.apart_re, r" \1 "))
+        words = lists.flatten().dictionary_encode()
+        values = [*self._pack_pieces(words.dictionary.to_pylist()), end, *[value + end for value in whole.values()]]
+        sizes = lists.value_lengths().to_numpy()
+        stops = np.cumsum(sizes + 1) - 1  # a place more for each text's end
+        picks = np.full(len(words) + len(texts), len(words.dictionary), np.int32)
+        inside = np.ones(len(picks), bool)
+        inside[stops] = False
+        picks[inside] = words.indices.to_numpy()
+        picks[stops[list(whole)]] += np.arange(1, len(whole) + 1, dtype=np.int32)
+        joined = pa.array(values, pa.binary()).take(pa.array(picks))
+        _, offsets, data = joined.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[: len(joined) + 1][np.r_[0, stops + 1]]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.tobytes()), data])
 
     def decode(self, ids) -> str:
         """The text of ids."""
@@ -221,6 +311,16 @@ class Encoder:
 _LOADED: dict[tuple[int, int], Encoder] = {}
 
 
+def slices(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of parts of an array of about ``_SLICE`` bytes, of one row at least."""
+    upto, first = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while first < len(texts):
+        before = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + _SLICE, "right")))
+        yield first, last - first
+        first = last
+
+
 def _encoder(content, memo: int = _MEMO) -> Encoder:
     """One encoder per worker process and vocabulary, so that its memos outlive a task."""
     text = content.value

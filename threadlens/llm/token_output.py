@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.bpe import _encoder
+from threadlens.llm.bpe import _encoder, slices
 from threadlens.llm.common import ship
 from threadlens.session import scratch_path
 from threadlens.sources.sinks import store
@@ -82,15 +83,15 @@ def token_stream(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         encoder, piece, at = _encoder(content), TaskContext.get().partitionId(), 0
         end = struct.pack("<H", encoder.specials[END])
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                ids = [encoder.pack(t) + end for t in part.column(1).to_pylist()]
-                sizes = np.array([len(x) // 2 for x in ids], np.int64)
+            for first, n in slices(batch.column(1)):
+                part = batch.slice(first, n)
+                ids = encoder.pack_texts(part.column(1), end)
+                sizes = pc.binary_length(ids).to_numpy().astype(np.int64) // 2
                 ends = at + np.cumsum(sizes)
                 starts = ends - sizes
-                at = int(ends[-1]) if len(ids) else at
+                at = int(ends[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([piece] * len(ids), pa.int32()), pa.array(starts), pa.array(sizes), part.column(0), pa.array(ids, pa.binary())],
+                    [pa.array([piece] * len(ids), pa.int32()), pa.array(starts), pa.array(sizes), part.column(0), ids],
                     ["piece", "start", "size", "id", "tokens"])
 
     kind = picked.schema["id"].dataType.simpleString()
