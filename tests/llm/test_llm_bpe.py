@@ -9,9 +9,8 @@ from conftest import MEDIUM
 from llm_cases import no_docs, odd_docs  # noqa: F401
 from tokenizers import Tokenizer
 
-from threadlens.llm import bpe
 from threadlens.llm.bpe import Encoder, digest_documents, encode_documents
-from threadlens.llm.common import table
+from threadlens.llm.common import slices, table
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -120,9 +119,8 @@ def test_texts_packed_together_as_the_library(library, monkeypatch):
     assert fresh == ["zebrafoo"]
 
 
-def test_slices_hold_every_row_once(monkeypatch):
-    monkeypatch.setattr(bpe, "_SLICE", 10)
+def test_slices_hold_every_row_once():
     for lengths in ([], [0], [30], [0, 30, 0, 4, 4, 4, 11, None, 3], [None] * 3):
         texts = pa.array([None if n is None else "x" * n for n in lengths], pa.string())
-        assert [k for first, n in bpe.slices(texts) for k in range(first, first + n)] == list(range(len(lengths)))
-        assert all(n > 0 for _, n in bpe.slices(texts))
+        found = list(slices(texts, 10))
+        assert [k for first, n in found for k in range(first, first + n)] == list(range(len(lengths))) and all(n > 0 for _, n in found)

@@ -2,12 +2,14 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from conftest import MEDIUM
 from llm_cases import no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import table
-from threadlens.llm.substring_dedup import FEW, GAP, REACH, collisions, paragraphs, reaches, repeated_passages, spanning_links, tune_bands, verified_links
+from threadlens.llm.substring_dedup import FEW, GAP, REACH, all_paragraphs, collisions, paragraphs, reaches, repeated_passages, sorted_sets, spanning_links, text_bytes, tune_bands, verified_links, windows, word_hashes
 
 
 def test_bands_reach_the_recall():
@@ -159,3 +161,53 @@ def test_copies_of_a_text_are_worked_on_once(spark, monkeypatch):
     assert found[0] and found[0] == found[1]
     assert sizes["sides"][0] == sizes["sides"][1] and sizes["ends"][0] == sizes["ends"][1]
     assert sizes["beside"][1] <= 8 * sizes["ends"][1]  # once a task, not once a copy and task
+
+
+def _odd_texts():
+    rng = random.Random(13)
+    texts = ["", " ", "x", "\n", "a b c d e f", "É\x1cé " + "Lo" * 40]
+    for _ in range(300):
+        line = " ".join(str(rng.randrange(10**5)) for _ in range(rng.randint(1, 7)))
+        words = [rng.choice(["a", "B\u00e9", " y", "zz\x1cq", "Lo" * rng.randint(1, 40), str(rng.randrange(10**5))]) for _ in range(rng.randint(0, 90))]
+        texts.append(rng.choice([" ", "  ", "\n", "\t\x0b"]).join([*words, *[line] * rng.randint(0, 6)]) + rng.choice(["", " ", "\n\n"]))
+    return texts
+
+
+def test_words_of_texts_together_have_the_hashes_of_each():
+    texts = _odd_texts()
+    h, upto, begins, ends = word_hashes(*text_bytes(pa.array(["skip me", *texts])[1:]))
+    data, place = "".join(texts).encode(), 0
+    for text, low, high in zip(texts, upto, upto[1:]):
+        words = text.encode().split()
+        assert h[low:high].tolist() == [xxhash.xxh64_intdigest(w.lower()) for w in words]
+        assert [data[a:b] for a, b in zip(begins[low:high], ends[low:high])] == words
+        assert all(place <= a < b <= place + len(text.encode()) for a, b in zip(begins[low:high], ends[low:high]))
+        place += len(text.encode())
+
+
+def test_texts_together_are_cut_as_each():
+    texts = _odd_texts()
+    bounds, whole, shingles, starts, upto, *_ = all_paragraphs(*text_bytes(pa.array(texts)))
+    sizes = np.diff(starts)
+    sets, at = sorted_sets(shingles, starts[:-1][sizes > 0], sizes[sizes > 0]).to_pylist(), 0
+    for k, text in enumerate(texts):
+        first, own_whole, own, own_starts = paragraphs(text.encode())
+        n = len(first) - 1
+        assert (bounds[at : at + n] - upto[k]).tolist() == first[:-1].tolist() and upto[k + 1] - upto[k] == first[-1]
+        assert whole[at : at + n].tolist() == own_whole.tolist()
+        assert shingles[starts[at] : starts[at + n]].tolist() == own.tolist()
+        for p in range(n):
+            if own_starts[p + 1] > own_starts[p]:
+                assert sets.pop(0) == np.unique(own[own_starts[p] : own_starts[p + 1]]).view(np.int64).tolist()
+        at += n
+    assert at == len(whole) and not sets
+
+
+def test_words_beside_a_place_end_with_their_text():
+    h, upto, *_ = word_hashes(*text_bytes(pa.array(["a b c d e f g", "h i j", "k"])))
+    alone, _, *_ = word_hashes(*text_bytes(pa.array(["h i j"])))
+    for step, starts in ((1, [7, 8, 10]), (-1, [6, 8, 9])):
+        many, sizes = windows(h, np.array(starts), step, np.full(3, 7), np.full(3, 10))
+        one, own = windows(alone, np.array(starts) - 7, step, np.zeros(3, int), np.full(3, 3))
+        assert sizes.tolist() == own.tolist() == ([3, 2, 0] if step == 1 else [0, 2, 3])
+        assert all((many[k, :n] == one[k, :n]).all() for k, n in enumerate(own))

@@ -47,7 +47,7 @@ _MEMO = 400_000
 #: Stands before a piece among pieces that are encoded together: a line feed, which none holds.
 _BORDER = _PAIR - 1
 #: Bytes of text whose pieces are looked up together, and characters of pieces that are encoded together.
-_SLICE, _TOGETHER = 24 << 20, 1 << 16
+SLICE, _TOGETHER = 24 << 20, 1 << 16
 #: Characters that no normalisation joins with others and that any version of Unicode classes and lower-cases alike (an
 #: expression of RE2): Latin, Cyrillic, marks, Kana, Chinese, Korean; not the separators of ``_ODD``.
 _PLAIN = r"\x00-\x1b\x20-\x{012f}\x{0131}-\x{024f}\x{0400}-\x{0482}\x{048a}-\x{052f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}"
@@ -311,16 +311,6 @@ class Encoder:
 _LOADED: dict[tuple[int, int], Encoder] = {}
 
 
-def slices(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
-    """First row and number of rows of parts of an array of about ``_SLICE`` bytes, of one row at least."""
-    upto, first = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
-    while first < len(texts):
-        before = upto[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(upto, before + _SLICE, "right")))
-        yield first, last - first
-        first = last
-
-
 def _encoder(content, memo: int = _MEMO) -> Encoder:
     """One encoder per worker process and vocabulary, so that its memos outlive a task."""
     text = content.value

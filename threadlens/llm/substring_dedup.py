@@ -33,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import ship
+from threadlens.llm.common import ship, slices
 from threadlens.llm.components import connected_components
 from threadlens.sources.sinks import store
 
@@ -55,6 +56,8 @@ FEW = 16
 TILE = 1000
 #: Different surroundings of a side of a component up to which they meet in one task.
 CROWD = 256
+#: Bytes of texts that are worked on together.
+SLICE = 1 << 20
 #: Bits of the bitmap of colliding paragraphs: 4 MB whatever the data.
 _SLOTS = 1 << 25
 #: The bitmap comes to the driver in so many pieces.
@@ -62,6 +65,8 @@ _PIECES = 64
 #: Which bytes are white space.
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio, made odd
+#: The primes of XXH64 (fixed values).
+_PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 _MULTIPLIERS = np.array([int.from_bytes(xxhash.xxh64_digest(str(k)), "big") | 1 for k in range(256)], np.uint64)
 
 
@@ -75,35 +80,99 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words of a text, in lower case."""
-    found = text.lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-
-
-def first_words(h: np.ndarray) -> np.ndarray:
-    """The first word of every paragraph, and the end."""
-    n = len(h)
-    least = np.ones(n, bool)
+def text_bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts and the place of each (and the end)."""
+    _, offsets, data = texts.buffers()
+    places = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[places[0] : places[-1]], places - places[0]
+
+
+def word_places(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts begin and end, in bytes of all."""
+    space, n = _SPACE[data], len(data)
+    begins, ends = np.r_[True, space[:-1]][:n], np.r_[space[1:], True][:n]
+    begins[places[places < n]] = True
+    ends[places[places > 0] - 1] = True
+    return np.flatnonzero(begins & ~space), np.flatnonzero(ends & ~space) + 1
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def xxh64(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 0) of ranges of bytes; those of one length under 32 are worked on together, in steps of 8, 4 and 1 bytes."""
+    one, two, three, four, five = _PRIMES
+    room = np.r_[data, np.zeros(8, np.uint8)]
+    eight, quad = (np.ndarray(len(data) + 1, kind, room, 0, (1,)) for kind in ("<u8", "<u4"))
+    sizes = np.minimum(ends - begins, 32).astype(np.uint8)
+    order, stops = np.argsort(sizes, kind="stable"), np.cumsum(np.bincount(sizes, minlength=33))
+    out = np.zeros(len(begins), np.uint64)
+    for size in range(1, 32):
+        some = order[stops[size - 1] : stops[size]]
+        if not len(some):
+            continue
+        at, k, x = begins[some], 0, np.full(len(some), five + np.uint64(size), np.uint64)
+        for k in range(0, size - 7, 8):
+            x = _turned(x ^ _turned(eight[at + k] * two, 31) * one, 27) * one + four
+        k = size // 8 * 8
+        if size - k >= 4:
+            x = _turned(x ^ quad[at + k].astype(np.uint64) * one, 23) * two + three
+            k += 4
+        for k in range(k, size):
+            x = _turned(x ^ room[at + k].astype(np.uint64) * five, 11) * one
+        x = (x ^ x >> np.uint64(33)) * two
+        x = (x ^ x >> np.uint64(29)) * three
+        out[some] = x ^ x >> np.uint64(32)
+    for k in order[stops[31] :].tolist():
+        out[k] = xxhash.xxh64_intdigest(data[begins[k] : ends[k]])
+    return out
+
+
+def word_hashes(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: hashes of their words, in lower case, how many words come before each text (and the end), and where words begin and
+    end, in bytes of all."""
+    begins, ends = word_places(data, places)
+    return xxh64(np.frombuffer(data.tobytes().lower(), np.uint8), begins, ends), np.searchsorted(begins, places), begins, ends
+
+
+def first_words(h: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """The first word of every paragraph of all texts, and the end."""
+    sizes = np.diff(upto)
+    # words that are never less stand between the texts
+    at = np.arange(len(h)) + RADIUS * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    apart = np.full(len(h) + RADIUS * (len(sizes) + 1), np.iinfo(np.uint64).max, np.uint64)
+    apart[at] = h
+    inner = apart[RADIUS : len(apart) - RADIUS]
+    least = np.ones(len(inner), bool)
     for k in range(1, RADIUS + 1):
-        least[k:] &= h[k:] <= h[:-k]
-        least[:-k] &= h[:-k] <= h[k:]
-    cuts = np.flatnonzero(least[:-1]) + 1 if n else np.zeros(0, int)
-    if len(cuts) > 1 and np.diff(cuts).min() < WORDS:  # equal words near each other
-        apart, last = [], -WORDS
-        for at in cuts.tolist():
-            if at - last >= WORDS:
-                apart.append(at)
-                last = at
-        cuts = np.array(apart)
-    return np.r_[0, cuts, n] if n else np.zeros(1, int)
-
-
-def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: first word of each paragraph (and the end), hash of each paragraph, all shingle hashes, and the place
-    of the first shingle of each paragraph (and the end); paragraphs of fewer than five words have none."""
-    h = word_hashes(text)
-    bounds, n = first_words(h), len(h)
+        least &= inner <= apart[RADIUS - k : len(apart) - RADIUS - k]
+        least &= inner <= apart[RADIUS + k : len(apart) - RADIUS + k]
+    least = least[at - RADIUS]
+    least[upto[1:][sizes > 0] - 1] = False
+    cuts = np.flatnonzero(least) + 1
+    text = np.searchsorted(upto, cuts, "right")
+    near = (np.diff(cuts) < WORDS) & (text[1:] == text[:-1])
+    if near.any():  # equal words near each other
+        kept, wrong = np.ones(len(cuts), bool), np.unique(text[1:][near])
+        for begin, end in zip(np.searchsorted(text, wrong).tolist(), np.searchsorted(text, wrong, "right").tolist()):
+            last = -WORDS
+            for k, place in enumerate((cuts[begin:end] - upto[text[begin] - 1]).tolist(), begin):
+                if place - last >= WORDS:
+                    last = place
+                else:
+                    kept[k] = False
+        cuts = cuts[kept]
+    return np.r_[np.sort(np.r_[upto[:-1][sizes > 0], cuts]), len(h)]
+
+
+def all_paragraphs(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts: first word of each paragraph (and the end) among the words of all, hash of each paragraph, all shingle hashes, the
+    place of the first shingle of each paragraph (and the end), and what ``word_hashes`` gives beside the hashes; paragraphs of fewer
+    than five words have no shingle."""
+    h, *words = word_hashes(data, places)
+    upto = words[0]
+    bounds, n = first_words(h, upto), len(h)
     first, sizes = bounds[:-1], np.diff(bounds)
     inside = np.arange(n) - np.repeat(first, sizes)
     whole = np.add.reduceat(_mixed(h ^ _mixed(inside.astype(np.uint64) + np.uint64(1))), first) if n else h
@@ -111,24 +180,39 @@ def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     for k in range(1, WORDS if n >= WORDS else 1):
         rolled[: n - k] = _mixed(rolled[: n - k] ^ np.uint64(k)) + h[k:]
     full = inside < np.repeat(np.maximum(sizes - WORDS + 1, 0), sizes)
-    return bounds, whole, _mixed(rolled[full]), np.r_[0, np.cumsum(np.maximum(sizes - WORDS + 1, 0))]
+    return bounds, whole, _mixed(rolled[full]), np.r_[0, np.cumsum(np.maximum(sizes - WORDS + 1, 0))], *words
 
 
-def windows(h: np.ndarray, starts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first four of these for one text."""
+    return all_paragraphs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[:4]
+
+
+def windows(h: np.ndarray, starts: np.ndarray, step: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each start a hash of each of ``REACH`` words from there on (backwards with ``step`` -1) with the two words before it, and
-    how many of these words the text has."""
+    how many of these words its text has, whose words are those from ``low`` to before ``high``."""
     at = starts[:, None] + step * np.arange(-2, REACH)
-    there = (at >= 0) & (at < len(h))
-    near = h[np.clip(at, 0, len(h) - 1)]
+    there = (at >= low[:, None]) & (at < high[:, None])
+    near = h[np.clip(at, low[:, None], high[:, None] - 1)]
     values = near[:, 2:] + _mixed(near[:, 1:-1] + _mixed(near[:, :-2]))
     return _mixed(values).astype(np.uint32), there[:, 2:].sum(axis=1)
 
 
-def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text begin and end, in bytes."""
-    space = np.r_[True, _SPACE[np.frombuffer(text, np.uint8)], True]
-    turns = np.flatnonzero(space[1:] != space[:-1])
-    return turns[::2], turns[1::2]
+def text_keys(data: np.ndarray, places: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The keys of some texts."""
+    return np.fromiter((xxhash.xxh64_intdigest(data[places[k] : places[k + 1]]) >> 1 for k in which.tolist()), np.uint64, len(which))
+
+
+def sorted_sets(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """The different values of each range, in order. Ranges of the same size are sorted together."""
+    bounds = np.r_[0, np.cumsum(sizes)]
+    out, kept = np.zeros(bounds[-1], np.uint64), np.ones(bounds[-1], bool)
+    for size in np.unique(sizes).tolist():
+        some, inside = np.flatnonzero(sizes == size), np.arange(size)
+        rows, at = np.sort(values[starts[some][:, None] + inside], axis=1), bounds[some][:, None] + inside
+        out[at] = rows
+        kept[at[:, 1:]] = rows[:, 1:] != rows[:, :-1]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)][bounds].astype(np.int32)), pa.array(out[kept].view(np.int64)))
 
 
 def band_keys(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -149,8 +233,9 @@ def banded(docs: DataFrame, bands: int, rows: int, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, wholes = [np.zeros((0, bands), np.uint64)], [np.zeros(0, np.uint64)]
-            for text in batch.column(0).to_pylist():
-                first, whole, shingles, starts = paragraphs((text or "").encode())
+            texts = pc.fill_null(batch.column(0), "")
+            for at, n in slices(texts, SLICE):
+                _, whole, shingles, starts, *_ = all_paragraphs(*text_bytes(texts.slice(at, n)))
                 some = np.diff(starts) > 0
                 if some.any():
                     keys.append(band_keys(shingles, starts[:-1][some], bands, rows))
@@ -240,22 +325,23 @@ def occurrences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken = shared.value
         for batch in batches:
-            rows = [[], [], [], [], [], [], [], [], []]
-            ids = batch.column(0).to_pylist()
-            for id_, text in zip(ids, batch.column(1).to_pylist()):
-                text = (text or "").encode()
-                first, whole, shingles, starts = paragraphs(text)
-                hit = _taken(taken, whole) & (np.diff(starts) > 0)
-                if not hit.any():
+            all_texts = pc.fill_null(batch.column(1), "")
+            for at, n in slices(all_texts, SLICE):
+                data, places = text_bytes(all_texts.slice(at, n))
+                bounds, whole, shingles, starts, upto, begins, ends = all_paragraphs(data, places)
+                sizes = np.diff(starts)
+                hit = np.flatnonzero(_taken(taken, whole) & (sizes > 0))
+                if not len(hit):
                     continue
-                text_key = xxhash.xxh64_intdigest(text) >> 1
-                begins, ends = word_places(text)
-                for p in np.flatnonzero(hit).tolist():
-                    values = (int(whole[p].astype(np.int64)), id_, text_key, p, int(begins[first[p]]), int(ends[first[p + 1] - 1]), int(first[p]), int(first[p + 1] - first[p]), np.unique(shingles[starts[p] : starts[p + 1]]).view(np.int64))
-                    for column, value in zip(rows, values):
-                        column.append(value)
-            kinds = [pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["paragraph", "id", "text_key", "number", "start", "end", "first", "words", "shingles"])
+                first, after = bounds[hit], bounds[hit + 1]
+                text = np.searchsorted(upto, first, "right") - 1
+                some, row = np.unique(text, return_inverse=True)
+                columns = [(begins[first] - places[text]), (ends[after - 1] - places[text]), first - upto[text], after - first]
+                number = hit - np.searchsorted(bounds, upto[text])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(whole[hit].view(np.int64)), batch.column(0).slice(at, n).take(pa.array(text)), pa.array(text_keys(data, places, some)[row].view(np.int64)),
+                     *[pa.array(c.astype(np.int32)) for c in (number, *columns)], sorted_sets(shingles, starts[hit], sizes[hit])],
+                    ["paragraph", "id", "text_key", "number", "start", "end", "first", "words", "shingles"])
 
     kind = picked.schema["id"].dataType.simpleString()
     found = picked.mapInArrow(run, f"paragraph long, id {kind}, text_key long, number int, start int, end int, first int, words int, shingles array<long>")
@@ -326,32 +412,34 @@ def beside(docs: DataFrame, ends: DataFrame, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # eight bytes for a text of the task that has ends
         for batch in batches:
-            rows = [[], [], [], [], []]
-            texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
-            keys = np.array([xxhash.xxh64_intdigest(t) >> 1 for t in texts], np.uint64)
-            once = np.unique(keys, return_index=True)[1]
-            for at in once[_taken(some_text.value, keys[once])].tolist():
-                if int(keys[at]) in seen:
+            all_texts = pc.fill_null(batch.column(0), "")
+            for at, n in slices(all_texts, SLICE):
+                data, places = text_bytes(all_texts.slice(at, n))
+                keys, once = np.unique(text_keys(data, places, np.arange(n)), return_index=True)
+                some = _taken(some_text.value, keys)
+                some[some] = [key not in seen for key in keys[some].tolist()]
+                if not some.any():
                     continue
-                seen.add(int(keys[at]))
-                h = word_hashes(texts[at])
-                bounds = first_words(h)
-                places = np.arange(len(bounds) - 1, dtype=np.uint64) * np.uint64(2)
-                limits = None
+                keys, texts = keys[some], all_texts.slice(at, n).take(pa.array(once[some]))
+                seen.update(keys.tolist())
+                h, upto, begins, ends = word_hashes(*text_bytes(texts))
+                bounds = first_words(h, upto)
+                text = np.searchsorted(upto, bounds[:-1], "right") - 1
+                number = np.arange(len(text)) - np.searchsorted(bounds, upto[text])
                 for side in (0, 1):
-                    wanted = np.flatnonzero(_taken(some_end.value, keys[at] ^ (places + np.uint64(side))))
-                    if not len(wanted):
-                        continue
-                    limits = limits or word_places(texts[at])
-                    starts = bounds[wanted + 1] if side else bounds[wanted] - 1
-                    values, sizes = windows(h, starts, 1 if side else -1)
-                    for number, start, value, size in zip(wanted.tolist(), starts.tolist(), values, sizes.tolist()):
-                        if size:
-                            away = limits[1][start : start + size] - limits[1][start - 1] if side else limits[0][start + 1] - limits[0][start - size + 1 : start + 1][::-1]
-                            for column, item in zip(rows, (int(keys[at]), number, side, value[:size].view(np.int32), away.astype(np.int32))):
-                                column.append(item)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["text_key", "number", "side", "windows", "bytes"])
+                    wanted = np.flatnonzero(_taken(some_end.value, keys[text] ^ (number.astype(np.uint64) * np.uint64(2) + np.uint64(side))))
+                    starts, step = (bounds[wanted + 1], 1) if side else (bounds[wanted] - 1, -1)
+                    values, sizes = windows(h, starts, step, upto[text[wanted]], upto[text[wanted] + 1])
+                    wanted, starts, values, sizes = (x[sizes > 0] for x in (wanted, starts, values, sizes))
+                    inside = np.arange(REACH) < sizes[:, None]
+                    other = (starts[:, None] + step * np.arange(REACH))[inside]
+                    near = np.repeat(starts - step, sizes)
+                    away = ends[other] - ends[near] if side else begins[near] - begins[other]
+                    lists = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[text[wanted]].view(np.int64)), pa.array(number[wanted].astype(np.int32)), pa.array(np.full(len(wanted), side, np.int32)),
+                         *[pa.ListArray.from_arrays(lists, pa.array(c)) for c in (values[inside].view(np.int32), away.astype(np.int32))]],
+                        ["text_key", "number", "side", "windows", "bytes"])
 
     return docs.select(text_col).mapInArrow(run, "text_key long, number int, side int, windows array<int>, bytes array<int>")
 

@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.bpe import _encoder, slices
-from threadlens.llm.common import ship
+from threadlens.llm.bpe import SLICE, _encoder
+from threadlens.llm.common import ship, slices
 from threadlens.session import scratch_path
 from threadlens.sources.sinks import store
 
@@ -83,7 +83,7 @@ def token_stream(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         encoder, piece, at = _encoder(content), TaskContext.get().partitionId(), 0
         end = struct.pack("<H", encoder.specials[END])
         for batch in batches:
-            for first, n in slices(batch.column(1)):
+            for first, n in slices(batch.column(1), SLICE):
                 part = batch.slice(first, n)
                 ids = encoder.pack_texts(part.column(1), end)
                 sizes = pc.binary_length(ids).to_numpy().astype(np.int64) // 2
