@@ -211,3 +211,21 @@ def test_words_beside_a_place_end_with_their_text():
         one, own = windows(alone, np.array(starts) - 7, step, np.zeros(3, int), np.full(3, 3))
         assert sizes.tolist() == own.tolist() == ([3, 2, 0] if step == 1 else [0, 2, 3])
         assert all((many[k, :n] == one[k, :n]).all() for k, n in enumerate(own))
+
+
+def test_spanning_links_against_all_pairs():
+    rng = random.Random(17)
+    for n, kinds in ((1, 1), (30, 30), (120, 3), (120, 40)):
+        sets, kind = [], [[rng.randrange(50) if rng.random() < 0.1 else rng.getrandbits(62) for _ in range(rng.randint(1, 15))] for _ in range(kinds)]
+        for k in range(n):
+            s = list(kind[k % kinds])
+            s[rng.randrange(len(s))] = rng.getrandbits(62)
+            sets.append(np.unique(np.array(s, np.int64)))
+        near = lambda a, b: len(x := np.intersect1d(a, b)) >= 0.8 * (len(a) + len(b) - len(x)) - 1e-9
+        group = list(range(n))
+        for a in range(n):
+            for b in range(a):
+                if near(sets[a], sets[b]) and group[a] != group[b]:
+                    group = [group[b] if g == group[a] else g for g in group]
+        links = spanning_links(list(range(100, 100 + n)), sets, 0.8)
+        assert len(links) == n - len(set(group)) and all(near(sets[a - 100], sets[b - 100]) for a, b in links)

@@ -349,23 +349,32 @@ def occurrences(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text
 
 
 def spanning_links(names: list[int], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links that join the members as far as similarities of the threshold or more do, one less than each component has."""
+    """Links that join the members as far as similarities of the threshold or more do, one less than each component has. A member is
+    compared with those that have a value in common, by an index of the members of each value."""
     sizes = np.array([len(s) for s in sets])
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    left, links, inside = np.ones(len(sets), bool), [], len(sets)
+    _, values = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.r_[0, np.cumsum(sizes)]
+    left, links = np.ones(len(sets), bool), []
+
+    def index() -> tuple[np.ndarray, np.ndarray, int]:
+        owner, some = np.repeat(np.arange(len(sets)), sizes * left), values[np.repeat(left, sizes)]
+        return owner[np.argsort(some, kind="stable")], np.r_[0, np.cumsum(np.bincount(some, minlength=len(values)))], left.sum()
+
+    members, places, inside = index()
     for begin in range(len(sets)):
         found = [begin] if left[begin] else []
         left[begin] = False
-        while found and left.any():
+        while found and inside:
             at = found.pop()
-            both = np.bincount(owner[np.isin(values, sets[at])], minlength=len(sets))
-            near = left & (both >= threshold * (sizes + sizes[at] - both) - 1e-9)
-            reached = np.flatnonzero(near).tolist()
-            links += [(names[at], names[other]) for other in reached]
+            own = values[bounds[at] : bounds[at + 1]]
+            other, both = np.unique(np.concatenate([members[places[v] : places[v + 1]] for v in own.tolist()]), return_counts=True)
+            near = other[left[other] & (both >= threshold * (sizes[other] + sizes[at] - both) - 1e-9)]
+            reached = near.tolist()
+            links += [(names[at], names[k]) for k in reached]
             found += reached
-            left &= ~near
-            if 2 * left.sum() < inside:  # go on with the sets that are left
-                values, owner, inside = values[left[owner]], owner[left[owner]], left.sum()
+            left[near] = False
+            if reached and 2 * left.sum() < inside:  # go on with the sets that are left
+                members, places, inside = index()
     return links
 
 
@@ -387,8 +396,9 @@ def verified_links(found: DataFrame, sets: DataFrame, threshold: float, tile: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
-            for names, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                links += spanning_links(names, [np.array(s, np.int64) for s in shingles], threshold)
+            for names, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
+                stops = np.cumsum(shingles.values.value_lengths().to_numpy())
+                links += spanning_links(names, np.split(shingles.values.flatten().to_numpy(), stops[:-1]), threshold)
             a, b = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
