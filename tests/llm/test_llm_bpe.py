@@ -9,7 +9,7 @@ from conftest import MEDIUM
 from llm_cases import no_docs, odd_docs  # noqa: F401
 from tokenizers import Tokenizer
 
-from threadlens.llm.bpe import Encoder, digest_documents, encode_documents
+from threadlens.llm.bpe import ROWS_OUT, Encoder, _map_texts, digest_documents, encode_documents
 from threadlens.llm.common import slices, table
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -124,3 +124,13 @@ def test_slices_hold_every_row_once():
         texts = pa.array([None if n is None else "x" * n for n in lengths], pa.string())
         found = list(slices(texts, 10))
         assert [k for first, n in found for k in range(first, first + n)] == list(range(len(lengths))) and all(n > 0 for _, n in found)
+
+
+def test_long_texts_are_encoded_a_few_at_a_time(spark):
+    """What a worker holds at once is bounded by bytes of text, not by a number of texts of any length."""
+    texts = [None, "", "\u00e9" * ROWS_OUT, *["lorem ipsum " * 2_000] * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    together = _map_texts(docs, PATH, "doc_id", "text", "bytes long", lambda _, part: {"bytes": pa.array([sum(len((t or "").encode()) for t in part)] * len(part))})
+    got = {r.doc_id: r.bytes for r in together.collect()}
+    assert got.keys() == set(range(len(texts))) and got[2] == 2 * ROWS_OUT
+    assert all(n <= ROWS_OUT for i, n in got.items() if i != 2)

@@ -93,3 +93,14 @@ def test_a_header_in_prose_takes_no_text(spark):
     text = "a key begins with -----BEGIN PRIVATE KEY----- and then its body\nwhich is base64"
     (r,) = redact_secrets(spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")).collect()
     assert r.text == f"a key begins with {MASK} and then its body\nwhich is base64"
+
+
+def test_clauses_need_no_python_workers(spark):
+    """Rows given from Python would start a second set of Python workers in every executor, for the rest of the session."""
+    docs = spark.range(5).selectExpr("id AS doc_id", "CASE id WHEN 0 THEN 'password = hunter2hunter2' WHEN 1 THEN repeat('a', 40) WHEN 2 THEN 'plain' END AS text")
+    for df in (redact_secrets(docs), find_secrets(docs)):
+        assert "RDD" not in df._jdf.queryExecution().toString()
+    got = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert MASK in got[0] and "hunter2" not in got[0] and got[1] == MASK and got[2] == "plain" and got[3] is None and len(got) == 5
+    plain = [r for r in RULES if not trigram_query(r.pattern)]  # no clause at all
+    assert {r.doc_id: r.text for r in redact_secrets(docs, plain).collect()} == {**got, 0: "password = hunter2hunter2"}

@@ -96,3 +96,24 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 5, 7]
     assert near_duplicate_groups(no_docs).count() == 0 and drop_near_duplicates(no_docs).count() == 0
+
+
+def test_rounds_of_components_keep_few_files(spark, monkeypatch):
+    """A round of few links is not stored in a file per shuffle partition."""
+    from threadlens.llm import components
+
+    monkeypatch.setattr(components, "_FILE", 400, raising=False)
+    stored, store = [], components.store
+    monkeypatch.setattr(components, "store", lambda df, name: stored.append((name, out := store(df, name))) or out)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chains = spark.range(3_000).where("id % 100 <> 99").selectExpr("id AS a", "id + 1 AS b")
+        got = {r.node: r.component for r in connected_components(chains).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {n: n - n % 100 for n in range(3_000)}
+    files = [len(out.inputFiles()) for name, out in stored if name == "stars"]
+    assert files and max(files) <= max(spark.sparkContext.defaultParallelism, 8)

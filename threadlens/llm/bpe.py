@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from threadlens.llm.common import ship
+from threadlens.llm.common import ship, slices
 
 #: White space of the vocabulary's splitting rule (fixed values: Unicode White_Space).
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -48,6 +48,8 @@ _MEMO = 400_000
 _BORDER = _PAIR - 1
 #: Bytes of text whose pieces are looked up together, and characters of pieces that are encoded together.
 SLICE, _TOGETHER = 24 << 20, 1 << 16
+#: Bytes of text that are encoded and decoded before their rows go out; bounds the memory of a worker (one text at least).
+ROWS_OUT = 1 << 18
 #: Characters that no normalisation joins with others and that any version of Unicode classes and lower-cases alike (an
 #: expression of RE2): Latin, Cyrillic, marks, Kana, Chinese, Korean; not the separators of ``_ODD``.
 _PLAIN = r"\x00-\x1b\x20-\x{012f}\x{0131}-\x{024f}\x{0400}-\x{0482}\x{048a}-\x{052f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}"
@@ -330,10 +332,12 @@ def _map_texts(docs: DataFrame, path: str, id_col: str, text_col: str, schema: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content, memo)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for first, n in slices(batch.column(1), ROWS_OUT):
+                part = batch.slice(first, n)
                 columns = row(encoder, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], [part.schema.names[0], *columns])
+                del part, columns
+            del batch  # not held while the next one is read
 
     kind = picked.schema[id_col].dataType.simpleString()
     return picked.mapInArrow(run, f"`{id_col}` {kind}, {schema}")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from threadlens.sources.sinks import store
 
+#: Links in one file of a stored round; there is a file per core at least.
+_FILE = 100_000
+
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """Every neighbour of a node is linked to the smallest of them instead.
@@ -29,7 +32,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node it reaches) for the nodes of ``edges`` (columns a, b).
 
     Large and small stars in turn until nothing changes, a number of rounds that grows with the logarithm of the
-    nodes. Each round is stored in the shared folder, which cuts the lineage; links never leave the cluster. Links to
+    nodes. Each round is stored in the shared folder, which cuts the lineage; links never leave the cluster. A round
+    has no more links than the one before, so it is stored in files of ``_FILE`` links, however many the shuffle
+    partitions are: every file that a task opens may start a process of the executor's size for a moment. Links to
     oneself, repeated links and both directions are allowed; rows with NULL are no links.
     """
     now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -39,6 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(sums) == seen or not sums[0]:
             break
         seen = tuple(sums)
-        now = store(_stars(_stars(now, True), False), "stars")
+        files = max(now.sparkSession.sparkContext.defaultParallelism, -(-sums[0] // _FILE))
+        now = store(_stars(_stars(now, True), False).coalesce(files), "stars")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -161,7 +161,9 @@ def candidates(postings: DataFrame, grams: list[str], rules: list[Rule]) -> Data
     place = {g: i for i, g in enumerate(grams)}
     rows = [(r, c, place[g], 1 << n, (1 << len(clause)) - 1)
             for r, rule in enumerate(rules) for c, clause in enumerate(trigram_query(rule.pattern)) for n, g in enumerate(clause)]
-    named = postings.sparkSession.createDataFrame(rows, "rule int, clause int, gram int, bit long, full long")
+    # Literals: rows given from Python would pass through Python workers of their own, which stay in every executor.
+    listed = F.array(*[F.struct(*map(F.lit, r)) for r in rows]).cast("array<struct<rule:int,clause:int,gram:int,bit:bigint,full:bigint>>")
+    named = postings.sparkSession.range(0, 1, 1, 1).select(F.inline(listed))
     held = postings.join(F.broadcast(named), "gram").groupBy("key", "rule", "clause").agg(F.bit_or("bit").alias("bits"), F.first("full").alias("full"))
     return held.where("bits = full").groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
